@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, exact_dedup, language_id, line_dedup, mixing, quality, substring_dedup, suffix_dedup
+from lectern.llm import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, quality, substring_dedup, suffix_dedup, warc_zip
 from lectern.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -23,6 +27,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zip.write_archives(table(spark, sf_dir, "pages"), warc_zip.new_folder(spark), min_bytes=0)
+    return warc_zip.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=100)
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -83,6 +92,15 @@ ranked AS (
 taken AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(whole AS BIGINT) + CASE WHEN p > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END END AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken""",
+    "op4_warc_zip": """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT body, min(page_id) AS first FROM bodies GROUP BY body)
+SELECT b.page_id, CAST(strlen(b.body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN b.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN b.page_id <> f.first THEN f.first END AS refers_to
+FROM bodies b JOIN firsts f ON b.body = f.body""",
     "op6_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -104,8 +122,10 @@ FROM documents d JOIN groups g ON coalesce(d.text, '') = g.body""",
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_language_id": op2_language_id,
         "op3_mix_sources": op3_mix_sources,
+        "op4_warc_zip": op4_warc_zip,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_bpe": op7_bpe,
