@@ -29,6 +29,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.textblocks import blocks
 
@@ -224,5 +225,5 @@ def encode(docs: DataFrame, path: str, keep: dict[str, Column] | None = None, te
     rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(_coder(path.rsplit("/", 1)[-1], with_ids), schema)
