@@ -36,7 +36,8 @@ from lectern.llm.textblocks import blocks
 NONE = np.int64(2**62)
 #: White space of Unicode, at which texts are cut. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-CACHE = 400_000
+#: Chunks that a worker remembers, some 350 bytes each.
+CACHE = 1_000_000
 BATCH = 4096
 
 
