@@ -10,9 +10,9 @@ t = floor(ln(weight) / r + b), with r, c from Gamma(2, 1) and b uniform, all fro
 the same (shingle, t) with the probability of their weighted Jaccard similarity. Samples are hashed in bands.
 
 Texts with the same words are one vertex. Each band bucket links its members to its smallest id; links are verified
-by the weighted Jaccard similarity of the whole texts, and components are built. Members of a bucket that are still
-in different components are then compared with each other (only those pairs), so no candidate is dropped; no group
-is gathered in one task, since a vertex with many links has them dealt over salts.
+by the weighted Jaccard similarity of the whole texts, and components are built. Members of buckets that still hold
+different components are then compared by an exact weighted prefix filter, so no candidate is dropped and yet no
+bucket's pairs are listed. A vertex with many links has them dealt over salts.
 
 Defined results: a text without a letter or digit (null, empty) is a class of its own; rows that share an id are one
 vertex; a row with a null id gets the class of its words; an empty table gives an empty result; other columns are not read.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle
@@ -201,8 +202,9 @@ def _verified(k: int, threshold: float, idf: np.ndarray):
     return run
 
 
-def verify(pairs: DataFrame, by_id: DataFrame, k: int, threshold: float, idf: np.ndarray) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar. by_id: (id, text), dealt by id."""
+def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf: np.ndarray) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar. texts: (id, text)."""
+    by_id = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     ones = by_id.join(degree.withColumnRenamed("a", "one"), F.col("id") == F.col("one"))
     ones = ones.select("one", F.col("text").alias("one_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"))
@@ -211,28 +213,58 @@ def verify(pairs: DataFrame, by_id: DataFrame, k: int, threshold: float, idf: np
     return ones.groupBy("one", "part").cogroup(others.groupBy("a", "salt")).applyInArrow(_verified(k, threshold, idf), "a long, b long")
 
 
+def _weighed(k: int, idf: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in blocks(batch.column(2), rows=512):
+                row, gram, times = shingles(*words_of(data, at), hi - lo, k)
+                weight = weights(gram, times, idf).astype(float)
+                total = np.bincount(row, weight, hi - lo)
+                v, c = (batch.column(i).slice(lo, hi - lo).to_numpy()[row] for i in (0, 1))
+                yield pa.record_batch({"v": v, "c": c, "gram": gram.view(np.int64), "weight": weight, "total": total[row]})
+
+    return run
+
+
+def prefix_pairs(docs: DataFrame, k: int, threshold: float, idf: np.ndarray) -> DataFrame:
+    """All pairs (a, b), a < b, of docs (v, c, text) with different c that can reach the threshold.
+
+    Weighted prefix filter: shingles in one order, rarest first, a pair as similar as that has its rarest shared
+    shingle among the first of either text, those before which at most 1 - threshold of its weight has passed.
+    """
+    each = settle(docs.select("v", "c", "text").mapInArrow(_weighed(k, idf), "v long, c long, gram long, weight double, total double").distinct())
+    shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    before = F.coalesce(F.sum("weight").over(W.partitionBy("v").orderBy(F.coalesce("df", F.lit(1)), "gram").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    index = each.join(shared, "gram", "left").withColumn("before", before).where((F.col("before") <= (1 - threshold) * F.col("total") + 1e-9) & F.col("df").isNotNull()).select("v", "c", "gram", "total", (F.col("total") - F.col("before")).alias("ahead"))
+    x, y = index.alias("x"), index.alias("y")
+    # a pair's rarest shared shingle leaves at least the shared weight ahead in both
+    near = F.least("x.ahead", "y.ahead") + 1e-9 >= threshold / (1 + threshold) * (F.col("x.total") + F.col("y.total"))
+    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & near)
+    return pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = inverse_frequencies(texts, words)
     signed = settle(texts.mapInArrow(_signed(words, bands, rows, idf), "id long, w1 long, w2 long, bands array<long>"))
     # texts with the same words are one vertex; so are rows with the same id
     vertices = settle(signed.where(F.size("bands") > 0).groupBy("w1", "w2").agg(F.min("id").alias("v"), F.any_value("bands").alias("bands")).where("v IS NOT NULL"))
-    buckets = settle(vertices.select("v", F.posexplode("bands").alias("band", "h")).distinct())
-    heads = buckets.groupBy("band", "h").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    tested = settle(buckets.join(heads, ["band", "h"]).where("v <> a").select("a", F.col("v").alias("b")).distinct())
-    by_id = texts.repartition(n, "id")
-    links = settle(verify(tested, by_id, words, threshold, idf))
+    buckets = vertices.select("v", F.posexplode_outer("bands").alias("band", "h")).distinct()
+    heads = buckets.groupBy("band", "h").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # members of buckets that hold more than one vertex
+    buckets = settle(buckets.join(heads, ["band", "h"]))
+    tested = settle(buckets.where("v <> a").select("a", F.col("v").alias("b")).distinct())
+    texts = settle(texts.join(buckets.select(F.col("v").alias("id")).distinct(), "id"))
+    links = settle(verify(tested, texts, words, threshold, idf))
     found = settle(components(links))
-    # members of a bucket that are in different components yet
-    at = buckets.join(heads, ["band", "h"]).drop("a").join(found, F.col("v") == F.col("id"), "left").select("band", "h", "v", F.coalesce("component", "v").alias("c"))
-    open_ = at.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("band", "h")
-    left = settle(at.join(open_, ["band", "h"]))
-    more = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c")))
-    more = settle(more.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.union(verify(more, by_id, words, threshold, idf))
+    # buckets whose members are in different components yet: their members are compared by an exact way that needs no bucket
+    at = buckets.where("n > 2").select("band", "h", "v").join(found, F.col("v") == F.col("id"), "left").select("band", "h", "v", F.coalesce("component", "v").alias("c"))
+    open_ = at.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "h")
+    left = settle(at.join(open_, ["band", "h"]).select("v", "c").distinct())
+    if left.limit(1).count():
+        more = prefix_pairs(texts.join(left, F.col("id") == F.col("v")), words, threshold, idf)
+        links = links.union(verify(settle(more.join(tested, ["a", "b"], "left_anti")), texts, words, threshold, idf))
         found = components(links)
     names = vertices.join(found, F.col("v") == F.col("id"), "left").select("w1", "w2", F.coalesce("component", "v").alias("class_id"))
     return signed.join(names, ["w1", "w2"], "left").select(F.col("id").alias("doc_id"), F.when(F.size("bands") > 0, F.least("class_id", "id")).otherwise(F.col("id")).alias("class_id"))
