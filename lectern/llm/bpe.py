@@ -36,8 +36,8 @@ from lectern.llm.textblocks import blocks
 NONE = np.int64(2**62)
 #: White space of Unicode, at which texts are cut. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Chunks that a worker remembers, some 350 bytes each.
-CACHE = 1_000_000
+#: Chunks that a worker remembers, some 200 bytes each.
+CACHE = 700_000
 BATCH = 4096
 
 
@@ -67,7 +67,8 @@ class Bpe:
         key = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.pair, self.rank, self.made = key[order], order.astype(np.int64), np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self.cache: dict[str, tuple[str, int, str]] = {t: (str(i), 1, t) for t, i in self.special.items()}
+        # chunk: its ids joined by blanks, a tab, its tokens joined by blanks
+        self.cache: dict[str, str] = {t: f"{i}\t{t}" for t, i in self.special.items()}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; NONE where it is no merge or an id is -1."""
@@ -154,29 +155,31 @@ class Bpe:
         plain = low if max(low) < "\u0558" else "".join(["\ue000" if unicodedata.category(c) == "Cn" else c for c in low])
         return [low[m.start() : m.end()].encode() for m in self.words.finditer(plain)]
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """(ids joined by blanks, number of ids, tokens joined by blanks) of each chunk without white space or special tokens."""
+    def encode_chunks(self, chunks: list[str]) -> list[str]:
+        """Ids joined by blanks, a tab, and tokens joined by blanks, of each chunk without white space or special tokens."""
         index: dict[bytes, int] = {}
         words = [[index.setdefault(w, len(index)) for w in self.pre_tokens(c)] for c in chunks]
         ids = self.merge(list(index))
         texts, names = [" ".join(map(str, x)) for x in ids], [self.decode(x) for x in ids]
-        return [(texts[ws[0]], len(ids[ws[0]]), names[ws[0]]) if len(ws) == 1 else (" ".join([texts[w] for w in ws]), sum([len(ids[w]) for w in ws]), " ".join([names[w] for w in ws])) for ws in words]
+        return [" ".join([texts[w] for w in ws]) + "\t" + " ".join([names[w] for w in ws]) for ws in words]
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """(ids joined by blanks, number of ids, tokens joined by blanks) of each text."""
         parts = [self.cuts.split(text) if self.cuts and any(s in text for s in self.special) else (text,) for text in texts]
-        chunks = [[[p] if p in self.special else split_white(p) for p in ps] for ps in parts]
+        chunks = [[c for p in ps for c in ([p] if p in self.special else split_white(p))] for ps in parts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-            self.cache.update({t: (str(i), 1, t) for t, i in self.special.items()})
-        new = list({c for cs in chunks for part in cs for c in part} - self.cache.keys())
+            self.cache.update({t: f"{i}\t{t}" for t, i in self.special.items()})
+        new = list({c for cs in chunks for c in cs} - self.cache.keys())
         for lo in range(0, len(new), BATCH):
             part = new[lo : lo + BATCH]
             self.cache.update(zip(part, self.encode_chunks(part), strict=True))
         out = []
         for cs in chunks:
-            found = [f for part in cs for f in map(self.cache.__getitem__, part) if f[1]]
-            out.append((" ".join([f[0] for f in found]), sum([f[1] for f in found]), " ".join([f[2] for f in found])))
+            # a chunk has at least one token, as the pre-tokenizer leaves nothing but white space out
+            found = "\t".join(map(self.cache.__getitem__, cs)).split("\t")
+            ids, names = " ".join(found[0::2]), " ".join(found[1::2])
+            out.append((ids, ids.count(" ") + 1 if cs else 0, names))
         return out
 
     def decode(self, ids: list[int]) -> str:
