@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 # End of fixed values.
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once a row even where f uses it inside a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end (trim() takes blanks only)."""
     return F.regexp_replace(c, r"^\s+|\s+\z", "")

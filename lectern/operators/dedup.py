@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import dedup_form
+from lectern.functions.text import dedup_form, let
 
 UNLISTED = 10_000
 
@@ -39,10 +39,13 @@ def exact_groups(sections: DataFrame, by: list[str]) -> DataFrame:
 
 def shingles_of(norm: Column, k: int) -> Column:
     """Hashes of the distinct k-word shingles; all words if there are fewer, none for an empty text."""
-    w = F.filter(F.split(norm, " "), lambda x: x != "")
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)]))
-    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(norm))).otherwise(F.array_distinct(many))
+    def many(hashes: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)])))
+
+    def of(hashes: Column) -> Column:
+        return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).when(F.size(hashes) < k, F.array(F.xxhash64(norm))).otherwise(many(hashes))
+
+    return let(F.transform(F.filter(F.split(norm, " "), lambda x: x != ""), lambda x: F.xxhash64(x)), of)
 
 
 def near_pairs(sections: DataFrame, by: list[str], k: int = 10, threshold: float = 0.6, tolerance: float = 0.3) -> DataFrame:

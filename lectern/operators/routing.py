@@ -64,7 +64,7 @@ def word_present(word: str, among: list[str]) -> bool:
     return any(q == word or (min(len(q), len(word)) >= MIN_WORD and difflib.SequenceMatcher(None, q, word).ratio() >= MIN_RATIO) for q in among)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def present_words(title_words: pd.Series, question_words: pd.Series) -> pd.Series:
     """How many of the title's words the question has."""
     return pd.Series([sum(word_present(w, q) for w in t) for t, q in zip(title_words, question_words, strict=True)], dtype="int32")
@@ -92,8 +92,11 @@ def parse_chapter(question: Column) -> Column:
 def chapter_variants(label: Column) -> Column:
     """Spellings that a chapter's heading may have."""
     bases = F.when(label == "THE LAST", F.array(F.lit("THE LAST"), F.lit("the Last"), F.lit("the last"))).otherwise(F.array(label, roman_value(label).cast("string")))
-    forms = [F.transform(bases, lambda b, p=prefix: F.array(F.concat(F.lit(f"{p} "), b), F.concat(F.lit(f"{p} "), b, F.lit(".")))) for prefix in ("CHAPTER", "Chapter")]
-    return F.flatten(F.concat(*forms))
+
+    def headed(prefix: str) -> Column:
+        return F.transform(bases, lambda b: F.array(F.concat(F.lit(prefix), b), F.concat(F.lit(prefix), b, F.lit("."))))
+
+    return F.flatten(F.concat(headed("CHAPTER "), headed("Chapter ")))
 
 
 def route(questions: DataFrame, works: DataFrame) -> DataFrame:

@@ -125,8 +125,8 @@ def _channels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     none, zero = F.lit(0), F.lit(0)
     parts = F.array(
         part(4, F.lit(True), F.when(many, F.array_position("work_titles", F.col("c.work_title")).cast("int")).otherwise(none), zero, F.when(many, F.greatest(F.lit(2), F.ceil(F.col("top_k") / n))).otherwise(F.col("top_k"))),
-        part(1, contains_any(F.col("page_content"), F.col("entity_terms")), none, -strictness(F.col("page_content"), F.col("topic_groups")), F.lit(ALIAS_K)),
-        part(2, contains_any(F.col("page_content"), F.col("variants")), none, zero, F.lit(KEYWORD_K)),
+        part(1, contains_any(F.col("c.page_content"), F.col("entity_terms")), none, -strictness(F.col("c.page_content"), F.col("topic_groups")), F.lit(ALIAS_K)),
+        part(2, contains_any(F.col("c.page_content"), F.col("variants")), none, zero, F.lit(KEYWORD_K)),
     )
     cols = [F.col(f"c.{c}").alias(c) for c in chunks.columns if c != "embedding"]
     rows = rows.select("qid", *cols, squared_distance(F.col("c.embedding"), F.col("qvec")).alias("distance"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("*", "p.*").drop("p")

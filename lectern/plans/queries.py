@@ -270,13 +270,13 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RETRIEVAL = f"""
 c AS (SELECT e.vec_id, label, CASE WHEN label % 2 = 0 THEN 'literature' ELSE 'life_process' END AS mode, 'w' || label AS work_title,
-  CASE WHEN e.vec_id % 5 = 0 THEN 'CHAPTER I' WHEN e.vec_id % 5 = 1 THEN 'Chapter 2.' ELSE 'Part ' || (e.vec_id % 5) END AS section_title, e.vec_id // 5 AS chunk_index, coalesce(left(d.text, 400), '') AS body, embedding
+  CASE WHEN e.vec_id % 5 = 0 THEN 'CHAPTER I' WHEN e.vec_id % 5 = 1 THEN 'Chapter 2.' ELSE 'Part ' || (e.vec_id % 5) END AS section_title, CAST(row_number() OVER (PARTITION BY label, e.vec_id % 5 ORDER BY e.vec_id) - 1 AS INTEGER) AS chunk_index, coalesce(left(d.text, 400), '') AS body, embedding
   FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
 q AS (SELECT vec_id AS qid, embedding, CASE vec_id % 3 WHEN 0 THEN 'oeuvre' WHEN 1 THEN 'specific_work' ELSE 'life_process' END AS scope,
   CASE WHEN vec_id % 3 = 1 THEN CASE WHEN vec_id % 2 = 1 THEN ['w' || (2 * (vec_id % 5))] ELSE ['w' || (2 * (vec_id % 5)), 'w' || (2 * ((vec_id + 1) % 5))] END END AS titles,
   CASE WHEN vec_id % 3 = 1 AND vec_id % 2 = 1 THEN CASE WHEN vec_id % 4 = 1 THEN 'II' ELSE 'IX' END END AS chapter,
   CASE WHEN vec_id % 3 = 2 THEN CASE WHEN vec_id % 2 = 0 THEN ['w1', 'w3'] ELSE ['w99'] END END AS only_works,
-  CASE WHEN vec_id % 2 = 0 THEN ['the ', 'der '] ELSE [] END AS terms, vec_id % 4 = 0 AS topics, CASE WHEN vec_id % 5 < 2 THEN ['Th', 'ou'] ELSE [] END AS variants
+  CASE WHEN vec_id % 2 = 0 THEN ['the ', 'der '] ELSE [] END AS terms, vec_id % 4 = 0 AS topics, CASE WHEN vec_id % 50 = 3 THEN ['Th', 'ou'] ELSE [] END AS variants
   FROM embeddings WHERE vec_id % 25 = 3),
 base AS (SELECT q.qid, q.titles, q.scope, q.chapter, q.only_works, q.terms, q.topics, q.variants, v.vec_id, v.label, v.mode, v.work_title, v.section_title, v.chunk_index, v.body, {DIST} AS d,
   (q.only_works IS NULL OR list_contains(q.only_works, v.work_title)) AND (q.chapter IS NULL OR q.chapter = 'II' AND v.section_title = 'Chapter 2.') AS strict

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.sources import catalog as cat
@@ -82,7 +83,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("vec_id") % 5 == 0, "CHAPTER I").when(F.col("vec_id") % 5 == 1, "Chapter 2.").otherwise(F.concat(F.lit("Part "), (F.col("vec_id") % 5).cast("string")))
     return v.join(d, "vec_id", "left").select(
         F.lit("ada").alias("author_key"), F.when(F.col("label") % 2 == 0, "literature").otherwise("life_process").alias("mode"), F.concat(F.lit("w"), F.col("label").cast("string")).alias("work_title"),
-        title.alias("section_title"), F.lit(1).alias("section_index"), F.floor(F.col("vec_id") / 5).cast("int").alias("chunk_index"), F.coalesce("page_content", F.lit("")).alias("page_content"),
+        title.alias("section_title"), F.lit(1).alias("section_index"), (F.row_number().over(W.partitionBy("label", F.col("vec_id") % 5).orderBy("vec_id")) - 1).alias("chunk_index"), F.coalesce("page_content", F.lit("")).alias("page_content"),
         F.concat(F.lit("ref"), F.col("vec_id").cast("string")).alias("source_ref"), "embedding", "vec_id",
     )
 
@@ -100,5 +101,5 @@ def understood(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q % 3 == 2, F.when(q % 2 == 0, F.array(F.lit("w1"), F.lit("w3"))).otherwise(F.array(F.lit("w99")))).alias("only_works"),
         F.when(q % 2 == 0, F.array(F.lit("the "), F.lit("der "))).otherwise(F.lit(None).cast(texts)).alias("entity_terms"),
         F.when(q % 4 == 0, F.array(F.array(F.lit("of ")), F.array(F.lit("in "), F.lit("zz")))).alias("topic_groups"),
-        F.when(q % 5 < 2, F.array(F.lit("Th"), F.lit("ou"))).otherwise(F.array().cast(texts)).alias("variants"),
+        F.when(q % 50 == 3, F.array(F.lit("Th"), F.lit("ou"))).otherwise(F.array().cast(texts)).alias("variants"),
     )
