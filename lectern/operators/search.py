@@ -23,7 +23,7 @@ TOP_K, TOP_K_WORK, TOP_K_CHAPTER, ALIAS_K, KEYWORD_K, MERGED, NEIGHBOUR_HITS, KE
 MAX_DISTANCE, MAX_DISTANCE_SCOPED = 1.3, 2.0
 # End of fixed values.
 CHUNK_ORDER = ("work_title", "section_title", "section_index", "chunk_index")
-#: Questions of which one matrix is sent to the tasks at once by `nearest`.
+#: Questions of which one matrix is sent to the tasks at once.
 QUESTIONS_AT_ONCE = 2_000
 
 
@@ -115,8 +115,47 @@ def relax(understood: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumns({"only_works": F.when(F.col("met"), F.col("only_works")), "chapter": F.when(F.col("met"), F.col("chapter"))}).drop("met")
 
 
+def _with_distances(chunks: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """chunks with dists, the distances from each row of the matrix, in place of embedding: a matrix product a batch."""
+    rest = [c for c in chunks.columns if c != "embedding"]
+    norms = (matrix**2).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                n = batch.num_rows
+                x = batch.column(len(rest)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+                # rounded, so that equal vectors are equally far whatever batch they are in
+                d = np.round(np.maximum(norms[None, :] + (x**2).sum(1)[:, None] - 2 * x @ matrix.T, 0), 12)
+                dists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, len(matrix), dtype=np.int32)), pa.array(d.ravel()))
+                yield pa.record_batch([*batch.columns[: len(rest)], dists], names=[*rest, "dists"])
+
+    schema = chunks.select(*rest, F.array(F.lit(0.0)).alias("dists")).schema
+    return chunks.where("embedding IS NOT NULL").select(*rest, "embedding").mapInArrow(run, schema)
+
+
 def _channels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel."""
+    """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel. Questions are taken in blocks of bounded size."""
+    spark = questions.sparkSession
+    found, block = None, []
+
+    def search(block: list) -> DataFrame:
+        at = spark.createDataFrame([(r["qid"], i) for i, r in enumerate(block)], "qid long, nth int")
+        q = questions.drop("qvec").join(F.broadcast(at), "qid")
+        return _channels_of(q, _with_distances(chunks, np.array([r["qvec"] for r in block], np.float64)))
+
+    for r in questions.select("qid", "qvec").toLocalIterator():
+        block.append(r)
+        if len(block) == QUESTIONS_AT_ONCE:
+            found, block = (search(block) if found is None else found.unionByName(search(block))), []
+    if block or found is None:
+        part = search(block) if block else _channels_of(questions.drop("qvec").withColumn("nth", F.lit(0)), chunks.withColumn("dists", F.array(F.lit(0.0))).drop("embedding"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _channels_of(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     q = dim(questions).alias("q")
     rows = chunks.alias("c").join(q, (F.col("c.author_key") == F.col("q.author_key")) & in_scope() & in_window() & in_chapter())
     n = F.greatest(F.coalesce(F.size("work_titles"), F.lit(1)), F.lit(1))
@@ -128,8 +167,8 @@ def _channels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         part(1, contains_any(F.col("c.page_content"), F.col("entity_terms")), none, -strictness(F.col("c.page_content"), F.col("topic_groups")), F.lit(ALIAS_K)),
         part(2, contains_any(F.col("c.page_content"), F.col("variants")), none, zero, F.lit(KEYWORD_K)),
     )
-    cols = [F.col(f"c.{c}").alias(c) for c in chunks.columns if c != "embedding"]
-    rows = rows.select("qid", *cols, squared_distance(F.col("c.embedding"), F.col("qvec")).alias("distance"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("*", "p.*").drop("p")
+    cols = [F.col(f"c.{c}").alias(c) for c in chunks.columns if c != "dists"]
+    rows = rows.select("qid", *cols, F.get("c.dists", F.col("nth")).alias("distance"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("*", "p.*").drop("p")
     best = best_per(rows, ["qid", "channel", "title_pos"], ["tier", "distance", *CHUNK_ORDER], max(TOP_K_CHAPTER, ALIAS_K)).where("rank <= k")
     pos = F.row_number().over(W.partitionBy("qid", "channel").orderBy("rank", "title_pos"))
     return best.withColumn("pos", pos).drop("title_pos", "tier", "k", "rank")
