@@ -99,7 +99,8 @@ def _left(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    # none is to be picked where p is 0: the order is null there
+    q = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("p") / (1 - F.col("p")))
     return rows.withColumn("q", q).withColumn("bucket", F.least(F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
 
 
