@@ -187,7 +187,7 @@ def _judge(refs: References, limits: dict):
     return judge
 
 
-def score(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", base_words: int = 50, repeat_percent: int = 50, min_words: int = 50, min_words_common: int = 80, class_distance: float = 0.27, word_distance: float = 0.57) -> DataFrame:
+def score(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", base_words: int = 50, repeat_percent: int = 50, min_words: int = 50, min_words_common: int = 50, class_distance: float = 0.29, word_distance: float = 0.6) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance."""
     limits = {k: v for k, v in locals().items() if k in ("base_words", "repeat_percent", "min_words", "min_words_common", "class_distance", "word_distance")}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
