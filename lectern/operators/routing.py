@@ -80,6 +80,11 @@ def likely_work(questions: DataFrame, works: DataFrame) -> DataFrame:
     return best.select("qid", F.col("b.work_title").alias("title"), (-F.col("b.f")).alias("fraction"))
 
 
+def best_title(titles: Column) -> Column:
+    """The first of the works that a question names, or null."""
+    return F.get(titles, 0)
+
+
 def parse_chapter(question: Column) -> Column:
     """'THE LAST', a numeral from I to CXCIX, or null; letters must be a well-formed numeral."""
     q = F.lower(question)

@@ -7,7 +7,7 @@ and channel. Distances are squared Euclidean. Ties fall by work, section and chu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators.dedup import settle
 from lectern.operators.routing import best_per, chapter_variants
 from lectern.sources.catalog import dim
 
@@ -86,9 +87,14 @@ def contains_any(text: Column, terms: Column) -> Column:
     return F.coalesce(F.exists(terms, lambda t: F.contains(text, t)), F.lit(False))
 
 
-def strictness(text: Column, topic_groups: Column) -> Column:
-    """How many topic groups, from the first on without a gap, have a term in the text."""
-    step = lambda s, g: F.when(s["going"] & F.exists(g, lambda t: F.contains(text, t)), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("going"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("going")))
+def has_any(found: Column, terms: Column) -> Column:
+    """One of the terms is among those found; false for no terms."""
+    return F.coalesce(F.arrays_overlap(found, terms), F.lit(False))
+
+
+def strictness(has: Callable[[Column], Column], topic_groups: Column) -> Column:
+    """How many topic groups, from the first on without a gap, the chunk `has` a term of."""
+    step = lambda s, g: F.when(s["going"] & has(g), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("going"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("going")))
     return F.aggregate(F.coalesce(topic_groups, F.array().cast("array<array<string>>")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("going")), step, lambda s: s["n"])
 
 
@@ -115,12 +121,29 @@ def relax(understood: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumns({"only_works": F.when(F.col("met"), F.col("only_works")), "chapter": F.when(F.col("met"), F.col("chapter"))}).drop("met")
 
 
-def _with_distances(chunks: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """chunks with dists, the distances from each row of the matrix, in place of embedding: a matrix product a batch."""
+def term_finder(terms: set[str]) -> Callable[[str], list[str]]:
+    """A function that lists those of the terms that stand in a text; one pass over the text where an Aho-Corasick automaton is installed."""
+    plain = {t for t in terms if t}
+    if not plain:
+        return lambda text: []
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [t for t in plain if t in text]
+    automaton = ahocorasick.Automaton()
+    for t in plain:
+        automaton.add_word(t, t)
+    automaton.make_automaton()
+    return lambda text: list({t for _, t in automaton.iter(text)})
+
+
+def _prepared(chunks: DataFrame, matrix: np.ndarray, terms: set[str]) -> DataFrame:
+    """chunks with dists, the distances from each row of the matrix (a matrix product a batch), and found, the terms they hold, in place of embedding."""
     rest = [c for c in chunks.columns if c != "embedding"]
-    norms = (matrix**2).sum(1)
+    norms, text_at = (matrix**2).sum(1), rest.index("page_content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = term_finder(terms)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
@@ -129,9 +152,10 @@ def _with_distances(chunks: DataFrame, matrix: np.ndarray) -> DataFrame:
                 # rounded, so that equal vectors are equally far whatever batch they are in
                 d = np.round(np.maximum(norms[None, :] + (x**2).sum(1)[:, None] - 2 * x @ matrix.T, 0), 12)
                 dists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, len(matrix), dtype=np.int32)), pa.array(d.ravel()))
-                yield pa.record_batch([*batch.columns[: len(rest)], dists], names=[*rest, "dists"])
+                found = pa.array([find(t or "") for t in batch.column(text_at).to_pylist()], pa.list_(pa.string()))
+                yield pa.record_batch([*batch.columns[: len(rest)], dists, found], names=[*rest, "dists", "found"])
 
-    schema = chunks.select(*rest, F.array(F.lit(0.0)).alias("dists")).schema
+    schema = chunks.select(*rest, F.array(F.lit(0.0)).alias("dists"), F.array(F.lit("")).alias("found")).schema
     return chunks.where("embedding IS NOT NULL").select(*rest, "embedding").mapInArrow(run, schema)
 
 
@@ -139,18 +163,20 @@ def _channels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel. Questions are taken in blocks of bounded size."""
     spark = questions.sparkSession
     found, block = None, []
+    plain = questions.drop("qvec")
 
     def search(block: list) -> DataFrame:
         at = spark.createDataFrame([(r["qid"], i) for i, r in enumerate(block)], "qid long, nth int")
-        q = questions.drop("qvec").join(F.broadcast(at), "qid")
-        return _channels_of(q, _with_distances(chunks, np.array([r["qvec"] for r in block], np.float64)))
+        terms = {t for r in block for t in [*(r["entity_terms"] or []), *(r["variants"] or []), *(t for g in r["topic_groups"] or [] for t in g)]}
+        return _channels_of(plain.join(F.broadcast(at), "qid"), _prepared(chunks, np.array([r["qvec"] for r in block], np.float64), terms))
 
-    for r in questions.select("qid", "qvec").toLocalIterator():
+    for r in questions.select("qid", "qvec", "entity_terms", "topic_groups", "variants").toLocalIterator():
         block.append(r)
         if len(block) == QUESTIONS_AT_ONCE:
             found, block = (search(block) if found is None else found.unionByName(search(block))), []
     if block or found is None:
-        part = search(block) if block else _channels_of(questions.drop("qvec").withColumn("nth", F.lit(0)), chunks.withColumn("dists", F.array(F.lit(0.0))).drop("embedding"))
+        nothing = chunks.drop("embedding").withColumns({"dists": F.array(F.lit(0.0)), "found": F.array(F.lit(""))})
+        part = search(block) if block else _channels_of(plain.withColumn("nth", F.lit(0)), nothing)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -164,10 +190,10 @@ def _channels_of(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     none, zero = F.lit(0), F.lit(0)
     parts = F.array(
         part(4, F.lit(True), F.when(many, F.array_position("work_titles", F.col("c.work_title")).cast("int")).otherwise(none), zero, F.when(many, F.greatest(F.lit(2), F.ceil(F.col("top_k") / n))).otherwise(F.col("top_k"))),
-        part(1, contains_any(F.col("c.page_content"), F.col("entity_terms")), none, -strictness(F.col("c.page_content"), F.col("topic_groups")), F.lit(ALIAS_K)),
-        part(2, contains_any(F.col("c.page_content"), F.col("variants")), none, zero, F.lit(KEYWORD_K)),
+        part(1, has_any(F.col("c.found"), F.col("entity_terms")), none, -strictness(lambda g: has_any(F.col("c.found"), g), F.col("topic_groups")), F.lit(ALIAS_K)),
+        part(2, has_any(F.col("c.found"), F.col("variants")), none, zero, F.lit(KEYWORD_K)),
     )
-    cols = [F.col(f"c.{c}").alias(c) for c in chunks.columns if c != "dists"]
+    cols = [F.col(f"c.{c}").alias(c) for c in chunks.columns if c not in ("dists", "found")]
     rows = rows.select("qid", *cols, F.get("c.dists", F.col("nth")).alias("distance"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("*", "p.*").drop("p")
     best = best_per(rows, ["qid", "channel", "title_pos"], ["tier", "distance", *CHUNK_ORDER], max(TOP_K_CHAPTER, ALIAS_K)).where("rank <= k")
     pos = F.row_number().over(W.partitionBy("qid", "channel").orderBy("rank", "title_pos"))
@@ -193,8 +219,8 @@ def fuse(hits: DataFrame, limit: Column) -> DataFrame:
 
 def retrieve(understood: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(questions after relaxation, ranked hits of them). understood needs qvec; hits have qid, rank, via_alias, distance and the chunk's columns."""
-    q = relax(understood.where("scope <> 'meta'"), chunks).withColumn("top_k", depth())
-    found = _channels(q, chunks)
+    q = settle(relax(understood.where("scope <> 'meta'"), chunks).withColumn("top_k", depth()))
+    found = settle(_channels(q, chunks))  # a few rows a question, read again for neighbours and fusion
     found = found.unionByName(neighbours(found, chunks))
     # the normal list alone is not cut; with extras the whole is
     extra = found.groupBy("qid").agg(F.max(F.when(F.col("channel") < 4, 1).otherwise(0)).alias("extra"))
