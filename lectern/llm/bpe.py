@@ -31,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import small_batches
 from lectern.llm.textblocks import blocks
 
 NONE = np.int64(2**62)
 #: White space of Unicode, at which texts are cut. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Chunks that a worker remembers, some 200 bytes each.
-CACHE = 700_000
+CACHE = 600_000
 BATCH = 4096
 
 
@@ -201,6 +202,11 @@ def _loaded(spec: str) -> Bpe:
     return Bpe(json.loads(spec))
 
 
+def forget() -> None:
+    """Frees the tokenizers and chunks that this worker remembers."""
+    _loaded.cache_clear()
+
+
 def load(path: str) -> Bpe:
     with open(path, encoding="utf-8") as f:
         return _loaded(f.read())
@@ -226,7 +232,7 @@ def encode(docs: DataFrame, path: str, keep: dict[str, Column] | None = None, te
     """One row per row of docs: the columns `keep`, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. The file goes to the executors through SparkContext.addFile."""
     keep = keep or {"doc_id": F.col("doc_id")}
     docs.sparkSession.sparkContext.addFile(path)
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = small_batches(docs).select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))

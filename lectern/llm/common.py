@@ -27,6 +27,18 @@ def _own_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows of an Arrow batch: memory holds the texts of so many rows at once, on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that its session's Arrow batches have no more than BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, its lineage cut; survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.textblocks import LOWER, blocks
+from lectern.llm.common import small_batches
+from lectern.llm.textblocks import LOWER, blocks, forget
 
 DIMENSIONS = 1 << 12
 MAX_LANGUAGES = 256
@@ -85,6 +86,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for lo, hi, data, at in blocks(batch.column(2), rows=256):
             row, place, count = gram_counts(data, at)
@@ -95,7 +97,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, clusters: int = 4, reject: float = 0.5) -> Model:
     """A model from the rows of docs with text and language; rejection starts at `reject` times the training texts' 1st percentile of cosines."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), id_col).alias("nth"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), id_col).alias("nth"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
@@ -125,6 +127,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 def _predictor(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             width = batch.num_columns - 2
             for lo, hi, data, at in blocks(batch.column(width), rows=256):
@@ -152,6 +155,6 @@ def has_letter(text_col: str) -> Column:
 def identify(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None, text_col: str = "text") -> DataFrame:
     """One row per row of docs: the columns `keep` (names and expressions), lang_pred, score, rejected."""
     keep = keep or {"doc_id": F.col("doc_id")}
-    rows = docs.select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"), has_letter(text_col).alias("__lettered"))
+    rows = small_batches(docs).select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"), has_letter(text_col).alias("__lettered"))
     schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return rows.mapInArrow(_predictor(model), schema)

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle
+from lectern.llm.common import settle, small_batches
 from lectern.llm.components import components
-from lectern.llm.textblocks import LOWER, VALUE, blocks, gram_hash, mix, powers, runs, span_hash
+from lectern.llm.textblocks import LOWER, VALUE, blocks, forget, gram_hash, mix, powers, runs, span_hash
 
 DF_BUCKETS = 1 << 18
 TABLE = 1 << 16
@@ -110,6 +110,7 @@ def samples(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, number: int)
 
 def _df(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         count, docs = np.zeros(DF_BUCKETS, np.int64), 0
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(0)):
@@ -141,6 +142,7 @@ def inverse_frequencies(texts: DataFrame, k: int) -> np.ndarray:
 
 def _signed(k: int, bands: int, rows: int, idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(1)):
                 n = hi - lo
@@ -184,6 +186,7 @@ def weighted_jaccard(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: i
 
 def _verified(k: int, threshold: float, idf: np.ndarray):
     def run(one: pa.Table, others: pa.Table) -> pa.Table:
+        forget()
         a, b = [], []
         if one.num_rows and others.num_rows:
             others = others.combine_chunks()
@@ -245,7 +248,7 @@ def prefix_pairs(docs: DataFrame, k: int, threshold: float, idf: np.ndarray) ->
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = inverse_frequencies(texts, words)
     signed = settle(texts.mapInArrow(_signed(words, bands, rows, idf), "id long, w1 long, w2 long, bands array<long>"))
     # texts with the same words are one vertex; so are rows with the same id

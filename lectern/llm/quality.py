@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle
-from lectern.llm.textblocks import IS_WORD, LOWER, VALUE, blocks, gram_hash, mix, runs, span_hash
+from lectern.llm.common import settle, small_batches
+from lectern.llm.textblocks import IS_WORD, LOWER, VALUE, blocks, forget, gram_hash, mix, runs, span_hash
 
 BUCKETS = 1 << 14
 MAX_LANGUAGES = 256
@@ -60,6 +60,7 @@ def _histograms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -101,7 +102,7 @@ class References:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 200) -> References:
     """References from every document that has a language."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = rows.mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     is_word = F.col("cell") >= CLASSES
     by = W.partitionBy("lang")
@@ -161,6 +162,7 @@ def _judge(refs: References, limits: dict):
     schema = pa.schema([("doc_id", pa.int64())] + [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(1)):
                 n = hi - lo
@@ -190,6 +192,6 @@ def _judge(refs: References, limits: dict):
 def score(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", base_words: int = 50, repeat_percent: int = 50, min_words: int = 50, min_words_common: int = 50, class_distance: float = 0.29, word_distance: float = 0.6) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance."""
     limits = {k: v for k, v in locals().items() if k in ("base_words", "repeat_percent", "min_words", "min_words_common", "class_distance", "word_distance")}
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     return rows.mapInArrow(_judge(refs, limits), f"doc_id long, {counts}, base_failed boolean, kept boolean, class_distance double, word_distance double")

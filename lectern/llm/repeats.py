@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.textblocks import IS_WORD, VALUE, blocks, gram_hash, runs, sliding_min, span_hash, text_bytes
+from lectern.llm.common import small_batches
+from lectern.llm.textblocks import IS_WORD, VALUE, blocks, forget, gram_hash, runs, sliding_min, span_hash, text_bytes
 
 CHUNK_BITS = 20
 NULL_ID = -(2**63)
@@ -96,6 +97,7 @@ def unpack(data: bytes) -> dict[str, pa.Array]:
 
 def _hash_lists(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         by_block: dict[int, list[pa.RecordBatch]] = {}
         for b in batches:
             for block in b.column(0).unique().to_pylist():
@@ -259,7 +261,7 @@ def remove_repeats(docs: DataFrame, judge: Callable, finish: Callable, words: bo
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spec = Spec(words, window, gram, targets=4 * n, targets_of_hashes=n)
     names = F.array(*[F.lit(i).cast("long") for i in _block_names(spark, n)])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.select(F.get(names, F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(n)).cast("int")).alias("block"), "id", "text").repartition(n, "block")
     lists = dealt.mapInArrow(_hash_lists(spec), "target long, block long, data binary")
     shared = lists.groupBy("target").applyInArrow(_shared_hashes, "block long, data binary")

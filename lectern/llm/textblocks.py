@@ -6,6 +6,7 @@ memory is bounded by a block or by the longest text.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,12 @@ BASE = int(_rng.integers(1, 2**62)) * 8 + 5
 _pow = np.ones(1, np.uint64)
 
 
+def forget() -> None:
+    """Frees what other operators remember in this worker, which may have served them before."""
+    if (bpe := sys.modules.get("lectern.llm.bpe")) is not None:
+        bpe.forget()
+
+
 def powers(n: int) -> np.ndarray:
     """BASE ** (0 .. n-1) modulo 2 ** 64."""
     global _pow

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle, shared_dir
+from lectern.llm.common import settle, shared_dir, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORD_ID = "urn:page:"
@@ -107,7 +107,7 @@ def _writer(folder: str, level: int, date: str):
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes archives below folder (a URI that driver and executors share): a row (path, records, bytes) for each."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "sha1": F.unhex(F.sha1("payload")), "sha2": F.unhex(F.sha2("payload", 256))})
     firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha2").agg(F.min("page_id").alias("refers_to"))
     rows = rows.join(firsts, "sha2", "left").withColumn("response", F.col("refers_to").isNull() | F.col("page_id").eqNullSafe(F.col("refers_to")))
