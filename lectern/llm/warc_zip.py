@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle, shared_dir, small_batches
+from lectern.llm.common import shared_dir, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORD_ID = "urn:page:"
@@ -114,7 +114,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.select("page_id", "url", F.when(F.col("response"), F.col("payload")).alias("payload"), "n_bytes", "sha1", "response", "refers_to")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return settle(rows.mapInArrow(_writer(folder, level, date), "path string, records long, bytes long"))
+    # the driver gets a row an archive, as many as there are tasks that write; so each archive is written once
+    schema = "path string, records long, bytes long"
+    return pages.sparkSession.createDataFrame(rows.mapInArrow(_writer(folder, level, date), schema).collect(), schema)
 
 
 def central_directory(f) -> dict[str, tuple[int, int, int, int]]:
