@@ -530,16 +530,10 @@ def truncation_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From sections to answers in one job: the catalog's works are the sources src0 to src4."""
-    names = [w["title"] for m in ("literature", "life_process") for w in views.CATALOG["authors"]["ada"][m]]
-    k = F.regexp_extract("source", r"^src([0-4])$", 1)
-    s = table(spark, sf_dir, "documents").where(k != "").select(
-        F.col("doc_id").alias("seq"), F.lit("ada").alias("author_key"), F.lit("Ada Merrow").alias("author_display"), F.when(k.cast("int") < 3, "literature").otherwise("life_process").alias("mode"),
-        F.get(F.array(*map(F.lit, names)), k.cast("int")).alias("work_title"), F.concat(F.lit("CHAPTER "), T.to_roman(F.col("doc_id") % 19 + 1)).alias("section_title"), F.col("doc_id").cast("int").alias("section_index"), "text", F.lit("ref").alias("source_ref"), k.cast("int").alias("priority"),
-    )
-    index, _ = jobs.build_index(s)
-    q = views.questions(spark, sf_dir).where("qid % 10 = 1")
-    out = jobs.answer(q, views.works(spark), views.alias_groups(spark), views.windows(spark), dedup.settle(index), restricted_terms=["the"])
+    """From all sections to an answer for each turn, in one job: every source is a work."""
+    index, _ = jobs.build_index(views.source_sections(spark, sf_dir))
+    works = dedup.settle(views.source_works(spark, sf_dir))
+    out = jobs.answer(views.questions(spark, sf_dir), works, views.alias_groups(spark), views.windows(spark), dedup.settle(index), restricted_terms=["the"])
     return out.select("qid", "scope", "work_title", "chapter", "grounded", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), md5("answer").alias("answer"))
 
 

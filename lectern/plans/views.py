@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.sources import catalog as cat
 
 #: An invented catalog.
@@ -68,6 +69,34 @@ def works(spark: SparkSession) -> DataFrame:
     return cat.works(spark, CATALOG)
 
 
+def _work_of(source: Column) -> tuple[Column, Column, Column]:
+    """(mode, title, priority) of a source's work: src0 to src4 are the catalog's, any other source, and none, is a work of its own."""
+    listed = [(m, w["title"]) for m in cat.MODES for w in CATALOG["authors"]["ada"][m]]
+    nth = F.coalesce(F.array_position(F.array(*[F.lit(f"src{i}") for i in range(len(listed))]), source) - 1, F.lit(-1)).cast("int")
+    mode = F.when(F.crc32(F.coalesce(source, F.lit("")).cast("binary")) % 2 == 0, "literature").otherwise("life_process")
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in listed]), nth)
+    title = F.coalesce(of(1), F.concat(F.lit("Texts of "), source), F.lit("Texts without a source"))
+    return F.coalesce(of(0), mode), title, F.when(nth >= 0, nth).otherwise(len(listed))
+
+
+def source_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sections of their sources' works."""
+    mode, title, priority = _work_of(F.col("source"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.lit("ada").alias("author_key"), F.lit("Ada Merrow").alias("author_display"), mode.alias("mode"), title.alias("work_title"),
+        F.concat(F.lit("CHAPTER "), T.to_roman(F.col("doc_id") % 19 + 1)).alias("section_title"), F.col("doc_id").cast("int").alias("section_index"), "text", F.lit("ref").alias("source_ref"), priority.alias("priority"),
+    )
+
+
+def source_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's works and those of all other sources."""
+    mode, title, priority = _work_of(F.col("source"))
+    found = table(spark, sf_dir, "documents").select("source").distinct().select(mode.alias("mode"), title.alias("work_title"), priority.alias("priority"))
+    rest = found.join(F.broadcast(works(spark).select("mode", "work_title")), ["mode", "work_title"], "left_anti")
+    none = F.lit(None).cast("int"), F.array().cast("array<string>")
+    return works(spark).unionByName(rest.select(F.lit("ada").alias("author_key"), F.lit("Ada Merrow").alias("author_display"), "mode", "work_title", none[0].alias("source_id"), none[1].alias("aliases"), "priority"))
+
+
 def alias_groups(spark: SparkSession) -> DataFrame:
     return cat.alias_groups(spark, CATALOG)
 
