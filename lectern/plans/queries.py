@@ -386,7 +386,7 @@ META = f"regexp_matches({FORM}, '^(what|which|list)') AND list_has_any(string_sp
 
 @query(f"WITH {ASKED} SELECT qid, {META} AS is_meta FROM q")
 def meta_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.questions(spark, sf_dir).select("qid", routing.is_meta(F.col("question")).alias("is_meta"))
+    return views.opening_questions(spark, sf_dir).select("qid", routing.is_meta(F.col("question")).alias("is_meta"))
 
 
 WORKS = "works(priority, title, phrase) AS (VALUES (0, 'The Lantern Keeper', 'the lantern keeper'), (0, 'The Lantern Keeper', 'lantern keeper'), (1, 'Harbour of Broken Glass', 'harbour of broken glass'), (1, 'Harbour of Broken Glass', 'glass harbour'), (1, 'Harbour of Broken Glass', 'broken glass'), (2, 'New Tales, Complete', 'new tales complete'))"
@@ -395,14 +395,14 @@ WORKS = "works(priority, title, phrase) AS (VALUES (0, 'The Lantern Keeper', 'th
 @query(f"""WITH {ASKED}, {WORKS}, hit AS (SELECT DISTINCT qid, priority, title FROM q, works WHERE contains(' ' || {FORM} || ' ', ' ' || phrase || ' '))
 SELECT qid, string_agg(title, ' + ' ORDER BY priority) AS titles FROM hit GROUP BY qid""")
 def title_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.named_works(views.questions(spark, sf_dir), views.works(spark)).select("qid", F.array_join("titles", " + ").alias("titles"))
+    return routing.named_works(views.opening_questions(spark, sf_dir), views.works(spark)).select("qid", F.array_join("titles", " + ").alias("titles"))
 
 
 @query(rf"""WITH {ASKED}, romans AS (SELECT CAST(n AS INTEGER) AS n, {ROMAN_SQL} AS roman FROM range(1, 200) t(n)),
 t AS (SELECT qid, regexp_matches(lower(question), '\bchapter the last\b|\b(last|final) chapter\b') AS last, upper(regexp_extract(lower(question), '\bchapter\s+(\d{{1,3}}|[ivxlc]{{1,8}})\b', 1)) AS token FROM q)
 SELECT qid, CASE WHEN last THEN 'THE LAST' ELSE roman END AS chapter FROM t LEFT JOIN romans ON token = roman OR TRY_CAST(token AS INTEGER) = n""")
 def parse_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.questions(spark, sf_dir).select("qid", routing.parse_chapter(F.col("question")).alias("chapter"))
+    return views.opening_questions(spark, sf_dir).select("qid", routing.parse_chapter(F.col("question")).alias("chapter"))
 
 
 @query(f"""WITH b AS (SELECT CAST(n AS INTEGER) AS n, [{ROMAN_SQL}, CAST(n AS VARCHAR)] AS bases FROM range(1, 200) t(n)),
@@ -419,7 +419,7 @@ fired AS (SELECT q.qid, q.mode, g.pos, g.role, g.name, g.terms FROM q JOIN group
 
 
 def _by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.questions(spark, sf_dir).withColumn("scope", F.when(F.col("mode") == "life_process", "life_process").otherwise("oeuvre"))
+    return views.opening_questions(spark, sf_dir).withColumn("scope", F.when(F.col("mode") == "life_process", "life_process").otherwise("oeuvre"))
 
 
 def _fired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +460,7 @@ def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def typo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works that questions with slips of the pen name: the fallback when no title is met word for word."""
-    slip = F.concat(F.lit("the harbor of brokn glas and "), F.substring("question", 1, 30))
+    slip = F.concat(F.lit("the harbor of brokn glas and "), F.col("question"))
     return routing.likely_work(views.questions(spark, sf_dir).withColumn("question", slip), views.works(spark)).select("qid", "title", F.round("fraction", 4).alias("fraction"))
 
 
@@ -475,7 +475,7 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ASKED} SELECT qid, md5('Right now, you can ask about these ' || CASE mode WHEN 'literature' THEN 'literary works' ELSE 'letters/autobiography/essay sources' END || ' for Ada Merrow:' || chr(10) || chr(10) ||
   CASE mode WHEN 'literature' THEN '- The Lantern Keeper' || chr(10) || '- Harbour of Broken Glass' || chr(10) || '- New Tales, Complete' ELSE '- Collected Letters, Volume 1 (1853-1866)' || chr(10) || '- Notes on a Life' END || chr(10) || chr(10) || 'Name one of them, or ask about all.') AS answer FROM q WHERE {META}""")
 def meta_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = views.questions(spark, sf_dir).where(routing.is_meta(F.col("question"))).withColumn("author_display", F.lit("Ada Merrow"))
+    q = views.opening_questions(spark, sf_dir).where(routing.is_meta(F.col("question"))).withColumn("author_display", F.lit("Ada Merrow"))
     return answers.meta_answers(q, views.works(spark)).select("qid", md5("answer").alias("answer"))
 
 

@@ -57,10 +57,19 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as questions."""
+    """Turns of conversations as questions, whole."""
+    return _questions(spark, sf_dir, F.col("text"))
+
+
+def opening_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first 80 characters of turns as questions: what the SQL of the queries that have SQL reads."""
+    return _questions(spark, sf_dir, F.substring("text", 1, 80))
+
+
+def _questions(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     start = F.get(F.array(*map(F.lit, STARTS)), ((F.col("conv_id") + F.col("turn")) % len(STARTS)).cast("int"))
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(start, F.substring("text", 1, 80)).alias("question"), F.lit("ada").alias("author_key"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(start, text).alias("question"), F.lit("ada").alias("author_key"),
         F.when(F.col("conv_id") % 2 == 0, "literature").otherwise("life_process").alias("mode"),
     )
 

@@ -43,3 +43,16 @@ def test_every_source_is_searched_and_every_turn_answered(spark, folder, monkeyp
         mode = "life_process" if got[r.qid].scope == "life_process" else "literature"
         near = [x for x in index if r.qid in vectors and x.mode == mode and sum((a - b) ** 2 for a, b in zip(x.embedding, vectors[r.qid], strict=True)) <= search.MAX_DISTANCE]
         assert got[r.qid].grounded == bool(near) and got[r.qid].n_sources == min(len(near), search.TOP_K)
+
+
+def test_questions_are_whole_turns(spark, folder):
+    opener = "so much has been said of this and yet so little of it was ever written down by hand " * 2
+    # conv_id + turn of 7: no start is put before these
+    turns = [(0, 7, opener + "and then 'The Lantern Keeper' came up."), (2, 5, opener + "was it Captain Orlo Vane?"), (4, 3, opener + "new tales")]
+    path = folder(conversations=(turns, "conv_id long, turn long, text string"))
+    assert {r.qid: r.question for r in views.questions(spark, path).collect()} == {c * 1000 + t: x for c, t, x in turns}
+    routed = {r.qid: r for r in queries.route_questions(spark, path).collect()}
+    assert routed[7].scope == "specific_work" and routed[7].work_title == "The Lantern Keeper" and routed[2005].scope == "oeuvre"
+    assert {r.qid: r.phrases for r in queries.key_phrases(spark, path).collect()}[2005] == "Captain Orlo Vane"
+    # the slip names Harbour of Broken Glass by two of three words; the end of the turn has both words of another title
+    assert {r.qid: r.title for r in queries.typo_match(spark, path).collect()}[7] == "The Lantern Keeper"
