@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, exact_dedup, language_id, minhash, mixing
 from lectern.llm.common import shared_dir, table
-from lectern.llm.entry import tokenizer_file
+from lectern.llm.entry import token_digests, tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = {c: F.col(c) for c in ("doc_id", "lang", "source")}
-    return bpe.encode(docs, tokenizer_file(), keep)
+    out = bpe.decode(bpe.encode(docs, tokenizer_file(), keep), tokenizer_file())
+    return out.select(*keep, "n_tokens", *token_digests(), "ids")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]

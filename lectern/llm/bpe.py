@@ -21,10 +21,10 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
@@ -49,6 +49,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def token_names(spec: dict) -> dict[int, str]:
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
 class Bpe:
     def __init__(self, spec: dict):
         model, steps = spec["model"], [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -60,7 +64,7 @@ class Bpe:
         self.suffix = model["end_of_word_suffix"]
         self.words = regex.compile(split["pattern"]["Regex"])
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = token_names(spec)
         letters = byte_letters()
         self.byte_id = np.array([self.vocab[x] for x in letters], np.int64)
         self.last_id = np.array([self.vocab[x + self.suffix] for x in letters], np.int64)
@@ -68,8 +72,8 @@ class Bpe:
         key = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.pair, self.rank, self.made = key[order], order.astype(np.int64), np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        # chunk: its ids joined by blanks, a tab, its tokens joined by blanks
-        self.cache: dict[str, str] = {t: f"{i}\t{t}" for t, i in self.special.items()}
+        # chunk: its ids joined by blanks
+        self.cache: dict[str, str] = {t: str(i) for t, i in self.special.items()}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; NONE where it is no merge or an id is -1."""
@@ -157,31 +161,30 @@ class Bpe:
         return [low[m.start() : m.end()].encode() for m in self.words.finditer(plain)]
 
     def encode_chunks(self, chunks: list[str]) -> list[str]:
-        """Ids joined by blanks, a tab, and tokens joined by blanks, of each chunk without white space or special tokens."""
+        """Ids joined by blanks, of each chunk without white space or special tokens."""
         index: dict[bytes, int] = {}
         words = [[index.setdefault(w, len(index)) for w in self.pre_tokens(c)] for c in chunks]
-        ids = self.merge(list(index))
-        texts, names = [" ".join(map(str, x)) for x in ids], [self.decode(x) for x in ids]
-        return [" ".join([texts[w] for w in ws]) + "\t" + " ".join([names[w] for w in ws]) for ws in words]
+        texts = [" ".join(map(str, x)) for x in self.merge(list(index))]
+        return [" ".join([texts[w] for w in ws]) for ws in words]
 
-    def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """(ids joined by blanks, number of ids, tokens joined by blanks) of each text."""
+    def ids(self, texts: list[str]) -> list[str]:
+        """Ids of each text, joined by blanks."""
         parts = [self.cuts.split(text) if self.cuts and any(s in text for s in self.special) else (text,) for text in texts]
         chunks = [[c for p in ps for c in ([p] if p in self.special else split_white(p))] for ps in parts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-            self.cache.update({t: f"{i}\t{t}" for t, i in self.special.items()})
+            self.cache.update({t: str(i) for t, i in self.special.items()})
         new = list({c for cs in chunks for c in cs} - self.cache.keys())
         for lo in range(0, len(new), BATCH):
             part = new[lo : lo + BATCH]
             self.cache.update(zip(part, self.encode_chunks(part), strict=True))
-        out = []
-        for cs in chunks:
-            # a chunk has at least one token, as the pre-tokenizer leaves nothing but white space out
-            found = "\t".join(map(self.cache.__getitem__, cs)).split("\t")
-            ids, names = " ".join(found[0::2]), " ".join(found[1::2])
-            out.append((ids, ids.count(" ") + 1 if cs else 0, names))
-        return out
+        # a chunk has at least one token, as the pre-tokenizer leaves nothing but white space out
+        return [" ".join(map(self.cache.__getitem__, cs)) for cs in chunks]
+
+    def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """(ids joined by blanks, number of ids, decoded text) of each text."""
+        lists = [[int(i) for i in ids.split()] for ids in self.ids(texts)]
+        return [(" ".join(map(str, ids)), len(ids), self.decode(ids)) for ids in lists]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by blanks: a file without a decoder has no other rule. Ids that no token has are left out."""
@@ -202,9 +205,18 @@ def _loaded(spec: str) -> Bpe:
     return Bpe(json.loads(spec))
 
 
+@lru_cache(2)
+def _decoder(path: str) -> pa.Array:
+    """Token strings by id, null where no token has it."""
+    with open(path, encoding="utf-8") as f:
+        names = token_names(json.load(f))
+    return pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+
+
 def forget() -> None:
     """Frees the tokenizers and chunks that this worker remembers."""
     _loaded.cache_clear()
+    _decoder.cache_clear()
 
 
 def load(path: str) -> Bpe:
@@ -212,28 +224,59 @@ def load(path: str) -> Bpe:
         return _loaded(f.read())
 
 
-def _coder(name: str, with_ids: bool):
+def _coder(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(SparkFiles.get(name))
         for batch in batches:
             width = batch.num_columns - 1
             for lo, hi, _, _ in blocks(batch.column(width), rows=1024):
                 part = batch.slice(lo, hi - lo)
-                made = bpe.encode([t or "" for t in part.column(width).to_pylist()])
-                hashes = [[sha256(x[k].encode()).hexdigest() for x in made] for k in (0, 2)]
-                own = [part.column(i) for i in range(width)]
-                more = [pa.array([x[1] for x in made], pa.int64()), *map(pa.array, hashes)] + ([pa.array([[int(i) for i in x[0].split()] for x in made], pa.list_(pa.int32()))] if with_ids else [])
-                yield pa.record_batch([*own, *more], names=[*batch.schema.names[:width], "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+                made = bpe.ids([t or "" for t in part.column(width).to_pylist()])
+                n = np.array([x.count(" ") + 1 if x else 0 for x in made], np.int64)
+                flat = np.fromstring(" ".join(filter(None, made)), np.int32, sep=" ") if n.any() else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(_offsets(n), pa.array(flat, pa.int32()))
+                yield pa.record_batch([*part.columns[:width], pa.array(n), lists], names=[*batch.schema.names[:width], "n_tokens", "ids"])
+
+    return run
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def decode_lists(lists: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The text of each list of ids, by `Bpe.decode`'s rule: token strings joined by blanks, ids that no token has left out; no list counts as empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    known = (ids >= 0) & (ids < len(names))
+    known[known] = names.is_valid().to_numpy(zero_copy_only=False)[ids[known]]
+    if not known.all():
+        sizes, ids = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes)), ids[known]
+    return pc.binary_join(pa.ListArray.from_arrays(_offsets(sizes), names.take(pa.array(ids, pa.int64()))), " ")
+
+
+def _decoding(name: str, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _decoder(SparkFiles.get(name))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                yield pa.record_batch([*part.columns, decode_lists(part.column(at), names)], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, keep: dict[str, Column] | None = None, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per row of docs: the columns `keep`, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. The file goes to the executors through SparkContext.addFile."""
+def encode(docs: DataFrame, path: str, keep: dict[str, Column] | None = None, text_col: str = "text") -> DataFrame:
+    """One row per row of docs: the columns `keep`, n_tokens and ids. The file goes to the executors through SparkContext.addFile."""
     keep = keep or {"doc_id": F.col("doc_id")}
     docs.sparkSession.sparkContext.addFile(path)
     rows = small_batches(docs).select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if with_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(_coder(path.rsplit("/", 1)[-1], with_ids), schema)
+    schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(_coder(path.rsplit("/", 1)[-1]), schema)
+
+
+def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """rows with decoded, the text that the ids stand for; nothing but the ids is read for it."""
+    rows.sparkSession.sparkContext.addFile(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
+    return small_batches(rows).mapInArrow(_decoding(path.rsplit("/", 1)[-1], rows.columns.index(ids_col)), schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, quality, substring_dedup, suffix_dedup, warc_zip
@@ -48,8 +48,14 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def token_digests() -> list[Column]:
+    """ids_sha256, of the ids joined by blanks, and decoded_sha256."""
+    return [F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file()), tokenizer_file())
+    return out.select("doc_id", "n_tokens", *token_digests())
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,19 @@ def test_bpe(docs, empty, rows, spark):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_decodes_the_ids_it_returns(docs, rows, spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = {r[0]: library.encode(r[1] or "", add_special_tokens=False).ids for r in rows}
+    got = bpe.decode(bpe.encode(docs, path), path).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.ids == want[x.doc_id] and x.decoded == library.decode(x.ids, skip_special_tokens=False)
+    # other ids than those of the texts: decoding reads the column
+    own = spark.createDataFrame([(1, [320, 5, 49407]), (2, []), (3, None), (4, [10**6, 7, -1])], "doc_id long, ids array<int>")
+    assert {x.doc_id: x.decoded for x in bpe.decode(own, path).collect()} == {1: library.decode([320, 5, 49407], skip_special_tokens=False), 2: "", 3: "", 4: library.decode([7], skip_special_tokens=False)}
+
+
 def test_segment_trees_merge_like_a_plain_loop():
     own = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
     ranks = {int(k): int(r) for k, r in zip(own.pair, own.rank, strict=True)}
