@@ -6,8 +6,8 @@ over a bounded sample of its labelled texts; a text gets the language of the cen
 is rejected where it has no letter, or where it has MIN_GRAMS grams and that cosine is below a bound learned from the
 training texts' own (short texts have small cosines by nature, and are not rejected for them).
 
-The model is fitted on at most `per_language` rows of each language (whole texts, chosen by a hash of the id) and of
-at most MAX_LANGUAGES languages; it is a few hundred kilobytes. Prediction reads nothing but the text.
+The model is fitted on at most `per_language` rows of each language (whole texts, chosen by a hash of the id), of every
+language found; it has some 64 kilobytes a language. Prediction reads nothing but the text.
 
 Defined results: null text, or text without a letter: `und`, score 0, rejected; no labelled row at all: `und` for
 all; rows with equal texts get equal results; empty tables give empty results; other columns are not read.
@@ -27,7 +27,6 @@ from lectern.llm.common import small_batches
 from lectern.llm.textblocks import LOWER, blocks, forget
 
 DIMENSIONS = 1 << 12
-MAX_LANGUAGES = 256
 UNKNOWN = "und"
 MIN_GRAMS = 100
 IS_LETTER = np.zeros(256, bool)
@@ -98,15 +97,17 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, clusters: int = 4, reject: float = 0.5) -> Model:
     """A model from the rows of docs with text and language; rejection starts at `reject` times the training texts' 1st percentile of cosines."""
     rows = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), id_col).alias("nth"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
     # about per_language rows of each: those with the smallest hashes
-    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(2**64 * min(1.0, per_language / n)) - 2**63))) for lang, n in sizes.items()])
-    found = rows.where(F.col("nth") <= bound).mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>").collect()
-    langs, samples = sorted(sizes), {}
-    for lang in langs:
-        samples[lang] = sorted((r for r in found if r["lang"] == lang), key=lambda r: (r["nth"], r["place"], r["n"]))[:per_language]
+    bounds = [(lang, min(2**63 - 1, int(2**64 * min(1.0, per_language / n)) - 2**63)) for lang, n in sizes.items()]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    found = rows.join(bound, "lang").where("nth <= bound").select("lang", "nth", "text").mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>").collect()
+    langs, by = sorted(sizes), {lang: [] for lang in sizes}
+    for r in found:
+        by[r["lang"]].append(r)
+    samples = {lang: sorted(by[lang], key=lambda r: (r["nth"], r["place"], r["n"]))[:per_language] for lang in langs}
     df = np.zeros(DIMENSIONS)
     for r in (r for x in samples.values() for r in x):
         df[r["place"]] += 1

@@ -5,7 +5,7 @@ to BUCKETS buckets, so that a task's counts have a fixed size); a language's `to
 words. A second pass compares each document's two histograms with each language's, by the square root of the
 Jensen-Shannon divergence to base 2, and takes the nearest language. A document fails where it has at least
 `min_words` words (for classes) or `min_words_common` (for common words) and lies beyond the distance allowed.
-The references are a few kilobytes a language, of which at most MAX_LANGUAGES with most words are kept.
+The references have some 130 kilobytes a language, and every language found has them.
 
 Defined results: a null text has no words and fails the base rules; a null language counts for no reference; with no
 reference at all every document that passes the base rules is kept; an empty table gives an empty result; other
@@ -26,7 +26,6 @@ from lectern.llm.common import settle, small_batches
 from lectern.llm.textblocks import IS_WORD, LOWER, VALUE, blocks, forget, gram_hash, mix, runs, span_hash
 
 BUCKETS = 1 << 14
-MAX_LANGUAGES = 256
 #: Symbols that are counted. Fixed values.
 SYMBOLS = b"#*$%&|<>"
 IS_SYMBOL = np.zeros(256, bool)
@@ -87,8 +86,10 @@ class References:
         self.words = np.zeros((len(self.langs), top + 1))
         self.common = np.full((len(self.langs), BUCKETS), top, np.int64)
         used = [0] * len(self.langs)
+        place = {lang: k for k, lang in enumerate(self.langs)}
+        totals = {r["lang"]: r["words"] for r in rows}
         for r in sorted(rows, key=lambda r: (r["lang"], -r["n"], r["cell"])):
-            k = self.langs.index(r["lang"])
+            k = place[r["lang"]]
             if r["cell"] < CLASSES:
                 self.classes[k, r["cell"]] = r["n"]
             else:
@@ -96,8 +97,7 @@ class References:
                 self.words[k, used[k]] = r["n"]
                 used[k] += 1
         for k, lang in enumerate(self.langs):
-            total = next((r["words"] for r in rows if r["lang"] == lang), 0)
-            self.words[k, top] = total - self.words[k, :top].sum()
+            self.words[k, top] = totals[lang] - self.words[k, :top].sum()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 200) -> References:
@@ -108,8 +108,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top:
     by = W.partitionBy("lang")
     ranked = settle(counts).withColumn("words", F.coalesce(F.sum(F.when(is_word, F.col("n"))).over(by), F.lit(0))).withColumn("nth", F.row_number().over(W.partitionBy("lang", is_word).orderBy(F.desc("n"), "cell")))
     kept = ranked.where(~is_word | (F.col("nth") <= top))
-    most = kept.select("lang", "words").distinct().orderBy(F.desc("words"), "lang").limit(MAX_LANGUAGES)
-    return References(kept.join(most.select("lang"), "lang").collect(), top)
+    return References(kept.collect(), top)
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:

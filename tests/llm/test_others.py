@@ -183,6 +183,16 @@ def test_segment_trees_merge_like_a_plain_loop():
         assert own.merge([piece]) == [ids]
 
 
+def test_no_language_is_left_out(spark):
+    word = lambda i: "".join(chr(97 + int(d)) * 2 for d in f"{i * 7919 % 100000:05d}")
+    many = spark.createDataFrame([(i, f"{word(i)} {word(i + 1000)} {word(i)}", f"l{i:03d}") for i in range(270)], "doc_id long, text string, lang string")
+    langs = [f"l{i:03d}" for i in range(270)]
+    model = language_id.train(many)
+    assert model.langs == langs and quality.learn(many).langs == langs
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(many.where("doc_id >= 250"), model).collect()}
+    assert got == {i: f"l{i:03d}" for i in range(250, 270)}
+
+
 def test_quality(docs, empty, rows):
     refs = quality.learn(docs)
     assert refs.langs == ["de", "en", "fr"] and refs.words.sum() == sum(len(WORD.findall(r[1] or "")) for r in rows if r[2])
