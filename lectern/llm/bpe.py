@@ -6,13 +6,16 @@ are updated along their paths to the root, until the root holds no rank. Many pr
 trees of a batch are the rows of one array, and each step merges one pair in every row that has one.
 
 Texts are cut at white space, where neither the normaliser nor the pre-tokenizer of a supported file joins anything,
-and each distinct chunk is encoded once and kept in a cache of bounded size.
+and each distinct chunk is encoded once and kept in a cache of a bounded number of bytes. Chunks with characters from
+U+0300 on are normalised and split by the tokenizers library's own normaliser and pre-tokenizer, since Python's tables
+are of another Unicode version; below that both agree. Merges are made here for every chunk.
 
 Supported files: type BPE with end_of_word_suffix, normalisers NFC, Replace of white-space runs and Lowercase,
 pre-tokenizers Split (inverted, removed) and ByteLevel; others are refused. Tests compare with the tokenizers library.
 
-Defined results: a null text counts as empty and has no token; equal texts get equal ids; an empty table gives an
-empty result; other columns are not read.
+Defined results: a null text counts as empty and has no token; equal texts get equal ids; of equal ranks the leftmost
+pair is merged; a text of any length is encoded as a whole (a word's tree takes 40 bytes a byte of it); an empty table
+gives an empty result; other columns are not read but for those that `keep` names, and may have any names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from lectern.llm.common import small_batches
 from lectern.llm.textblocks import blocks
@@ -37,9 +41,11 @@ from lectern.llm.textblocks import blocks
 NONE = np.int64(2**62)
 #: White space of Unicode, at which texts are cut. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Chunks that a worker remembers, some 200 bytes each.
-CACHE = 600_000
+#: Bytes of chunks and ids that a worker remembers, with ENTRY bytes for each chunk's place.
+CACHE_BYTES, ENTRY = 128 << 20, 220
 BATCH = 4096
+#: From here on characters are left to the library's tables.
+LATIN_END = "\u0300"
 
 
 def byte_letters() -> list[str]:
@@ -72,8 +78,14 @@ class Bpe:
         key = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.pair, self.rank, self.made = key[order], order.astype(np.int64), np.array([self.vocab[a + b] for a, b in pairs], np.int64)
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True)
+        self.empty_cache()
+
+    def empty_cache(self) -> None:
         # chunk: its ids joined by blanks
         self.cache: dict[str, str] = {t: str(i) for t, i in self.special.items()}
+        self.cached_bytes = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; NONE where it is no merge or an id is -1."""
@@ -153,12 +165,9 @@ class Bpe:
     def pre_tokens(self, chunk: str) -> list[bytes]:
         if chunk.isascii():
             return [m.encode() for m in self.words.findall(chunk.lower())]
-        # the library lower-cases each character by itself, so a final sigma stays an inner one
-        low = unicodedata.normalize("NFC", chunk)
-        low = low.lower() if "\u03a3" not in low else "".join([c.lower() for c in low])
-        # letters that are newer than the library's tables are no letters to it
-        plain = low if max(low) < "\u0558" else "".join(["\ue000" if unicodedata.category(c) == "Cn" else c for c in low])
-        return [low[m.start() : m.end()].encode() for m in self.words.finditer(plain)]
+        if max(chunk) >= LATIN_END:
+            return [w.encode() for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(chunk))]
+        return [w.encode() for w in self.words.findall(unicodedata.normalize("NFC", chunk).lower())]
 
     def encode_chunks(self, chunks: list[str]) -> list[str]:
         """Ids joined by blanks, of each chunk without white space or special tokens."""
@@ -171,13 +180,14 @@ class Bpe:
         """Ids of each text, joined by blanks."""
         parts = [self.cuts.split(text) if self.cuts and any(s in text for s in self.special) else (text,) for text in texts]
         chunks = [[c for p in ps for c in ([p] if p in self.special else split_white(p))] for ps in parts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-            self.cache.update({t: str(i) for t, i in self.special.items()})
+        if self.cached_bytes > CACHE_BYTES:
+            self.empty_cache()
         new = list({c for cs in chunks for c in cs} - self.cache.keys())
         for lo in range(0, len(new), BATCH):
             part = new[lo : lo + BATCH]
-            self.cache.update(zip(part, self.encode_chunks(part), strict=True))
+            made = self.encode_chunks(part)
+            self.cache.update(zip(part, made, strict=True))
+            self.cached_bytes += sum(map(len, made)) + sum(len(c) if c.isascii() else 4 * len(c) for c in part) + ENTRY * len(part)
         # a chunk has at least one token, as the pre-tokenizer leaves nothing but white space out
         return [" ".join(map(self.cache.__getitem__, cs)) for cs in chunks]
 

@@ -1,18 +1,23 @@
 """Language, mixing, archives, tokens, quality rules and the pipeline."""
 
 import io
+import json
 import re
 import zipfile
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe, language_id, mixing, quality, warc_zip
 
+_library = lru_cache(Tokenizer.from_file)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -155,6 +160,36 @@ def test_bpe(docs, empty, rows, spark):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_of_every_character():
+    """Each assigned code point alone, between letters, after a capital and before a combining mark."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.load(path)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not (0x3400 <= c < 0x9FF0 or 0xAC00 <= c < 0xD7A0 or 0x20000 <= c < 0x32400 or 0xE000 <= c < 0xF8F0) and c < 0xE0200]
+    for lo in range(0, len(chars), 20_000):
+        texts = [t for c in chars[lo : lo + 20_000] for t in (c, f"a{c}b", f"1{c}A{c}", f"{c}\u0301")]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        bad = [ascii(t) for t, ids, w in zip(texts, own.ids(texts), want, strict=True) if [int(i) for i in ids.split()] != w]
+        assert not bad, bad[:20]
+
+
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_bpe_of_random_texts(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.load(path)
+    assert [[int(i) for i in x.split()] for x in own.ids(texts)] == [e.ids for e in _library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_cache_is_bounded_by_bytes(monkeypatch):
+    own = bpe.Bpe(json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read()))
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 10_000)
+    sizes = []
+    for i in range(30):
+        own.ids([f"{'é' * 200}{i} w{i}"])
+        sizes.append(own.cached_bytes)
+    assert max(sizes) < 14_000 and len(own.cache) < 40
+
+
 def test_bpe_decodes_the_ids_it_returns(docs, rows, spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
