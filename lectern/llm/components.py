@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle
 
 
+#: Keys that a vertex with many neighbours is dealt over.
+SALTS = 32
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each vertex u joins its neighbours to the smallest of them and itself: the larger ones (large), or the smaller ones and u (small)."""
-    if large:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
-    else:
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select("a", "m"))
+    rows = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    # at most SALTS rows a vertex
+    least = rows.groupBy("a", "salt").agg(F.min("b").alias("m")).withColumn("m", F.least("a", F.min("m").over(W.partitionBy("a"))))
+    out = (rows.where("b > a") if large else rows).join(least, ["a", "salt"]).select(F.col("b").alias("x"), F.col("m").alias("y"))
+    if not large:
+        out = out.union(least.select("a", "m"))
     return out.where("x <> y").distinct().toDF("a", "b")
 
 

@@ -18,6 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def content_hash(body: Column) -> Column:
+    """128 bits."""
+    return F.unhex(F.md5(body))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, normalise: Callable[[Column], Column] | None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), (normalise(text) if normalise else text).alias("body"))
@@ -26,7 +31,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, normalise: Callable[[Col
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id (`keep`: the smallest or largest id of the group), group_size, kept, text_sha256."""
     pick = {"smallest": F.min, "largest": F.max}[keep]
-    keyed = _keyed(docs, id_col, text_col, normalise).withColumn("h", F.unhex(F.md5("body")))
+    keyed = _keyed(docs, id_col, text_col, normalise).withColumn("h", content_hash(F.col("body")))
     groups = keyed.groupBy("h", "body").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("h", F.unhex(F.sha2("body", 256)).alias("sha"), "keep_id", "group_size")
     # (md5, sha256) names a text here: two texts that share the first are told apart by the second
@@ -45,7 +50,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if normalise or c != text_col]
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col(text_col).isNull().alias("was_null"))
     order = F.struct(F.col(id_col).alias("o"), F.xxhash64(*[docs[c] for c in docs.columns if dict(docs.dtypes)[c].find("map<") < 0]).alias("tie"))
-    first = docs.select(F.unhex(F.md5(body)).alias("h"), body.alias("body"), row.alias("row"), order.alias("o")).groupBy("h", "body").agg(pick("row", "o").alias("row"))
+    first = docs.select(content_hash(body).alias("h"), body.alias("body"), row.alias("row"), order.alias("o")).groupBy("h", "body").agg(pick("row", "o").alias("row"))
     at = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)}
     own = F.when(~F.col("row.was_null"), F.col("body"))
     return first.select(*[at.get(c, own).alias(c) for c in docs.columns])

@@ -1,30 +1,37 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text is a weighted set of its shingles of `words` words (letters and digits, case ignored; a text with fewer words
-has one shingle of all): weight (1 + ln tf) * idf. Document frequencies are counted over all documents in DF_BUCKETS
-hashed places, a table of fixed size; idf is log(1 + (n + 100) / df) / log(4) and at most 1, so that only shingles in
-more than about a third of all documents weigh less, and a large group of copies does not lose its own shingles.
+has one shingle of all): weight (1 + ln tf) * idf, with idf = floor + (1 - floor) * ln(n / df) / ln(n), which is 1 for
+a shingle of one document and `floor` for one that all n have. Document frequencies are counted over all documents in
+a sketch of fixed size (DF_ROWS hashed rows of DF_CELLS cells): of a shingle's cells the smallest counts, less what
+other shingles put into a cell on average and three standard deviations of that. So they are exact while shingles
+are few for the sketch, and in a large corpus the df of rare shingles is taken as 1.
 
 Each of bands * rows samples picks the shingle with the smallest a = c / (y e^r), y = e^(r (t - b)),
 t = floor(ln(weight) / r + b), with r, c from Gamma(2, 1) and b uniform, all from the shingle's hash; two texts pick
-the same (shingle, t) with the probability of their weighted Jaccard similarity. Samples are hashed in bands.
+the same (shingle, t) with the probability of their weighted Jaccard similarity. For sampling alone, ln(weight) is
+rounded to STEP, so that a sample is one look-up. Samples are hashed in bands.
 
-Texts with the same words are one vertex. Each band bucket links its members to its smallest id; links are verified
-by the weighted Jaccard similarity of the whole texts, and components are built. Members of buckets that still hold
-different components are then compared by an exact weighted prefix filter, so no candidate is dropped and yet no
-bucket's pairs are listed. A vertex with many links has them dealt over salts.
+Texts with the same words are one vertex. The members of a band bucket are dealt over SALTS groups, each of which links
+its members to its smallest id, and those to the bucket's smallest: no list of a bucket's members is ever in one task.
+Links are verified by the weighted Jaccard similarity of the whole texts, and components are built. Buckets that still
+hold several components try again with members drawn by a hash as hubs, ROUNDS times; members of buckets that are still
+open are compared by an exact weighted prefix filter across components, so no candidate is dropped.
 
 Defined results: a text without a letter or digit (null, empty) is a class of its own; rows that share an id are one
-vertex; a row with a null id gets the class of its words; an empty table gives an empty result; other columns are not read.
+vertex; a row with a null id gets the class of its words; of equal ids and hashes the smallest leads; an empty table
+gives an empty result; a text is read as a whole, so the longest one bounds memory; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,10 +39,16 @@ from lectern.llm.common import settle, small_batches
 from lectern.llm.components import components
 from lectern.llm.textblocks import LOWER, VALUE, blocks, forget, gram_hash, mix, powers, runs, span_hash
 
-DF_BUCKETS = 1 << 18
-TABLE = 1 << 16
-#: Most links of a vertex that are verified in one group.
-GROUP = 256
+#: The sketch of document frequencies. Its cells are sent in parts, so that several tasks add them up.
+DF_ROWS, DF_CELLS, DF_PARTS = 2, 1 << 19, 64
+TABLE_BITS = 16
+TABLE = 1 << TABLE_BITS
+#: Groups that a bucket's members, or a vertex's links, are dealt over.
+SALTS = 64
+#: Rounds with drawn hubs before the prefix filter.
+ROUNDS = 2
+#: Samples round ln(weight) to STEP; weights outside of these levels count as the nearest.
+STEP, LEVELS, LEVEL_ZERO = 0.1, 64, 32
 IS_TOKEN = np.zeros(256, bool)
 IS_TOKEN[48:58] = IS_TOKEN[65:91] = IS_TOKEN[97:123] = IS_TOKEN[128:] = True
 FOLDED = VALUE[LOWER]
@@ -52,8 +65,16 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return (bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))).astype(np.uint64) << np.uint64(32)
 
 
-#: ln a of a shingle of weight 1.
-PLAIN = _ordered(LOG_C + GAMMA_R * BETA - GAMMA_R)
+def _levels() -> np.ndarray:
+    """By level of weight and place: ln a in the upper half, a name of t in the lower one."""
+    out = np.empty((LEVELS, TABLE), np.uint64)
+    for level in range(LEVELS):
+        t = np.floor(np.float32((level - LEVEL_ZERO) * STEP) / GAMMA_R + BETA)
+        out[level] = _ordered(LOG_C - GAMMA_R * (t - BETA) - GAMMA_R) | (mix(t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF))
+    return out.reshape(-1)
+
+
+LEVEL_KEYS = _levels()
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +104,28 @@ def shingles(row: np.ndarray, h: np.ndarray, n: int, k: int) -> tuple[np.ndarray
     return row[new], gram[new], np.diff(np.append(new, len(row)))
 
 
-def weights(gram: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(times)) * idf[(gram >> np.uint64(40)) & np.uint64(DF_BUCKETS - 1)]
+@dataclass
+class Idf:
+    """Document frequencies of n documents, by row of the sketch and cell, and how idf comes from them."""
+
+    n: int
+    df: np.ndarray  # DF_ROWS x DF_CELLS, noise taken off
+    floor: float
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        return idf_of(np.minimum.reduce([self.df[r][cells(gram, r)] for r in range(DF_ROWS)]), self.n, self.floor)
+
+
+def idf_of(df: np.ndarray, n: int, floor: float) -> np.ndarray:
+    return floor + (1 - floor) * np.log(max(n, 2) / np.clip(df, 1, max(n, 2))) / np.log(max(n, 2))
+
+
+def cells(gram: np.ndarray, row: int) -> np.ndarray:
+    return ((gram * FACTORS[-1 - row]) >> np.uint64(64 - DF_CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def weights(gram: np.ndarray, times: np.ndarray, idf: Idf) -> np.ndarray:
+    return (1 + np.log(times)) * idf.of(gram)
 
 
 def samples(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +135,9 @@ def samples(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, number: int)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     out = np.empty((number, len(first)), np.uint64)
     low = gram & np.uint64(0xFFFFFFFF)
-    odd = np.flatnonzero(weight != 1)
-    log_w, odd_gram = np.log(weight[odd]).astype(np.float32), gram[odd]
+    level = np.clip(np.rint(np.log(weight) / STEP).astype(np.int64) + LEVEL_ZERO, 0, LEVELS - 1).astype(np.uint64) << np.uint64(TABLE_BITS)
     for j in range(number):
-        key = PLAIN[(gram * FACTORS[j]) >> np.uint64(48)] | low
-        if len(odd):
-            at = (odd_gram * FACTORS[j]) >> np.uint64(48)
-            r, b = GAMMA_R[at], BETA[at]
-            t = np.floor(log_w / r + b)
-            tag = mix(odd_gram + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)
-            key[odd] = _ordered(LOG_C[at] - r * (t - b) - r) | np.where(t == 0, low[odd], tag)
+        key = LEVEL_KEYS[level | (gram * FACTORS[j]) >> np.uint64(64 - TABLE_BITS)] ^ low
         out[j] = np.minimum.reduceat(key, first)
     return row[first], out.T
 
@@ -111,36 +145,49 @@ def samples(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, number: int)
 def _df(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        count, docs = np.zeros(DF_BUCKETS, np.int64), 0
+        count, docs = np.zeros((DF_ROWS, DF_CELLS), np.int64), 0
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(0)):
-                row, gram, _ = shingles(*words_of(data, at), hi - lo, k)
-                count += np.bincount(((gram >> np.uint64(40)) & np.uint64(DF_BUCKETS - 1)).astype(np.int64), minlength=DF_BUCKETS)
+                _, gram, _ = shingles(*words_of(data, at), hi - lo, k)
+                for r in range(DF_ROWS):
+                    count[r] += np.bincount(cells(gram, r), minlength=DF_CELLS)
                 docs += hi - lo
         if docs:
-            some = count.reshape(64, -1)
-            # counts by part of the table, so that parts can be added up in different tasks
-            yield pa.record_batch({"part": pa.array([*range(64), -1], pa.int64()), "n": pa.array([x.tolist() for x in some] + [[docs]], pa.list_(pa.int64()))})
+            narrow = np.int32 if count.max() < 2**31 else np.int64
+            parts = [x.astype(narrow).astype(np.int64) for x in count.reshape(DF_PARTS, -1)]
+            yield pa.record_batch({"part": pa.array([*range(DF_PARTS), -1], pa.int64()), "n": pa.array([pack(x) for x in parts] + [pack(np.array([docs]))], pa.binary())})
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.sum([x.values.to_numpy() for x in table.column("n")], axis=0)
-    return pa.table({"part": table.column("part")[:1].cast(pa.int64()), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+def pack(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<i8").tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
+def _add(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, part = None, None
+    for batch in batches:
+        for p, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            part, total = p, unpack(n) if total is None else total + unpack(n)
+    yield pa.record_batch({"part": pa.array([part], pa.int64()), "n": pa.array([pack(total)], pa.binary())})
 
 
-def inverse_frequencies(texts: DataFrame, k: int) -> np.ndarray:
-    """idf by hashed place, from all documents."""
-    parts = texts.select("text").mapInArrow(_df(k), "part long, n array<long>").groupBy("part").applyInArrow(_add, "part long, n array<long>").collect()
-    found = {r["part"]: np.array(r["n"], np.float64) for r in parts}
+def inverse_frequencies(texts: DataFrame, k: int, floor: float) -> Idf:
+    """idf from all documents; the driver gets a sketch of fixed size."""
+    parts = texts.select("text").mapInArrow(_df(k), "part long, n binary").groupBy("part").applyInArrow(_add, "part long, n binary").collect()
+    found = {r["part"]: unpack(bytes(r["n"])) for r in parts}
     if not found:
-        return np.ones(DF_BUCKETS, np.float32)
-    df = np.concatenate([found[i] for i in range(64)])
-    return np.minimum(1, np.log1p((found[-1][0] + 100) / np.maximum(df, 1)) / np.log(4)).astype(np.float32)
+        return Idf(0, np.ones((DF_ROWS, DF_CELLS), np.float32), floor)
+    count = np.concatenate([found[i] for i in range(DF_PARTS)]).reshape(DF_ROWS, DF_CELLS)
+    noise = count.sum(1, keepdims=True) / DF_CELLS
+    return Idf(int(found[-1][0]), np.maximum(count - np.floor(noise + 3 * np.sqrt(noise)), 1).astype(np.float32), floor)
 
 
-def _signed(k: int, bands: int, rows: int, idf: np.ndarray):
+def _signed(k: int, bands: int, rows: int, idf: Idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
@@ -184,39 +231,47 @@ def weighted_jaccard(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: i
     return shared / np.maximum(total - shared, 1e-12)
 
 
-def _verified(k: int, threshold: float, idf: np.ndarray):
-    def run(one: pa.Table, others: pa.Table) -> pa.Table:
+def _verified(k: int, threshold: float, idf: Idf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        a, b = [], []
-        if one.num_rows and others.num_rows:
-            others = others.combine_chunks()
-            ids = others.column("b").to_pylist()
-            for text in set(one.column("one_text").to_pylist()):
-                _, _, data, at = next(blocks(pa.array([text])))
-                _, gram, times = shingles(*words_of(data, at), 1, k)
-                lead = (gram, weights(gram, times, idf))
-                for lo, hi, data, at in blocks(others.column("text")):
-                    row, gram, times = shingles(*words_of(data, at), hi - lo, k)
+        known, lead = None, None
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(a):  # rows come in order of a
+                end = at + 1
+                while end < len(a) and a[end] == a[at]:
+                    end += 1
+                if (a[at], head := batch.column(2)[at].as_py()) != known:
+                    known = (a[at], head)
+                    _, _, data, start = next(blocks(pa.array([head])))
+                    _, gram, times = shingles(*words_of(data, start), 1, k)
+                    lead = (gram, weights(gram, times, idf))
+                for lo, hi, data, start in blocks(batch.column(3).slice(at, end - at)):
+                    row, gram, times = shingles(*words_of(data, start), hi - lo, k)
                     near = np.flatnonzero(weighted_jaccard(row, gram, weights(gram, times, idf), hi - lo, lead) >= threshold)
-                    b += [ids[lo + i] for i in near.tolist()]
-            a = [one.column("one")[0].as_py()] * len(b)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    if len(near):
+                        yield pa.record_batch({"a": pa.array([a[at]] * len(near), pa.int64()), "b": pa.array([b[at + lo + i] for i in near.tolist()], pa.int64())})
+                at = end
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf: np.ndarray) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar. texts: (id, text)."""
-    by_id = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    ones = by_id.join(degree.withColumnRenamed("a", "one"), F.col("id") == F.col("one"))
-    ones = ones.select("one", F.col("text").alias("one_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    others = by_id.join(dealt, F.col("id") == F.col("b")).select("a", "salt", "b", "text")
-    return ones.groupBy("one", "part").cogroup(others.groupBy("a", "salt")).applyInArrow(_verified(k, threshold, idf), "a long, b long")
+def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf: Idf) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar. texts: (id, text).
+
+    Both joins are plain ones, so that one with a hot side is split as it runs; a hub's links are dealt over SALTS keys besides.
+    """
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    dealt = pairs.join(b, "b").select("a", salt.alias("salt"), "b", "b_text")
+    needed = pairs.select("a", salt.alias("salt")).distinct()
+    heads = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")).join(needed, "a")
+    both = dealt.join(heads, ["a", "salt"]).select("a", "b", "a_text", "b_text").sortWithinPartitions("a")
+    return both.mapInArrow(_verified(k, threshold, idf), "a long, b long").distinct()
 
 
-def _weighed(k: int, idf: np.ndarray):
+def _weighed(k: int, idf: Idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(2), rows=512):
@@ -229,7 +284,7 @@ def _weighed(k: int, idf: np.ndarray):
     return run
 
 
-def prefix_pairs(docs: DataFrame, k: int, threshold: float, idf: np.ndarray) -> DataFrame:
+def prefix_pairs(docs: DataFrame, k: int, threshold: float, idf: Idf) -> DataFrame:
     """All pairs (a, b), a < b, of docs (v, c, text) with different c that can reach the threshold.
 
     Weighted prefix filter: shingles in one order, rarest first, a pair as similar as that has its rarest shared
@@ -246,28 +301,69 @@ def prefix_pairs(docs: DataFrame, k: int, threshold: float, idf: np.ndarray) ->
     return pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+def _salt(col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("salt"), col), F.lit(SALTS)).cast("int")
+
+
+def bucket_links(buckets: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of buckets (key, v) with the smallest of its salted group, those with the smallest of the bucket."""
+    dealt = buckets.select("key", "v", _salt("v").alias("salt"))
+    # at most SALTS rows a bucket
+    local = dealt.groupBy("key", "salt").agg(F.min("v").alias("l")).withColumn("hub", F.min("l").over(W.partitionBy("key")))
+    links = dealt.join(local, ["key", "salt"]).where("v <> l").select(F.col("l").alias("a"), F.col("v").alias("b"))
+    return links.union(local.where("l <> hub").select(F.col("hub").alias("a"), F.col("l").alias("b"))).distinct()
+
+
+def drawn_links(members: DataFrame, nth: int) -> DataFrame:
+    """(a, b): one member of each bucket of members (key, v, c), drawn by a hash, with all those of other components."""
+    dealt = members.select("key", "v", "c", _salt("v").alias("salt"))
+    order = F.struct(F.xxhash64(F.lit(f"draw {nth}"), "v"), "v", "c")
+    local = dealt.groupBy("key", "salt").agg(F.min(order).alias("l")).withColumn("hub", F.min("l").over(W.partitionBy("key")))
+    hubs = local.select("key", "salt", F.col("hub.v").alias("a"), F.col("hub.c").alias("ac"))
+    return dealt.join(hubs, ["key", "salt"]).where("c <> ac").select("a", F.col("v").alias("b")).distinct()
+
+
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Those buckets (key, v) whose members are in several components, with c, the component."""
+    at = buckets.join(found, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+    # combined before the shuffle: a row a bucket and task
+    open_ = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return at.join(open_, "key")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    known = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, floor: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class)."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idf = inverse_frequencies(texts, words)
+    idf = inverse_frequencies(texts, words, floor)
     signed = settle(texts.mapInArrow(_signed(words, bands, rows, idf), "id long, w1 long, w2 long, bands array<long>"))
     # texts with the same words are one vertex; so are rows with the same id
     vertices = settle(signed.where(F.size("bands") > 0).groupBy("w1", "w2").agg(F.min("id").alias("v"), F.any_value("bands").alias("bands")).where("v IS NOT NULL"))
-    buckets = vertices.select("v", F.posexplode_outer("bands").alias("band", "h")).distinct()
-    heads = buckets.groupBy("band", "h").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # members of buckets that hold more than one vertex
-    buckets = settle(buckets.join(heads, ["band", "h"]))
-    tested = settle(buckets.where("v <> a").select("a", F.col("v").alias("b")).distinct())
+    buckets = vertices.select("v", F.posexplode_outer("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "v").distinct()
+    shared = buckets.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("key")
+    buckets = settle(buckets.join(shared, "key"))
     texts = settle(texts.join(buckets.select(F.col("v").alias("id")).distinct(), "id"))
+    tested = settle(bucket_links(buckets))
     links = settle(verify(tested, texts, words, threshold, idf))
     found = settle(components(links))
-    # buckets whose members are in different components yet: their members are compared by an exact way that needs no bucket
-    at = buckets.where("n > 2").select("band", "h", "v").join(found, F.col("v") == F.col("id"), "left").select("band", "h", "v", F.coalesce("component", "v").alias("c"))
-    open_ = at.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "h")
-    left = settle(at.join(open_, ["band", "h"]).select("v", "c").distinct())
+    left = settle(_open(buckets, found))
+    for nth in range(ROUNDS):
+        if not left.limit(1).count():
+            break
+        # of members drawn by a hash, only links between components are of use
+        new = settle(_untested(drawn_links(left, nth), tested))
+        tested = tested.union(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = settle(links.union(verify(new, texts, words, threshold, idf)))
+        found = settle(components(links))
+        left = settle(_open(left.drop("c"), found))
     if left.limit(1).count():
-        more = prefix_pairs(texts.join(left, F.col("id") == F.col("v")), words, threshold, idf)
-        links = links.union(verify(settle(more.join(tested, ["a", "b"], "left_anti")), texts, words, threshold, idf))
+        ends = left.select("v", "c").distinct()
+        more = prefix_pairs(texts.join(ends, F.col("id") == F.col("v")), words, threshold, idf)
+        links = links.union(verify(settle(_untested(more, tested)), texts, words, threshold, idf))
         found = components(links)
     names = vertices.join(found, F.col("v") == F.col("id"), "left").select("w1", "w2", F.coalesce("component", "v").alias("class_id"))
     return signed.join(names, ["w1", "w2"], "left").select(F.col("id").alias("doc_id"), F.when(F.size("bands") > 0, F.least("class_id", "id")).otherwise(F.col("id")).alias("class_id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, line_dedup, minhash, substring_dedup, suffix_dedup
 from lectern.llm.components import components
@@ -33,10 +34,12 @@ def test_exact_groups(docs, empty, rows, keep):
     assert exact_dedup.exact_groups(empty).count() == exact_dedup.drop_copies(empty).count() == 0
 
 
-def test_hash_collisions_are_told_apart(docs, spark):
-    """Texts are compared, not only hashed: a normal form may merge, equal hashes alone may not."""
-    lower = exact_dedup.exact_groups(spark.createDataFrame([(1, "A b"), (2, "a B"), (3, "c")], "doc_id long, text string"), normalise=lambda c: c.substr(1, 0))
-    assert {r.group_size for r in lower.collect()} == {3}
+def test_hash_collisions_are_told_apart(spark, monkeypatch):
+    """Texts with one content hash are compared byte by byte."""
+    monkeypatch.setattr(exact_dedup, "content_hash", lambda body: F.lit(b"same").cast("binary"))
+    df = spark.createDataFrame([(1, "A"), (2, "B"), (3, "A"), (4, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()} == {(1, 1, 2), (3, 1, 2), (2, 2, 1), (4, 4, 1)}
+    assert {r.doc_id for r in exact_dedup.drop_copies(df).collect()} == {1, 2, 4}
 
 
 def test_lines(docs, empty, rows):
@@ -132,11 +135,18 @@ def tokens(text):
 
 def test_near_duplicates(docs, empty, rows):
     ids = sorted({r[0] for r in rows})
-    sets = defaultdict(list)
+    sets, df = defaultdict(list), Counter()
     for r in rows:
         w = tokens(r[1])
         c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
         sets[r[0]].append({k: 1 + np.log(v) for k, v in c.items()})
+        df.update(c.keys())
+    for of_id in sets.values():
+        for x in of_id:
+            for k in x:
+                x[k] *= minhash.idf_of(np.array(df[k]), len(rows), 0.5)
+    # all that is shared weighs less
+    assert all(minhash.idf_of(np.array(v), len(rows), 0.5) < 0.95 for v in df.values() if v > 1)
     parent = {i: i for i in ids}
 
     def root(x):
@@ -159,14 +169,42 @@ def test_near_duplicates(docs, empty, rows):
     assert minhash.near_duplicate_classes(empty).count() == 0
 
 
+def test_document_frequencies(spark, docs, rows):
+    """Exact while shingles are few; what other shingles put into cells is taken off where they are many."""
+    df = Counter(g for r in rows for g in {tuple(w[i : i + 5]) for w in [tokens(r[1])] for i in range(len(w) - 4)})
+    idf = minhash.inverse_frequencies(docs.select("text"), 5, 0.5)
+    assert idf.n == len(rows)
+    text = next(r[1] for r in rows if r[1] and len(tokens(r[1])) > 60)
+    w = tokens(text)
+    _, _, data, at = next(minhash.blocks(minhash.pa.array([text])))
+    _, gram, _ = minhash.shingles(*minhash.words_of(data, at), 1, 5)
+    want = sorted(minhash.idf_of(np.array(df[g]), len(rows), 0.5) for g in {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    assert np.allclose(np.sort(idf.of(gram)), want)
+    assert minhash.idf_of(np.array([1, len(rows)]), len(rows), 0.5).tolist() == [1.0, 0.5]
+
+
 def test_consistent_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(3)
     gram = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
-    a, b = np.ones(len(gram)), rng.choice([0.3, 1.0, 2.5], len(gram))
-    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-    row = np.zeros(len(gram), int)
-    s = [minhash.samples(row, gram, w, 2000)[1][0] for w in (a, b)]
-    assert abs((s[0] == s[1]).mean() - want) < 0.05
+    for many in ([0.3, 1.0, 2.5], [0.5, 0.62, 0.8, 1.0, 1.7]):
+        a, b = rng.choice(many, (2, len(gram)))
+        b = np.where(rng.random(len(gram)) < 0.7, a, b)
+        want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        row = np.zeros(len(gram), int)
+        s = [minhash.samples(row, gram, w, 2000)[1][0] for w in (a, b)]
+        assert abs((s[0] == s[1]).mean() - want) < 0.05
+
+
+def test_hot_bucket_is_linked_by_a_tree(spark):
+    buckets = spark.createDataFrame([(k, v) for k, n in ((1, 3000), (2, 2), (3, 70)) for v in range(n)], "key long, v long")
+    links = [(r.a, r.b) for r in minhash.bucket_links(buckets).collect()]
+    assert all(a < b for a, b in links) and len(links) < 3000 + 70 + 2
+    assert max(Counter(a for a, _ in links).values()) < 200
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == 3000 and {r.component for r in found} == {0}
+    apart = buckets.selectExpr("key", "v", "IF(v % 10 = 0, v, 1L) AS c")
+    drawn = [(r.a, r.b) for r in minhash.drawn_links(apart, 0).collect()]
+    assert drawn and {a for a, _ in drawn} <= set(range(3000)) and len({a for a, _ in drawn}) <= 3
 
 
 def test_prefix_filter_loses_no_pair(spark):
@@ -179,7 +217,7 @@ def test_prefix_filter_loses_no_pair(spark):
             w[rng.integers(0, 60)] = f"n{rng.integers(0, 6)}"
         texts.append((i, i, " ".join(w)))
     df = spark.createDataFrame(texts, "v long, c long, text string")
-    idf = np.ones(minhash.DF_BUCKETS, np.float32)
+    idf = minhash.Idf(60, np.ones((minhash.DF_ROWS, minhash.DF_CELLS), np.float32), 0.5)
     got = {(r.a, r.b) for r in minhash.prefix_pairs(df, 5, 0.8, idf).collect()}
     sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, _, t in texts]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
