@@ -1,7 +1,8 @@
 """Substring de-duplication: words covered by a window of `window` words that also starts earlier in the corpus go.
 
-Reference shards are the segments that repeats.py sends to one target: every passage of the corpus that shares an
-anchor, equal passages once. A shard's suffix automaton is built over its passages in corpus order, so each state
+Reference shards are passages that share anchors, gathered by repeats.py, equal passages once; a shard takes whole
+anchors until it has SHARD_WORDS words, and an anchor has at most repeats.HOT different passages, so an automaton's
+size is bounded. A shard's suffix automaton is built over its passages in corpus order, so each state
 knows where its words first occur. The shard's documents are then streamed through it: the matching statistic at a
 word is the length of the longest suffix that the automaton holds; where it reaches `window`, the state of the last
 `window` words is found by suffix links, and if they occur first at an earlier place, the window is a repeat. Maximal
@@ -16,12 +17,18 @@ columns are not read and empty tables give empty results. Windows never cross do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from lectern.llm.repeats import by_source, remove_repeats
 
 
+#: Words after which a shard takes no further anchor.
+SHARD_WORDS = 50_000
+
+
 class SuffixAutomaton:
     """Of several word sequences, added in order; `first` is where a state's words first end."""
 
@@ -103,19 +110,33 @@ class SuffixAutomaton:
 def judge(sent: list[tuple[int, dict]], window: int) -> list[tuple[int, tuple]]:
     """Spans of words that an earlier equal window covers, by block."""
     block = np.repeat([b for b, _ in sent], [len(x["row"]) for _, x in sent])
-    row, key, lo, more = (np.concatenate([x[k].to_numpy() for _, x in sent]).astype(np.int64) for k in ("row", "id", "lo", "more"))
+    row, key, lo, more, h = (np.concatenate([x[k].to_numpy() for _, x in sent]) for k in ("row", "id", "lo", "more", "h"))
     body = [s for _, x in sent for s in x["body"].to_pylist()]
-    out_at, out_lo, out_hi = [], [], []
-    places: dict[bytes, int] = {}
-    automaton = SuffixAutomaton()
-    at = 0
-    order = np.lexsort((lo, row, key)).tolist()
+    which, first, last = [], [], []
+    # passages of one anchor, in corpus order, one after another
+    order = np.lexsort((lo, row, key, h))
+    ends = np.append(np.flatnonzero(h[order][1:] != h[order][:-1]) + 1, len(order)).tolist()
+    start, size = 0, 0
+    for a, b in zip([0, *ends], ends, strict=False):
+        size += sum(body[i].count(b" ") + 1 for i in order[a:b].tolist())
+        if size >= SHARD_WORDS or b == len(order):
+            for i, x, y in _shard(order[start:b].tolist(), body, more, window):
+                which.append(i), first.append(x), last.append(y)
+            start, size = b, 0
+    at = np.array(which, np.int64)
+    return by_source(block[at], row[at], lo[at] + np.array(first, np.int64), lo[at] + np.array(last, np.int64))
+
+
+def _shard(members: list[int], body: list[bytes], more: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
+    """(passage, first word, end) of the repeats in a shard's passages, which come in corpus order anchor by anchor."""
+    automaton, at = SuffixAutomaton(), 0
+    places: set[bytes] = set()
     fresh: list[tuple[int, list, int]] = []
-    for i in order:
+    for i in members:
         if body[i] in places:  # the whole passage is in the shard already
-            out_at.append(i), out_lo.append(0), out_hi.append(int(more[i]) + window)
+            yield i, 0, int(more[i]) + window
             continue
-        places[body[i]] = at
+        places.add(body[i])
         words = body[i].split(b" ")
         automaton.add(words, at)
         fresh.append((i, words, at))
@@ -125,13 +146,11 @@ def judge(sent: list[tuple[int, dict]], window: int) -> list[tuple[int, tuple]]:
         for s in automaton.repeats(words, start, window):
             if s != last + 1:
                 if last >= 0:
-                    out_at.append(i), out_lo.append(first), out_hi.append(last + window)
+                    yield i, first, last + window
                 first = s
             last = s
         if last >= 0:
-            out_at.append(i), out_lo.append(first), out_hi.append(last + window)
-    which = np.array(out_at, np.int64)
-    return by_source(block[which], row[which], lo[which] + np.array(out_lo, np.int64), lo[which] + np.array(out_hi, np.int64))
+            yield i, first, last + window
 
 
 def finish(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, bytes]:

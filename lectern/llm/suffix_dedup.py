@@ -1,7 +1,9 @@
 """Suffix-array de-duplication: bytes covered by a `window`-byte string that also starts earlier in the corpus go.
 
-The suffixes sorted are those at anchors (see repeats.py), a sparse suffix array whose windows are complete. Each
-block sends sorted runs, front-coded: the length a suffix shares with the one before it, and the rest. A target merges
+The suffixes sorted are those at anchors (see repeats.py), a sparse suffix array whose windows are complete; at hot
+anchors every window is a suffix of its own. Targets are ranges of the suffix order, cut at sampled suffixes, so the
+targets one after another are that order. Each block sends each target a sorted run, front-coded: the length a suffix
+shares with the one before it, and the rest. A target merges
 its runs with a loser tree that carries common-prefix lengths: two suffixes that share different lengths with the last
 one put out are ordered by those lengths, and equal lengths are compared from there on, so no known prefix is read
 again. The merged order with its prefix lengths tells which right contexts agree how far, a sort of the left contexts

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, line_dedup, minhash, substring_dedup, suffix_dedup
+from lectern.llm import exact_dedup, line_dedup, minhash, repeats, substring_dedup, suffix_dedup
 from lectern.llm.components import components
 from lectern.llm.repeats import common
 from lectern.llm.suffix_dedup import merge_runs
@@ -74,6 +74,42 @@ def brute(units_of, window, rows):
     return out
 
 
+def test_names_of_blocks(spark):
+    x = [0, 1, -1, 41, 2**40 + 3, -(2**62)]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in x], "i long").select(F.hash("i")).collect()]
+    assert repeats.murmur(np.array(x)).tolist() == got
+    assert sorted(repeats.murmur(np.array(repeats._block_names(211))) % 211) == list(range(211))
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_anchors_go_window_by_window(spark, monkeypatch, hot):
+    """One passage in every document, between ever other neighbours."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 60)
+    monkeypatch.setattr(repeats, "CHUNK_BITS", 9)
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 7))) for _ in range(n))
+    passage = some(40)
+    rows = [(i, f"{some(rng.integers(0, 30))} {passage} {some(rng.integers(0, 30))}" if i % 5 else some(40)) for i in range(80)]
+    rows += [(200, rows[1][1]), (3, "other " + passage), (3, "other " + passage), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for units_of, window, out in ((lambda t: t.encode(), 100, suffix_dedup.remove_repeated_bytes(docs)), (lambda t: t.encode().split(), 20, substring_dedup.remove_repeated_words(docs))):
+        want = brute(units_of, window, rows)
+        expected = Counter()
+        for i, t in rows:
+            u, cover = want[i, t or ""]
+            left = [x for x, c in zip(u, cover, strict=True) if not c]
+            expected[i, len(u), sum(cover), bytes(left) if window == 100 else b" ".join(left)] += 1
+        assert Counter((x.doc_id, x.n_units, x.n_removed, bytes(x.kept_text)) for x in out.collect()) == expected
+
+
+def test_targets_are_ranges_of_suffixes():
+    spec = repeats.Spec(False, 100, 24, 4, 1, (b"b", b"m", b"mm"))
+    body = [bytes(c) * 1 for c in ([97] * 30, [98] * 30, [109] * 30, [122] * 30)]
+    assert [spec.target(x, 0, 0, False) for x in body] == [0, 1, 3, 3]
+    assert sorted(body) == sorted(body, key=lambda x: (spec.target(x, 0, 0, False), x))
+
+
 def test_repeated_bytes(docs, empty, rows):
     want = brute(lambda t: t.encode(), 100, rows)
     got = suffix_dedup.remove_repeated_bytes(docs).collect()
