@@ -11,18 +11,24 @@ from lectern.llm.common import settle
 
 #: Keys that a vertex with many neighbours is dealt over.
 SALTS = 32
+#: Edges that a partition may have, and the least number of partitions.
+PART_ROWS, LEAST_PARTS = 200_000, 12
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each vertex u joins its neighbours to the smallest of them and itself: the larger ones (large), or the smaller ones and u (small)."""
-    rows = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each vertex u joins its larger neighbours to the smallest of all its neighbours and itself. A centre may have any number of them."""
+    rows = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     # at most SALTS rows a vertex
     least = rows.groupBy("a", "salt").agg(F.min("b").alias("m")).withColumn("m", F.least("a", F.min("m").over(W.partitionBy("a"))))
-    out = (rows.where("b > a") if large else rows).join(least, ["a", "salt"]).select(F.col("b").alias("x"), F.col("m").alias("y"))
-    if not large:
-        out = out.union(least.select("a", "m"))
-    return out.where("x <> y").distinct().toDF("a", "b")
+    return rows.where("b > a").join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each vertex u joins itself and its smaller neighbours to the smallest of them. After a large star these are few."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+    return out.where("a <> b").distinct()
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -37,7 +43,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     before, state = None, _print(now)
     while state != before and state[0]:
-        now = settle(_star(_star(now, True), False))
+        # a few rows in many partitions would make many files in each of the shuffles to come
+        now = now.coalesce(max(LEAST_PARTS, -(-state[0] // PART_ROWS)))
+        now = settle(_small_star(_large_star(now)))
         before, state = state, _print(now)
     # every edge leads to the smallest id now
     found = now.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component"))

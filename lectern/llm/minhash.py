@@ -14,9 +14,9 @@ rounded to STEP, so that a sample is one look-up. Samples are hashed in bands.
 
 Texts with the same words are one vertex. The members of a band bucket are dealt over SALTS groups, each of which links
 its members to its smallest id, and those to the bucket's smallest: no list of a bucket's members is ever in one task.
-Links are verified by the weighted Jaccard similarity of the whole texts, and components are built. Buckets that still
-hold several components try again with members drawn by a hash as hubs, ROUNDS times; members of buckets that are still
-open are compared by an exact weighted prefix filter across components, so no candidate is dropped.
+Links are verified by the weighted Jaccard similarity of the whole texts, and components are built. Members of buckets
+that still hold several components are compared across components by an exact weighted prefix filter, so no candidate
+is dropped and members of one component are not compared again.
 
 Defined results: a text without a letter or digit (null, empty) is a class of its own; rows that share an id are one
 vertex; a row with a null id gets the class of its words; of equal ids and hashes the smallest leads; an empty table
@@ -43,10 +43,8 @@ from lectern.llm.textblocks import LOWER, VALUE, blocks, forget, gram_hash, mix,
 DF_ROWS, DF_CELLS, DF_PARTS = 2, 1 << 19, 64
 TABLE_BITS = 16
 TABLE = 1 << TABLE_BITS
-#: Groups that a bucket's members, or a vertex's links, are dealt over.
+#: Groups that a bucket's members are dealt over.
 SALTS = 64
-#: Rounds with drawn hubs before the prefix filter.
-ROUNDS = 2
 #: Samples round ln(weight) to STEP; weights outside of these levels count as the nearest.
 STEP, LEVELS, LEVEL_ZERO = 0.1, 64, 32
 IS_TOKEN = np.zeros(256, bool)
@@ -260,14 +258,11 @@ def _verified(k: int, threshold: float, idf: Idf):
 def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf: Idf) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar. texts: (id, text).
 
-    Both joins are plain ones, so that one with a hot side is split as it runs; a hub's links are dealt over SALTS keys besides.
+    Both joins are plain ones, so that one with a hot side is split as it runs.
     """
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
-    dealt = pairs.join(b, "b").select("a", salt.alias("salt"), "b", "b_text")
-    needed = pairs.select("a", salt.alias("salt")).distinct()
-    heads = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")).join(needed, "a")
-    both = dealt.join(heads, ["a", "salt"]).select("a", "b", "a_text", "b_text").sortWithinPartitions("a")
+    dealt = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
+    heads = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
+    both = dealt.join(heads, "a").select("a", "b", "a_text", "b_text").sortWithinPartitions("a")
     return both.mapInArrow(_verified(k, threshold, idf), "a long, b long").distinct()
 
 
@@ -314,15 +309,6 @@ def bucket_links(buckets: DataFrame) -> DataFrame:
     return links.union(local.where("l <> hub").select(F.col("hub").alias("a"), F.col("l").alias("b"))).distinct()
 
 
-def drawn_links(members: DataFrame, nth: int) -> DataFrame:
-    """(a, b): one member of each bucket of members (key, v, c), drawn by a hash, with all those of other components."""
-    dealt = members.select("key", "v", "c", _salt("v").alias("salt"))
-    order = F.struct(F.xxhash64(F.lit(f"draw {nth}"), "v"), "v", "c")
-    local = dealt.groupBy("key", "salt").agg(F.min(order).alias("l")).withColumn("hub", F.min("l").over(W.partitionBy("key")))
-    hubs = local.select("key", "salt", F.col("hub.v").alias("a"), F.col("hub.c").alias("ac"))
-    return dealt.join(hubs, ["key", "salt"]).where("c <> ac").select("a", F.col("v").alias("b")).distinct()
-
-
 def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Those buckets (key, v) whose members are in several components, with c, the component."""
     at = buckets.join(found, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("component", "v").alias("c"))
@@ -351,15 +337,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links = settle(verify(tested, texts, words, threshold, idf))
     found = settle(components(links))
     left = settle(_open(buckets, found))
-    for nth in range(ROUNDS):
-        if not left.limit(1).count():
-            break
-        # of members drawn by a hash, only links between components are of use
-        new = settle(_untested(drawn_links(left, nth), tested))
-        tested = tested.union(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = settle(links.union(verify(new, texts, words, threshold, idf)))
-        found = settle(components(links))
-        left = settle(_open(left.drop("c"), found))
     if left.limit(1).count():
         ends = left.select("v", "c").distinct()
         more = prefix_pairs(texts.join(ends, F.col("id") == F.col("v")), words, threshold, idf)
