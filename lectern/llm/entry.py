@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_table(table(spark, sf_dir, "documents"))
+    return mixing.mix_table(table(spark, sf_dir, "documents"), weight_of_size=mixing.bits)
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op3_mix_sources": r"""
-WITH sized AS (
+WITH counted AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
+sized AS (SELECT *, CAST(round(ln(length(bin(size))) / ln(1.1::DOUBLE)) AS INTEGER) AS level FROM counted),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap,
@@ -87,14 +88,21 @@ filled AS (
   FROM weighed WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT arg_min(c, CAST(cap AS DOUBLE) / weight) AS c FROM filled WHERE c * weight <= cap),
 targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), level.c * weight) AS target FROM filled, level),
-rates AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM targets),
+parts AS (
+  SELECT s.source, s.level, t.source_size, t.target, s.part_size, 3 * s.part_size AS cap, pow(1.1::DOUBLE, s.level) * s.part_size AS w
+  FROM (SELECT source, level, CAST(sum(size) AS BIGINT) AS part_size FROM sized GROUP BY source, level) s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+filled_parts AS (
+  SELECT *, (target - coalesce(sum(cap) OVER o, 0)) / nullif(sum(w) OVER (PARTITION BY source) - coalesce(sum(w) OVER o, 0), 0) AS c, count(*) OVER (PARTITION BY source) AS levels
+  FROM parts WINDOW o AS (PARTITION BY source ORDER BY cap / nullif(w, 0) NULLS FIRST, level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shares AS (
+  SELECT *, least(CAST(cap AS DOUBLE), w * coalesce(arg_min(c, cap / nullif(w, 0)) FILTER (w > 0 AND c * w <= cap) OVER (PARTITION BY source), 'inf'::DOUBLE)) AS share FROM filled_parts),
+wanted AS (SELECT *, coalesce(CASE WHEN levels = 1 THEN target ELSE share END / nullif(part_size, 0), 0) AS e FROM shares),
+rates AS (SELECT *, floor(e) AS whole, target - sum(floor(e) * part_size) OVER (PARTITION BY source) AS rest FROM wanted),
 ranked AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.e - r.whole AS p, r.target - r.whole * r.source_size AS rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source, d.size > 0 ORDER BY (u / (1 - u)) / ((r.e - r.whole) / (1 - (r.e - r.whole))), d.doc_id
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.e - r.whole AS p, r.rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source, d.size > 0 AND r.e > r.whole ORDER BY (u / (1 - u)) / ((r.e - r.whole) / (1 - (r.e - r.whole))), d.doc_id
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source AND d.level = r.level),
 taken AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(whole AS BIGINT) + CASE WHEN p > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END END AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM taken""",
