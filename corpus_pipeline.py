@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, weights=(1, 2, 3), cap=3)
+    return mixing.mix(docs, weights=(1, 2, 3), cap=3, weight_of_size=mixing.bits)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
