@@ -30,6 +30,11 @@ def _own_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one, with all in it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, quality, substring_dedup, suffix_dedup, warc_zip
-from lectern.llm.common import table
+from lectern.llm.common import remove_folder, settle, table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = language_id.train(docs.where(~held_out))
-    out = language_id.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+    model = language_id.train(docs.where(~held_out(F.col("doc_id"))))
+    out = language_id.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out(F.col("doc_id"))})
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
@@ -28,8 +31,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc_zip.write_archives(table(spark, sf_dir, "pages"), warc_zip.new_folder(spark), min_bytes=0)
-    return warc_zip.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = warc_zip.new_folder(spark)
+    archives = warc_zip.write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    # a short row a record: kept, so that the archives can go
+    out = settle(warc_zip.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove_folder(spark, folder)
+    return out
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +71,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances allowed are learned from documents labelled good, but for the third of ids that tests hold out."""
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.learn(docs))
+    measured = settle(quality.measure(docs, quality.learn(docs)))
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    return quality.verdicts(measured, quality.learn_limits(measured.join(good, "doc_id", "left_semi")))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +125,41 @@ SELECT b.page_id, CAST(strlen(b.body) AS BIGINT) AS payload_bytes,
        CASE WHEN b.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN b.page_id <> f.first THEN f.first END AS refers_to
 FROM bodies b JOIN firsts f ON b.body = f.body""",
+    "op5_suffix_dedup": """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT doc_id, b, octet_length(b) AS n FROM docs),
+windows AS (SELECT doc_id, unnest(range(1, n - 98)) AS i, b FROM sized WHERE n >= 100),
+repeats AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY array_slice(b, i, i + 99) ORDER BY doc_id, i) AS nth FROM windows)
+  WHERE nth > 1),
+-- where covered runs start and end
+marked AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeats),
+spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (
+    SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
+  GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, lo, hi, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) AS after, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) IS NULL AS last FROM spans),
+kept AS (
+  SELECT c.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans,
+         string_agg(hex(array_slice(b, after, lo - 1)) || CASE WHEN last THEN hex(array_slice(b, hi, n)) ELSE '' END, '' ORDER BY lo) AS left_hex
+  FROM cuts c JOIN sized USING (doc_id) GROUP BY c.doc_id)
+SELECT s.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN k.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(left_hex)) END AS kept_sha256
+FROM sized s LEFT JOIN kept k ON s.doc_id = k.doc_id""",
+    "op8_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM docs WHERE len(w) >= 20),
+repeats AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM windows)
+  WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM repeats),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY pos) AS body, count(*) AS n FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
     "op6_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

@@ -6,6 +6,7 @@ of a group that holds a third of all rows each map task sends one row.
 
 Defined results: a null text counts as empty and is a copy of other empty texts; rows that repeat id and text are
 one document, flagged alike by `exact_groups`, of which `drop_copies` keeps one row; a null id loses to any other.
+Equal ids are ties, decided by a hash of the row. A text is grouped as a whole, so the longest one bounds memory.
 An empty table gives an empty result; columns other than id and text are not read by `exact_groups` and are passed
 through unchanged by `drop_copies`, whatever their names.
 """

@@ -7,10 +7,14 @@ is rejected where it has no letter, or where it has MIN_GRAMS grams and that cos
 training texts' own (short texts have small cosines by nature, and are not rejected for them).
 
 The model is fitted on at most `per_language` rows of each language (whole texts, chosen by a hash of the id), of every
-language found; it has some 64 kilobytes a language. Prediction reads nothing but the text.
+language found; a language's centroids are found in one task, and the driver gets the model alone: document
+frequencies, centroids and a histogram of the training texts' own cosines, some 70 kilobytes a language however long
+the texts are. Prediction reads nothing but the text.
 
 Defined results: null text, or text without a letter: `und`, score 0, rejected; no labelled row at all: `und` for
-all; rows with equal texts get equal results; empty tables give empty results; other columns are not read.
+all; of centroids as near as one another the first in order of languages counts; rows with equal texts get equal
+results; a text is read as a whole, so the longest one bounds memory; empty tables give empty results; other columns
+are not read but for those that `keep` names, and may have any names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches
+from lectern.llm.common import settle, small_batches
 from lectern.llm.textblocks import LOWER, blocks, forget
 
 DIMENSIONS = 1 << 12
 UNKNOWN = "und"
 MIN_GRAMS = 100
+#: Steps of cosines in the histogram from which rejection is learned.
+COSINES = 1000
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 FOLD = np.where(IS_LETTER, LOWER, 32).astype(np.uint8)
@@ -102,28 +108,52 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
     # about per_language rows of each: those with the smallest hashes
     bounds = [(lang, min(2**63 - 1, int(2**64 * min(1.0, per_language / n)) - 2**63)) for lang, n in sizes.items()]
-    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
-    found = rows.join(bound, "lang").where("nth <= bound").select("lang", "nth", "text").mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>").collect()
-    langs, by = sorted(sizes), {lang: [] for lang in sizes}
-    for r in found:
-        by[r["lang"]].append(r)
-    samples = {lang: sorted(by[lang], key=lambda r: (r["nth"], r["place"], r["n"]))[:per_language] for lang in langs}
-    df = np.zeros(DIMENSIONS)
-    for r in (r for x in samples.values() for r in x):
-        df[r["place"]] += 1
-    idf = (np.log((1 + sum(map(len, samples.values()))) / (1 + df)) + 1).astype(np.float32)
-    centroids, of, own = [], [], []
-    for k, lang in enumerate(langs):
-        if not (rs := [r for r in samples[lang] if r["place"]]):
-            continue
-        x = dense(np.repeat(np.arange(len(rs)), [len(r["place"]) for r in rs]), np.concatenate([r["place"] for r in rs]), np.concatenate([r["n"] for r in rs]), len(rs), idf)
-        c = _kmeans(x, clusters)
-        centroids.append(c)
-        of += [k] * len(c)
-        own.append((x @ c.T).max(1)[np.array([sum(r["n"]) >= MIN_GRAMS for r in rs])])
-    if not centroids:
+    bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    sample = rows.join(bound, "lang").where("nth <= bound").select("lang", "nth", "text").mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>")
+    sample = settle(sample)
+    df, texts = np.zeros(DIMENSIONS, np.int64), 0
+    for r in sample.groupBy("lang").applyInArrow(_frequencies(per_language), "texts long, df binary").toLocalIterator():
+        df += np.frombuffer(r["df"], "<i8")
+        texts += r["texts"]
+    idf = (np.log((1 + texts) / (1 + df)) + 1).astype(np.float32)
+    found = sample.groupBy("lang").applyInArrow(_fit(per_language, clusters, idf), "lang string, centroids binary, cosines binary").collect()
+    parts = sorted((r["lang"], np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMENSIONS), np.frombuffer(r["cosines"], "<i8")) for r in found)
+    langs = sorted(sizes)
+    if not sum(len(c) for _, c, _ in parts):
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), idf, 0.0)
-    return Model(langs, np.array(of), np.concatenate(centroids).astype(np.float32), idf, float(reject * np.percentile(own, 1)) if len(own := np.concatenate(own)) else 0.0)
+    of = np.concatenate([np.full(len(c), langs.index(lang)) for lang, c, _ in parts])
+    upto = np.cumsum(np.sum([h for _, _, h in parts], axis=0))
+    low = float(np.searchsorted(upto, 0.01 * upto[-1], "right")) / COSINES if upto[-1] else 0.0
+    return Model(langs, of, np.concatenate([c for _, c, _ in parts]), idf, reject * low)
+
+
+def _sampled(table: pa.Table, per_language: int) -> list[tuple[list[int], list[int]]]:
+    rows = sorted(zip(table.column("nth").to_pylist(), table.column("place").to_pylist(), table.column("n").to_pylist(), strict=True))
+    return [r[1:] for r in rows[:per_language]]
+
+
+def _frequencies(per_language: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = _sampled(table, per_language)
+        df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(p for p, _ in rows)]).astype(np.int64), minlength=DIMENSIONS)
+        return pa.table({"texts": pa.array([len(rows)], pa.int64()), "df": pa.array([df.astype("<i8").tobytes()], pa.binary())})
+
+    return run
+
+
+def _fit(per_language: int, clusters: int, idf: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        lang = table.column("lang")[0].as_py()
+        rows = [r for r in _sampled(table, per_language) if r[0]]
+        c, own = np.zeros((0, DIMENSIONS), np.float32), np.zeros(0)
+        if rows:
+            x = dense(np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows]), np.concatenate([p for p, _ in rows]), np.concatenate([n for _, n in rows]), len(rows), idf)
+            c = _kmeans(x, clusters)
+            own = (x @ c.T).max(1)[np.array([sum(n) >= MIN_GRAMS for _, n in rows])]
+        cosines = np.bincount(np.clip(own * COSINES, 0, COSINES - 1).astype(np.int64), minlength=COSINES)
+        return pa.table({"lang": pa.array([lang]), "centroids": pa.array([c.astype("<f4").tobytes()], pa.binary()), "cosines": pa.array([cosines.astype("<i8").tobytes()], pa.binary())})
+
+    return run
 
 
 def _predictor(model: Model):

@@ -5,7 +5,8 @@ that every document holds sends one row per task and document group), and the po
 documents, where the lines left are joined again. Texts move once, in the join that reassembles them.
 
 Defined results: a null text is one empty line; an empty table gives an empty result; the table's other columns are
-not read. A row with a null id is a document of its own for counting, the smallest of all. Rows that share an id are
+not read and may have any names. Of documents with the same largest id all keep their line; a text is split as a whole,
+so the longest one bounds memory. A row with a null id is a document of its own for counting, the smallest of all. Rows that share an id are
 one document for counting, and each keeps its own row in the result.
 """
 

@@ -3,18 +3,20 @@
 A first pass over all labelled documents counts, for each language, the classes of characters and the words (hashed
 to BUCKETS buckets, so that a task's counts have a fixed size); a language's `top` fullest buckets are its common
 words. A second pass compares each document's two histograms with each language's, by the square root of the
-Jensen-Shannon divergence to base 2, and takes the nearest language. A document fails where it has at least
-`min_words` words (for classes) or `min_words_common` (for common words) and lies beyond the distance allowed.
-The references have some 130 kilobytes a language, and every language found has them.
+Jensen-Shannon divergence to base 2, and takes the nearest language (of equally near ones the first). A document fails
+where it has at least `min_words` words (for classes) or `min_words_common` (for common words) and lies beyond the
+distance allowed. What is allowed can be learned from documents known to be good: `margin` times the largest distance
+among them. The references have some 130 kilobytes a language, and every language found has them.
 
 Defined results: a null text has no words and fails the base rules; a null language counts for no reference; with no
-reference at all every document that passes the base rules is kept; an empty table gives an empty result; other
-columns are not read; each row is judged by itself, so repeated rows get equal results.
+reference at all every document that passes the base rules is kept; an empty table gives an empty result; a text is
+read as a whole, so the longest one bounds memory; other columns are not read and may have any names; each row is judged by itself, so repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -157,10 +159,10 @@ def _dup_lines(data: np.ndarray, at: np.ndarray, word_starts: np.ndarray, n: int
     return _per_row(row[again], n)
 
 
-def _judge(refs: References, limits: dict):
-    schema = pa.schema([("doc_id", pa.int64())] + [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
+def _measured(refs: References, base_words: int, repeat_percent: int):
+    schema = pa.schema([("doc_id", pa.int64())] + [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(1)):
@@ -171,7 +173,7 @@ def _judge(refs: References, limits: dict):
                 chars = first[at[1:]] - first[at[:-1]] - classes[:, 1]
                 dups = _dup_lines(data, at, starts, n)
                 again = _repeats(row, span_hash(data, starts, ends), n)
-                failed = (n_words < limits["base_words"]) | (100 * again > limits["repeat_percent"] * n_words)
+                failed = (n_words < base_words) | (100 * again > repeat_percent * n_words)
                 by_class = np.array([js_distance(classes, c) for c in refs.classes]) if refs.langs else np.zeros((1, n))
                 by_word = np.ones((max(len(refs.langs), 1), n)) * (not refs.langs)
                 top = refs.words.shape[1]
@@ -182,15 +184,46 @@ def _judge(refs: References, limits: dict):
                 class_d, word_d = by_class[nearest, np.arange(n)], by_word[nearest, np.arange(n)]
                 if not refs.langs:
                     word_d = class_d
-                far = (n_words >= limits["min_words"]) & (class_d > limits["class_distance"]) | (n_words >= limits["min_words_common"]) & (word_d > limits["word_distance"])
-                yield pa.record_batch([batch.column(0).slice(lo, n).cast(pa.int64()), *map(pa.array, (n_words, chars, _per_row(np.searchsorted(at, np.flatnonzero(IS_SYMBOL[data]), "right") - 1, n), dups, again, failed, ~failed & ~far, class_d, word_d))], schema=schema)
+                symbols = _per_row(np.searchsorted(at, np.flatnonzero(IS_SYMBOL[data]), "right") - 1, n)
+                yield pa.record_batch([batch.column(0).slice(lo, n).cast(pa.int64()), *map(pa.array, (n_words, chars, symbols, dups, again, failed, class_d, word_d))], schema=schema)
 
-    return judge
+    return measure
 
 
-def score(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", base_words: int = 50, repeat_percent: int = 50, min_words: int = 50, min_words_common: int = 50, class_distance: float = 0.29, word_distance: float = 0.6) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance."""
-    limits = {k: v for k, v in locals().items() if k in ("base_words", "repeat_percent", "min_words", "min_words_common", "class_distance", "word_distance")}
+@dataclass(frozen=True)
+class Limits:
+    """From how many words on the two distances count, and how large they may be."""
+
+    min_words: int = 50
+    min_words_common: int = 50
+    class_distance: float = 0.29
+    word_distance: float = 0.6
+
+
+def measure(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", base_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance."""
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    return rows.mapInArrow(_judge(refs, limits), f"doc_id long, {counts}, base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return rows.mapInArrow(_measured(refs, base_words, repeat_percent), f"doc_id long, {counts}, base_failed boolean, class_distance double, word_distance double")
+
+
+def learn_limits(good: DataFrame, margin: float = 1.05, limits: Limits = Limits()) -> Limits:
+    """`limits` with distances from `good`, measured documents that are known to be good; its own where there is none."""
+    passed = good.where("NOT base_failed")
+    one = passed.agg(
+        F.max(F.when(F.col("n_words") >= limits.min_words, F.col("class_distance"))).alias("c"),
+        F.max(F.when(F.col("n_words") >= limits.min_words_common, F.col("word_distance"))).alias("w"),
+    ).first()
+    return replace(limits, class_distance=limits.class_distance if one["c"] is None else margin * one["c"], word_distance=limits.word_distance if one["w"] is None else margin * one["w"])
+
+
+def verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """measured with kept."""
+    far_class = (F.col("n_words") >= limits.min_words) & (F.col("class_distance") > limits.class_distance)
+    far_words = (F.col("n_words") >= limits.min_words_common) & (F.col("word_distance") > limits.word_distance)
+    return measured.withColumn("kept", ~F.col("base_failed") & ~far_class & ~far_words)
+
+
+def score(docs: DataFrame, refs: References, limits: Limits = Limits(), **options) -> DataFrame:
+    """`measure` with the verdicts."""
+    return verdicts(measure(docs, refs, **options), limits)

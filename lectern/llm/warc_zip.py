@@ -9,6 +9,8 @@ Records with equal payloads of at least `min_bytes` bytes are stored once: the o
 response, the others are revisits that keep the HTTP headers and name it. A task writes its archive under a name of
 its own and reports it; only archives that are reported are read, so repeated attempts leave nothing in the result.
 
+A record is held as a whole, so the longest payload bounds memory; equal smallest ids are ties that all stay responses.
+
 Defined results: a null payload is empty; a null url is an empty target; a null id becomes the id of no record and
 reads back as null, and such a row never is what others refer to; rows that repeat the smallest id of their payload
 are all responses; an empty table gives no archive and an empty result; other columns are not read.
@@ -35,11 +37,15 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import shared_dir, small_batches
 
+#: Names that Hadoop's connectors give to schemes that pyarrow opens under another. Fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORD_ID = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records within so many bytes of an archive are read by one task.
 RANGE_BYTES = 32 << 20
+#: Payload bytes after which a batch of records is passed on.
+OUT_BYTES = 4 << 20
 
 
 def base32_sha1(data: bytes) -> str:
@@ -74,9 +80,18 @@ def _page(ref: str | None) -> int | None:
     return int(digits) if digits else None
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a URI names, and the path in it."""
+    scheme, colon, rest = uri.partition("://")
+    try:
+        return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+    except pa.ArrowException as e:
+        raise ValueError(f"archives need a folder that pyarrow can open, which {uri} is not: {e}") from e
+
+
 def _writer(folder: str, level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         out = path = None
         index, at = [], 0
         for batch in batches:
@@ -112,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha2").agg(F.min("page_id").alias("refers_to"))
     rows = rows.join(firsts, "sha2", "left").withColumn("response", F.col("refers_to").isNull() | F.col("page_id").eqNullSafe(F.col("refers_to")))
     rows = rows.select("page_id", "url", F.when(F.col("response"), F.col("payload")).alias("payload"), "n_bytes", "sha1", "response", "refers_to")
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = opened(folder)
     store.create_dir(root, recursive=True)
     # the driver gets a row an archive, as many as there are tasks that write; so each archive is written once
     schema = "path string, records long, bytes long"
@@ -182,7 +197,7 @@ def stored_at(f, members: dict, name: str) -> tuple[int, int]:
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = opened(path)
             with store.open_input_file(name) as f:
                 members = central_directory(f)
                 data, _ = stored_at(f, members, DATA)
@@ -195,25 +210,39 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opened, f = None, None
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            out = []
-            for r in batch.slice(lo, 256).to_pylist():
-                if r["path"] != opened:
+    path, f = None, None
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    try:
+        for batch in batches:
+            out, size = [], 0
+            for r in batch.to_pylist():
+                if r["path"] != path:
                     if f:
                         f.close()
-                    store, name = fs.FileSystem.from_uri(r["path"])
-                    opened, f = r["path"], store.open_input_file(name)
+                    store, name = opened(r["path"])
+                    path, f = r["path"], store.open_input_file(name)
                 f.seek(r["at"])
-                x = parse_record(zlib.decompress(f.read(r["length"]), 31))
-                heads, response = x["heads"], x["heads"]["warc-type"] == "response"
-                digest = heads["warc-payload-digest"].removeprefix("sha1:")
-                if response and base32_sha1(x["payload"]) != digest:
-                    raise ValueError(f"the payload of {heads['warc-record-id']} has another digest than its record says")
-                out.append((_page(heads["warc-record-id"]), heads["warc-target-uri"], heads["warc-type"], _page(heads.get("warc-refers-to")), digest, len(x["payload"]) if response else int(x["http"]["content-length"]), x["payload"] if response else None))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+                out.append(_fields(parse_record(zlib.decompress(f.read(r["length"]), 31))))
+                size += len(out[-1][-1] or b"")
+                if len(out) == 256 or size >= OUT_BYTES:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    finally:
+        if f:
+            f.close()
+
+
+def _fields(x: dict) -> tuple:
+    """A parsed record's row; a response's payload must have the digest that its headers name."""
+    heads, response = x["heads"], x["heads"]["warc-type"] == "response"
+    digest = heads["warc-payload-digest"].removeprefix("sha1:")
+    if response and base32_sha1(x["payload"]) != digest:
+        raise ValueError(f"the payload of {heads['warc-record-id']} has another digest than its record says")
+    size = len(x["payload"]) if response else int(x["http"]["content-length"])
+    return _page(heads["warc-record-id"]), heads["warc-target-uri"], heads["warc-type"], _page(heads.get("warc-refers-to")), digest, size, x["payload"] if response else None
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

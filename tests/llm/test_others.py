@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe, language_id, mixing, quality, warc_zip
+from lectern.llm.common import running
 
 _library = lru_cache(Tokenizer.from_file)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,6 +35,33 @@ def test_language(docs, empty, rows):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_nearest_centroid_by_hand(docs, rows):
+    """Vectors and cosines by plain counting."""
+    model = language_id.train(docs)
+    assert len(model.of) > len(model.langs)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    for x in language_id.identify(docs, model, {"t": F.col("text"), "i": F.col("doc_id")}).collect():
+        raw = (x.t or "").encode()
+        low = bytearray(b | 32 if 65 <= b <= 90 else b if letter(b) else 32 for b in raw)
+        for j in range(1, len(raw)):
+            if raw[j - 1] == 0xC3 and 0x80 <= raw[j] <= 0x9E and raw[j] != 0x97:
+                low[j] |= 32
+        grams = Counter(bytes(low[j : j + 3]) for j in range(len(low) - 2))
+        cell = Counter()
+        for g, n in grams.items():
+            if g[:2] != b"  ":
+                cell[(int.from_bytes(g, "little") * 2654435761) % 2**32 >> 20] += n
+        v = np.zeros(language_id.DIMENSIONS)
+        for c, n in cell.items():
+            v[c] = (1 + np.log(n)) * model.idf[c]
+        cosines = model.centroids @ v / max(np.linalg.norm(v), 1e-12)
+        if x.lang_pred != "und":
+            best = max(cosines)
+            assert x.score == pytest.approx(best, abs=1e-5)
+            assert best - max(cosines[np.array([model.langs[k] == x.lang_pred for k in model.of])]) < 1e-5
+            assert x.rejected == (sum(cell.values()) >= language_id.MIN_GRAMS and x.score < model.reject_below)
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(2)
     letters = {"en": "theandofirs", "fr": "éleauxquoi", "de": "erungschäö"}
@@ -94,6 +122,33 @@ def test_mixing(docs, empty, rows):
     assert mixing.mix_table(empty).count() == mixing.mix(empty).count() == 0
 
 
+def test_order_of_the_sample_is_by_odds(spark):
+    """Inclusion probabilities differ by size, so the order is not that of the random numbers alone."""
+    rows = [(i, "w " * (3 + i % 7 * 40), "s" if i % 4 else "t") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {x.doc_id: x for x in mixing.mix_table(docs, weight_of_size=mixing.bits).collect()}
+    u = {r.id: r.u for r in docs.select(F.col("doc_id").alias("id"), mixing.uniform("doc_id", 7).alias("u")).collect()}
+    mine = [i for i in range(400) if i % 4]
+    extra = {n: [i for i in mine if out[i].copies == n] for n in {out[i].copies for i in mine}}
+    assert len(extra) > 1
+    low = max(extra)
+    # some that are taken more often have larger random numbers than some that are not
+    assert any(u[i] > u[j] for i in extra[low] for j in mine if out[j].copies < low)
+    mean = lambda part: np.mean([out[i].copies for i in part])
+    assert mean([i for i in mine if i % 7 == 6]) > 1.2 * mean([i for i in mine if i % 7 == 0])
+    assert abs(sum(out[i].taken for i in mine) - out[mine[0]].target) <= 150
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i % 3, i / 8) for i in range(1000)], "k long, n long, x double")
+    got = sorted((r.k, r.n, r.x, r.a, r.b) for r in running(df, [F.col("k")], a="n", b="x").collect())
+    upto = (0, 0.0)
+    for k, n, x, a, b in got:
+        assert (a, b) == upto, k
+        upto = (a + n, b + x)
+    assert running(df.where("k < 0"), [F.col("k")], a="n").count() == 0
+
+
 def test_mixing_by_document_weights(spark):
     rows = [(i, "a b c d", "s" if i % 3 else "t", 9.0 if i % 2 else 1.0) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
@@ -127,6 +182,14 @@ def test_archives(spark):
     assert none.count() == warc_zip.read_archives(none).count() == 0
 
 
+def test_uris():
+    store, path = warc_zip.opened("file:///tmp/x")
+    assert path == "/tmp/x"
+    assert warc_zip.SCHEMES["s3a"] == "s3"
+    with pytest.raises(ValueError, match="viewfs"):
+        warc_zip.opened("viewfs://store/x")
+
+
 def test_central_directory_with_zip64(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 50)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 2)
@@ -251,6 +314,60 @@ def test_quality(docs, empty, rows):
     assert quality.score(empty, refs).count() == 0
 
 
+def test_verdict_by_hand(docs, rows):
+    """Histograms of words themselves, not of buckets; distances by the definition."""
+    refs = quality.learn(docs)
+    limits = quality.Limits(class_distance=0.2, word_distance=0.55)
+    plain = lambda w: bytes(b for b in w.lower().encode() if chr(b).isalnum() or b >= 128) if w.isascii() else w.encode()
+
+    def classes(t):
+        c = Counter()
+        for b in t.encode():
+            if not 128 <= b < 192:
+                c[int(quality.BYTE_CLASS[b])] += 1
+        return c
+
+    def distance(p, q):
+        p, q = ({k: v / sum(c.values()) for k, v in c.items()} for c in (p, q))
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+        return np.sqrt(sum(v * np.log2(v / m[k]) for d in (p, q) for k, v in d.items() if v) / 2)
+
+    words, chars = defaultdict(Counter), defaultdict(Counter)
+    for r in rows:
+        if r[2]:
+            words[r[2]].update(plain(w) for w in WORD.findall(r[1] or ""))
+            chars[r[2]] += classes(r[1] or "")
+    common = {k: {w for w, _ in c.most_common(200)} for k, c in words.items()}
+    cut = lambda c, k: Counter({w: n for w, n in c.items() if w in common[k]}) + Counter({None: sum(n for w, n in c.items() if w not in common[k])})
+    texts = defaultdict(set)
+    for r in rows:
+        texts[r[0]].add(r[1])
+    seen = 0
+    for x in quality.score(docs, refs, limits).collect():
+        t = next(iter(texts[x.doc_id])) or ""
+        if len(texts[x.doc_id]) > 1 or x.n_words < 20 or not t.isascii():
+            continue
+        own = Counter(plain(w) for w in WORD.findall(t))
+        found = [(distance(classes(t), chars[k]), distance(cut(own, k), cut(words[k], k))) for k in refs.langs]
+        best = min(found, key=sum)
+        assert (x.class_distance, x.word_distance) == pytest.approx(best, abs=0.05)
+        assert x.class_distance == pytest.approx(best[0], abs=1e-6)
+        assert x.kept == (not x.base_failed and (x.n_words < 50 or x.class_distance <= 0.2 and x.word_distance <= 0.55))
+        seen += 1
+    assert seen > 5
+
+
+def test_limits_come_from_good_documents(docs):
+    measured = quality.measure(docs, quality.learn(docs))
+    good = measured.where("doc_id % 2 = 0")
+    limits = quality.learn_limits(good, 1.5)
+    top = good.where("NOT base_failed AND n_words >= 50").agg(F.max("class_distance"), F.max("word_distance")).first()
+    assert (limits.class_distance, limits.word_distance) == (1.5 * top[0], 1.5 * top[1])
+    assert quality.learn_limits(good.where("false")) == quality.Limits()
+    kept = quality.verdicts(measured, quality.learn_limits(good, 1.0)).where("doc_id % 2 = 0 AND NOT base_failed")
+    assert kept.where("NOT kept").count() == 0
+
+
 def test_symbols_fail_the_divergence(spark, docs, rows):
     long = [r[1] for r in rows if r[1] and len(r[1].split()) > 90][:3]
     odd = spark.createDataFrame([(i, " ".join(f"{w}{'#$%*' [j % 4] * 3}{j}" for j, w in enumerate(t.split()))) for i, t in enumerate(long)], "doc_id long, text string")
@@ -288,3 +405,9 @@ def test_pipeline(spark, docs, rows, tmp_path):
         assert list(x.ids) in [library.encode(t, add_special_tokens=False).ids for t in {r[1] or "" for r in rows if r[0] == x.doc_id}], texts[x.doc_id][:40]
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/sf/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/sf").count() == len(kept["tokens"])
+    # what a folder holds whole is not made again
+    now.limit(0).select("doc_id", "lang", "source").write.parquet(f"{tmp_path}/resume/exact")
+    few = spark.read.parquet(f"{tmp_path}/mix").where("doc_id < 20")
+    few.write.parquet(f"{tmp_path}/resume/mix")
+    spark.read.parquet(f"{tmp_path}/near").write.parquet(f"{tmp_path}/resume/near")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/sf", f"{tmp_path}/resume").count() == few.count()
