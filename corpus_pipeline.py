@@ -7,8 +7,11 @@
 5. tokens: texts become token ids; decoding is checked by a hash.
 
 `run` writes each stage's result as Parquet in the shared folder and reads it again as the next one's documents. The
-order of rows and of ties is fixed by ids, so reruns agree. Nulls, empty texts and repeated rows are handled as each
-operator's docstring says.
+order of rows and of ties is fixed by ids, so reruns agree. Defined results: null and empty texts have no language and
+go in the first stage, as do texts that no language is near; rows that repeat a text leave one (of equal ids one that a
+hash of the row picks); a text of any length is handled as a whole; an empty table gives an empty result with the same
+columns; all stages but the last pass on every column of documents, whatever its name, and a null in any other column
+stays (a null source is a source of its own in the mix, a null language is filled in).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, exact_dedup, language_id, minhash, mixing
-from lectern.llm.common import shared_dir, table
+from lectern.llm.common import exists, remove_folder, shared_dir, table
 from lectern.llm.entry import token_digests, tokenizer_file
 
 
@@ -54,10 +57,15 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix)
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents. Where a folder is given, stages that it holds whole are taken from it, so that a run that failed goes on where it stopped; else a stage's rows go when the next one has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    own = folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{own}/{name}"
+        if not (folder and exists(spark, f"{path}/_SUCCESS")):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        if before and not folder:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
