@@ -85,7 +85,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     scheme, colon, rest = uri.partition("://")
     try:
         return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
-    except pa.ArrowException as e:
+    except (pa.ArrowException, OSError) as e:
         raise ValueError(f"archives need a folder that pyarrow can open, which {uri} is not: {e}") from e
 
 
