@@ -12,11 +12,11 @@ t = floor(ln(weight) / r + b), with r, c from Gamma(2, 1) and b uniform, all fro
 the same (shingle, t) with the probability of their weighted Jaccard similarity. For sampling alone, ln(weight) is
 rounded to STEP, so that a sample is one look-up. Samples are hashed in bands.
 
-Texts with the same words are one vertex. The members of a band bucket are dealt over SALTS groups, each of which links
-its members to its smallest id, and those to the bucket's smallest: no list of a bucket's members is ever in one task.
-Links are verified by the weighted Jaccard similarity of the whole texts, and components are built. Members of buckets
-that still hold several components are compared across components by an exact weighted prefix filter, so no candidate
-is dropped and members of one component are not compared again.
+Texts with the same words are one vertex. Members of band buckets are sorted by ranges of (bucket, next band's hash, id),
+so that a hot bucket takes several tasks, and each is linked to the WIDTH members before it. Links are verified by the
+weighted Jaccard similarity of the whole texts, and components are built. Members of buckets that still hold several
+components are compared across components by an exact weighted prefix filter: no candidate is dropped, and members of
+one component are not compared again.
 
 Defined results: a text without a letter or digit (null, empty) is a class of its own; rows that share an id are one
 vertex; a row with a null id gets the class of its words; of equal ids and hashes the smallest leads; an empty table
@@ -43,8 +43,10 @@ from lectern.llm.textblocks import LOWER, VALUE, blocks, forget, gram_hash, mix,
 DF_ROWS, DF_CELLS, DF_PARTS = 2, 1 << 19, 64
 TABLE_BITS = 16
 TABLE = 1 << TABLE_BITS
-#: Groups that a bucket's members are dealt over.
+#: Groups that a bucket's members are dealt over where buckets are joined.
 SALTS = 64
+#: Neighbours before it in a bucket's order that a member is linked to.
+WIDTH = 3
 #: Samples round ln(weight) to STEP; weights outside of these levels count as the nearest.
 STEP, LEVELS, LEVEL_ZERO = 0.1, 64, 32
 IS_TOKEN = np.zeros(256, bool)
@@ -296,25 +298,40 @@ def prefix_pairs(docs: DataFrame, k: int, threshold: float, idf: Idf) -> DataFra
     return pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
 
 
-def _salt(col: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit("salt"), col), F.lit(SALTS)).cast("int")
+def _swept(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(k).to_numpy() for k in ("key", "v", "c")] for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, v, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        same = key[1:] == key[:-1]
+        # what a range's first and last row share with rows of other ranges is not known here
+        shared = np.concatenate([[True], same]) | np.concatenate([same, [True]])
+        yield pa.record_batch({"pair": pa.array(np.zeros(int(shared.sum()), bool)), "x": key[shared], "y": v[shared]})
+        for d in range(1, width + 1):
+            both = np.flatnonzero((key[d:] == key[:-d]) & (v[d:] != v[:-d]) & (c[d:] != c[:-d]))
+            if len(both):
+                x, y = v[both], v[both + d]
+                yield pa.record_batch({"pair": pa.array(np.ones(len(both), bool)), "x": np.minimum(x, y), "y": np.maximum(x, y)})
 
+    return run
 
-def bucket_links(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: each member of buckets (key, v) with the smallest of its salted group, those with the smallest of the bucket."""
-    dealt = buckets.select("key", "v", _salt("v").alias("salt"))
-    # at most SALTS rows a bucket
-    local = dealt.groupBy("key", "salt").agg(F.min("v").alias("l")).withColumn("hub", F.min("l").over(W.partitionBy("key")))
-    links = dealt.join(local, ["key", "salt"]).where("v <> l").select(F.col("l").alias("a"), F.col("v").alias("b"))
-    return links.union(local.where("l <> hub").select(F.col("hub").alias("a"), F.col("l").alias("b"))).distinct()
+
+def sweep(buckets: DataFrame, order: Column, width: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), a < b, of members of buckets (key, v, c) and of the `width` ones before them, where c differs; members (key, v) of buckets with several)."""
+    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = buckets.select("key", order.alias("o"), "v", "c").repartitionByRange(n, "key", "o", "v").sortWithinPartitions("key", "o", "v")
+    found = settle(rows.select("key", "v", "c").mapInArrow(_swept(width), "pair boolean, x long, y long"))
+    return found.where("pair").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), found.where("NOT pair").select(F.col("x").alias("key"), F.col("y").alias("v"))
 
 
 def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Those buckets (key, v) whose members are in several components, with c, the component."""
-    at = buckets.join(found, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("component", "v").alias("c"))
-    # combined before the shuffle: a row a bucket and task
-    open_ = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return at.join(open_, "key")
+    """Members of those buckets (key, v) that are in several components, with c, the component."""
+    at = buckets.join(found, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("component", "v").alias("c"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
+    # at most SALTS rows a bucket
+    local, all_ = at.groupBy("key", "salt").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), W.partitionBy("key")
+    open_ = local.select("key", "salt", F.min("lo").over(all_).alias("lo"), F.max("hi").over(all_).alias("hi")).where("lo <> hi").select("key", "salt")
+    return at.join(open_, ["key", "salt"]).select("key", "v", "c")
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -329,11 +346,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     signed = settle(texts.mapInArrow(_signed(words, bands, rows, idf), "id long, w1 long, w2 long, bands array<long>"))
     # texts with the same words are one vertex; so are rows with the same id
     vertices = settle(signed.where(F.size("bands") > 0).groupBy("w1", "w2").agg(F.min("id").alias("v"), F.any_value("bands").alias("bands")).where("v IS NOT NULL"))
-    buckets = vertices.select("v", F.posexplode_outer("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "v").distinct()
-    shared = buckets.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("key")
-    buckets = settle(buckets.join(shared, "key"))
+    after = F.get("bands", F.pmod(F.col("band") + 1, F.size("bands")))
+    buckets = vertices.select("v", "bands", F.posexplode_outer("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "v", F.col("v").alias("c"), after.alias("after"))
+    tested, buckets = sweep(buckets, F.col("after"), WIDTH)
     texts = settle(texts.join(buckets.select(F.col("v").alias("id")).distinct(), "id"))
-    tested = settle(bucket_links(buckets))
     links = settle(verify(tested, texts, words, threshold, idf))
     found = settle(components(links))
     left = settle(_open(buckets, found))

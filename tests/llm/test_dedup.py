@@ -231,13 +231,14 @@ def test_consistent_weighted_sampling_estimates_similarity():
         assert abs((s[0] == s[1]).mean() - want) < 0.05
 
 
-def test_hot_bucket_is_linked_by_a_tree(spark):
-    buckets = spark.createDataFrame([(k, v) for k, n in ((1, 3000), (2, 2), (3, 70)) for v in range(n)], "key long, v long")
-    links = [(r.a, r.b) for r in minhash.bucket_links(buckets).collect()]
-    assert all(a < b for a, b in links) and len(links) < 3000 + 70 + 2
-    assert max(Counter(a for a, _ in links).values()) < 200
-    found = components(spark.createDataFrame(links, "a long, b long")).collect()
-    assert len(found) == 3000 and {r.component for r in found} == {0}
+def test_sweep_links_neighbours_of_a_hot_bucket(spark):
+    buckets = spark.createDataFrame([(k, v, v // 2) for k, n in ((1, 3000), (2, 3), (3, 70), (4, 1)) for v in range(n)], "key long, v long, c long")
+    pairs, members = minhash.sweep(buckets, F.col("v"), 3)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    want = {(v - d, v) for v in range(3000) for d in (1, 2, 3) if v >= d and v // 2 != (v - d) // 2}
+    # but for those that the bounds of ranges part
+    assert got <= want and len(want - got) <= 6 * 4
+    assert {(r.key, r.v) for r in members.collect()} >= {(k, v) for k, n in ((1, 3000), (2, 3), (3, 70)) for v in range(n)}
 
 
 def test_prefix_filter_loses_no_pair(spark):
