@@ -58,7 +58,10 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # Spark deletes shuffle files once the driver has collected what refers to them: many short jobs would let them pile up
+    spark._jvm.System.gc()
+    return kept
 
 
 def running(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:

@@ -265,7 +265,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf: Id
     dealt = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
     heads = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
     both = dealt.join(heads, "a").select("a", "b", "a_text", "b_text").sortWithinPartitions("a")
-    return both.mapInArrow(_verified(k, threshold, idf), "a long, b long").distinct()
+    return both.mapInArrow(_verified(k, threshold, idf), "a long, b long")
 
 
 def _weighed(k: int, idf: Idf):
@@ -356,8 +356,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if left.limit(1).count():
         ends = left.select("v", "c").distinct()
         more = prefix_pairs(texts.join(ends, F.col("id") == F.col("v")), words, threshold, idf)
-        links = links.union(verify(settle(_untested(more, tested)), texts, words, threshold, idf))
-        found = components(links)
+        more = verify(settle(_untested(more, tested)), texts, words, threshold, idf)
+        found = settle(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     names = vertices.join(found, F.col("v") == F.col("id"), "left").select("w1", "w2", F.coalesce("component", "v").alias("class_id"))
     return signed.join(names, ["w1", "w2"], "left").select(F.col("id").alias("doc_id"), F.when(F.size("bands") > 0, F.least("class_id", "id")).otherwise(F.col("id")).alias("class_id"))
 
