@@ -15,13 +15,13 @@ END_MARK = r"(?i)\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*"
 TITLE_LINE = r"(?md)^\s*Title:\s*(.+)$"
 #: A numbered heading.
 NUMBERED = r"(?i)^\s*(CHAPTER|ACT|SCENE)\s+([IVXLC]+|\d+)\b"
-#: Headings in four styles: numbered; capitals, dash and numeral; a line of capitals between blank lines; numeral and summary.
+#: Headings, each from the start of a line on (anchored once, so that other places are passed at a glance), in four styles: numbered; capitals, dash and numeral; a line of capitals between blank lines; numeral and summary.
 HEADING = (
-    r"(?md)(?:"
-    r"^\s*(?:CHAPTER|Chapter|ACT|Act|SCENE|Scene)\s+[IVXLC\d]+\.?.*$"
-    r"|^\s*[A-Z][A-Z '\.]{4,80}[.\-–—]{1,3}\s*[IVXLC]+\.?\s*$"
+    r"(?md)^(?=\s*+[A-Z])(?:"
+    r"\s*+(?:CHAPTER|Chapter|ACT|Act|SCENE|Scene)\s+[IVXLC\d]+\.?.*$"
+    r"|\s*+[A-Z][A-Z '\.]{4,80}[.\-–—]{1,3}\s*[IVXLC]+\.?\s*$"
     r"|(?<=\n\n)[A-Z][A-Z0-9 ,'\.\-]{3,69}(?=\n\n)"
-    r"|^\s*[IVXLC]+\.\s+[A-Z].{3,120}$"
+    r"|\s*+[IVXLC]+\.\s+[A-Z].{3,120}$"
     r")"
 )
 #: Roman digits and their values.

@@ -23,7 +23,10 @@ def settle(df: DataFrame) -> DataFrame:
     """df computed once and kept in the checkpoint folder (our own where none is set)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint()
 
 
@@ -102,13 +105,17 @@ def ranked(sections: DataFrame, by: list[str], priority: Column | None = None, *
 
 
 def keep_first(sections: DataFrame, by: list[str], priority: Column | None = None, **options) -> DataFrame:
-    """sections without duplicates, in their order."""
-    return ranked(sections, by, priority, **options).where("seq = keeper").select(*sections.columns).orderBy("seq")
+    """sections without duplicates; seq is their order."""
+    return ranked(sections, by, priority, **options).where("seq = keeper").select(*sections.columns)
 
 
 def report(sections: DataFrame, by: list[str], priority: Column | None = None, k: int = 10, **options) -> DataFrame:
     """A row per dropped section: both seqs, works and titles, match_type (exact or near), similarity with the keeper."""
-    rows = settle(ranked(sections, by, priority, k=k, **options).select("seq", "keeper", "norm_hash", "work_title", "section_title", "text"))
+    return report_of(settle(ranked(sections, by, priority, k=k, **options).select("seq", "keeper", "norm_hash", "work_title", "section_title", "text")), k)
+
+
+def report_of(rows: DataFrame, k: int = 10) -> DataFrame:
+    """`report` of rows that `ranked` gave."""
     part = lambda p: [F.col("seq").alias(f"{p}_seq"), F.col("work_title").alias(f"{p}_work_title"), F.col("section_title").alias(f"{p}_section_title"), F.col("norm_hash").alias(f"{p}_hash"), F.col("text").alias(f"{p}_text")]
     pairs = rows.where("seq <> keeper").select(*part("dropped"), F.col("keeper").alias("k")).join(rows.where("seq = keeper").select(*part("kept")), F.col("k") == F.col("kept_seq"))
     exact = F.col("dropped_hash") == F.col("kept_hash")

@@ -196,12 +196,17 @@ def key_phrases_of(question: pd.Series, ignore: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def phrase_variants(phrases: pd.Series) -> pd.Series:
-    """Each phrase as it is, in small letters, with initials, in capitals; each with straight and curly apostrophes."""
-    def forms(ps) -> list[str]:
-        return list(dict.fromkeys(x for p in (() if ps is None else ps) for f in (p, p.lower(), p.title(), p.upper()) for x in (f, f.replace("'", "’"))))
+def titled(phrases: pd.Series) -> pd.Series:
+    """Each phrase with initials after anything but a letter, as initcap() does not put them."""
+    return phrases.map(lambda ps: [p.title() for p in ps])
+
 
-    return phrases.map(forms)
+def phrase_variants(phrases: Column | str) -> Column:
+    """Each phrase as it is, in small letters, with initials, in capitals; each with straight and curly apostrophes."""
+    phrases = F.coalesce(F.col(phrases) if isinstance(phrases, str) else phrases, F.array().cast("array<string>"))
+    spelled = lambda f: F.array(f, F.replace(f, F.lit("'"), F.lit("’")))
+    forms = F.zip_with(phrases, titled(phrases), lambda p, t: F.flatten(F.transform(F.array(p, F.lower(p), t, F.upper(p)), spelled)))
+    return F.array_distinct(F.flatten(forms))
 
 
 def understand(questions: DataFrame, works: DataFrame, alias_groups: DataFrame, windows: DataFrame) -> DataFrame:

@@ -87,17 +87,6 @@ def contains_any(text: Column, terms: Column) -> Column:
     return F.coalesce(F.exists(terms, lambda t: F.contains(text, t)), F.lit(False))
 
 
-def has_any(found: Column, terms: Column) -> Column:
-    """One of the terms is among those found; false for no terms."""
-    return F.coalesce(F.arrays_overlap(found, terms), F.lit(False))
-
-
-def strictness(has: Callable[[Column], Column], topic_groups: Column) -> Column:
-    """How many topic groups, from the first on without a gap, the chunk `has` a term of."""
-    step = lambda s, g: F.when(s["going"] & has(g), F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("going"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("going")))
-    return F.aggregate(F.coalesce(topic_groups, F.array().cast("array<array<string>>")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("going")), step, lambda s: s["n"])
-
-
 def in_scope() -> Column:
     """Chunk and question agree in author, mode and, for specific works, title."""
     mode = F.when(F.col("scope") == "life_process", "life_process").otherwise("literature")
@@ -137,76 +126,170 @@ def term_finder(terms: set[str]) -> Callable[[str], list[str]]:
     return lambda text: list({t for _, t in automaton.iter(text)})
 
 
-def _prepared(chunks: DataFrame, matrix: np.ndarray, terms: set[str]) -> DataFrame:
-    """chunks with dists, the distances from each row of the matrix (a matrix product a batch), and found, the terms they hold, in place of embedding."""
-    rest = [c for c in chunks.columns if c != "embedding"]
-    norms, text_at = (matrix**2).sum(1), rest.index("page_content")
-
+def with_terms(rows: DataFrame, terms: DataFrame, text_col: str = "text", block_chars: int = 2_000_000) -> DataFrame:
+    """Those rows whose text holds one of the terms (a column `term`), letter for letter. Terms are taken in blocks of bounded size, each in one pass over the texts."""
+    at = rows.columns.index(text_col)
+
+    def holds(block: set[str]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = term_finder(block)
+            for batch in batches:
+                yield batch.filter(pa.array([bool(find(t)) if t else False for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    found, block, size = None, set(), 0
+    for r in terms.where("term <> ''").distinct().toLocalIterator():
+        block.add(r["term"])
+        size += len(r["term"])
+        if size >= block_chars:
+            part = rows.mapInArrow(holds(block), rows.schema)
+            found, block, size = part if found is None else found.union(part), set(), 0
+    part = rows.mapInArrow(holds(block), rows.schema) if block or found is None else None
+    out = part if found is None else found if part is None else found.union(part)
+    return out if found is None else out.distinct()
+
+
+#: What names a chunk.
+CHUNK_KEY = ("author_key", "mode", "work_title", "section_title", "section_index", "chunk_index")
+HIT = "qid long, channel int, title_pos int, tier int, k int, distance double"
+
+
+class _Asked:
+    """Questions of a block, with what tells which chunks may answer them."""
+
+    def __init__(self, rows: list):
+        self.rows = rows
+        self.matrix = np.array([r["qvec"] for r in rows], np.float64)
+        self.norms = (self.matrix**2).sum(1)
+        self.terms = {t for r in rows for t in [*(r["entity_terms"] or []), *(r["variants"] or []), *(t for g in r["topic_groups"] or [] for t in g)]}
+        self.seen: dict[tuple, np.ndarray] = {}
+
+    def _by(self, kind: str, value, test: Callable) -> np.ndarray:
+        key = (kind, value)
+        if key not in self.seen:
+            self.seen[key] = np.array([test(r) for r in self.rows], bool)
+        return self.seen[key]
+
+    def eligible(self, author, mode, work, section) -> np.ndarray:
+        """Questions whose author, mode, named works, window and chapter a chunk of these fits."""
+        home = self._by("home", (author, mode), lambda r: r["author_key"] == author and mode == ("life_process" if r["scope"] == "life_process" else "literature"))
+        named = self._by("work", work, lambda r: (r["scope"] != "specific_work" or work in (r["work_titles"] or [])) and (r["only_works"] is None or work in r["only_works"]))
+        return home & named & self._by("section", section, lambda r: r["chapters"] is None or section in r["chapters"])
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        # rounded, so that equal vectors are equally far whatever batch they are in
+        return np.round(np.maximum(self.norms[None, :] + (x**2).sum(1)[:, None] - 2 * x @ self.matrix.T, 0), 12)
+
+
+def _within(parts: list, width: int) -> np.ndarray:
+    out = np.zeros(width, bool)
+    for p in parts:
+        out |= p
+    return out
+
+
+def _lists(r, works: np.ndarray, held: dict[str, np.ndarray], n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | int, int]]:
+    """(channel, title_pos, which chunks, tier, k) of the lists that a question is answered from."""
+    titles = r["work_titles"] or []
+    if r["scope"] == "specific_work" and len(titles) > 1:
+        for i, t in enumerate(titles):
+            if t not in titles[:i]:
+                yield 4, i + 1, works == t, 0, max(2, -(-r["top_k"] // len(titles)))
+    else:
+        yield 4, 0, np.ones(n, bool), 0, r["top_k"]
+    having = lambda terms: _within([held[t] for t in terms or [] if t in held], n)
+    if r["entity_terms"]:
+        tier, going = np.zeros(n, np.int64), np.ones(n, bool)
+        for g in r["topic_groups"] or []:
+            going &= having(g)
+            tier -= going
+        yield 1, 0, having(r["entity_terms"]), tier, ALIAS_K
+    if r["variants"]:
+        yield 2, 0, having(r["variants"]), 0, KEYWORD_K
+
+
+def _best_of(asked: _Asked):
+    """Each task's best chunks by question, channel and title; only what names them, and the distance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = term_finder(terms)
+        find = term_finder(asked.terms)
+        best: dict[tuple, list[tuple]] = {}
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 n = batch.num_rows
-                x = batch.column(len(rest)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-                # rounded, so that equal vectors are equally far whatever batch they are in
-                d = np.round(np.maximum(norms[None, :] + (x**2).sum(1)[:, None] - 2 * x @ matrix.T, 0), 12)
-                dists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, len(matrix), dtype=np.int32)), pa.array(d.ravel()))
-                found = pa.array([find(t or "") for t in batch.column(text_at).to_pylist()], pa.list_(pa.string()))
-                yield pa.record_batch([*batch.columns[: len(rest)], dists, found], names=[*rest, "dists", "found"])
+                keys = list(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True))
+                fits = np.array([asked.eligible(*k[:4]) for k in keys])
+                if not fits.any():
+                    continue
+                held: dict[str, np.ndarray] = {}
+                if asked.terms:
+                    for i, t in enumerate(batch.column(6).to_pylist()):
+                        for found in find(t or ""):
+                            held.setdefault(found, np.zeros(n, bool))[i] = True
+                d = asked.distances(batch.column(7).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+                works = np.array([k[2] for k in keys], object)
+                for j in np.flatnonzero(fits.any(0)).tolist():
+                    for channel, pos, which, tier, k in _lists(asked.rows[j], works, held, n):
+                        some = np.flatnonzero(which & fits[:, j])
+                        if not len(some):
+                            continue
+                        first = np.lexsort((d[some, j], (tier[some] if isinstance(tier, np.ndarray) else np.zeros(len(some)))))
+                        last = some[first[min(k, len(some)) - 1]]
+                        tiers = tier if isinstance(tier, np.ndarray) else np.zeros(n, np.int64)
+                        near = some[(tiers[some] < tiers[last]) | (tiers[some] == tiers[last]) & (d[some, j] <= d[last, j])]
+                        rows = [(int(tiers[i]), float(d[i, j]), keys[i], k) for i in near.tolist()]
+                        best[j, channel, pos] = sorted(best.get((j, channel, pos), []) + rows, key=_order)[:k]
+        for (j, channel, pos), rows in best.items():
+            head = [[asked.rows[j]["qid"]] * len(rows), [channel] * len(rows), [pos] * len(rows), [r[0] for r in rows], [r[3] for r in rows], [r[1] for r in rows]]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            named = [pa.array([r[2][i] for r in rows], t) for i, t in enumerate((pa.string(),) * 4 + (pa.int64(),) * 2)]
+            yield pa.record_batch([*(pa.array(h, t) for h, t in zip(head, kinds, strict=True)), *named], names=["qid", "channel", "title_pos", "tier", "k", "distance", *CHUNK_KEY])
 
-    schema = chunks.select(*rest, F.array(F.lit(0.0)).alias("dists"), F.array(F.lit("")).alias("found")).schema
-    return chunks.where("embedding IS NOT NULL").select(*rest, "embedding").mapInArrow(run, schema)
+    return run
+
+
+def _order(row: tuple) -> tuple:
+    tier, distance, key, _ = row
+    return tier, distance, *((x is not None, x or 0) if i > 1 else (x is not None, x or "") for i, x in enumerate(key[2:]))
 
 
 def _channels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel. Questions are taken in blocks of bounded size."""
-    spark = questions.sparkSession
+    """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel. Questions are taken in blocks of bounded size.
+
+    Every task passes on the best of its chunks by name; texts are joined to what is left of them.
+    """
     found, block = None, []
-    plain = questions.drop("qvec")
+    name = [F.col(c).cast("long") if c.endswith("index") else F.col(c) for c in CHUNK_KEY]
+    vectors = chunks.where("embedding IS NOT NULL").select(*[x.alias(c) for x, c in zip(name, CHUNK_KEY, strict=True)], "page_content", "embedding")
+    schema = HIT + "".join(f", {c} {'long' if c.endswith('index') else 'string'}" for c in CHUNK_KEY)
 
     def search(block: list) -> DataFrame:
-        at = spark.createDataFrame([(r["qid"], i) for i, r in enumerate(block)], "qid long, nth int")
-        terms = {t for r in block for t in [*(r["entity_terms"] or []), *(r["variants"] or []), *(t for g in r["topic_groups"] or [] for t in g)]}
-        return _channels_of(plain.join(F.broadcast(at), "qid"), _prepared(chunks, np.array([r["qvec"] for r in block], np.float64), terms))
+        return vectors.mapInArrow(_best_of(_Asked(block)), schema)
 
-    for r in questions.select("qid", "qvec", "entity_terms", "topic_groups", "variants").toLocalIterator():
+    columns = ["qid", "author_key", "scope", "work_titles", "only_works", "top_k", "qvec", "entity_terms", "topic_groups", "variants"]
+    chapters = F.when(F.col("chapter").isNotNull(), chapter_variants(F.col("chapter"))).alias("chapters")
+    for r in questions.select(*columns, chapters).toLocalIterator():
         block.append(r)
         if len(block) == QUESTIONS_AT_ONCE:
-            found, block = (search(block) if found is None else found.unionByName(search(block))), []
-    if block or found is None:
-        nothing = chunks.drop("embedding").withColumns({"dists": F.array(F.lit(0.0)), "found": F.array(F.lit(""))})
-        part = search(block) if block else _channels_of(plain.withColumn("nth", F.lit(0)), nothing)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _channels_of(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    q = dim(questions).alias("q")
-    rows = chunks.alias("c").join(q, (F.col("c.author_key") == F.col("q.author_key")) & in_scope() & in_window() & in_chapter())
-    n = F.greatest(F.coalesce(F.size("work_titles"), F.lit(1)), F.lit(1))
-    part = lambda channel, when, title, tier, k: F.when(when, F.struct(F.lit(channel).alias("channel"), title.alias("title_pos"), tier.alias("tier"), k.cast("int").alias("k")))
-    many = (F.col("scope") == "specific_work") & (n > 1)
-    none, zero = F.lit(0), F.lit(0)
-    parts = F.array(
-        part(4, F.lit(True), F.when(many, F.array_position("work_titles", F.col("c.work_title")).cast("int")).otherwise(none), zero, F.when(many, F.greatest(F.lit(2), F.ceil(F.col("top_k") / n))).otherwise(F.col("top_k"))),
-        part(1, has_any(F.col("c.found"), F.col("entity_terms")), none, -strictness(lambda g: has_any(F.col("c.found"), g), F.col("topic_groups")), F.lit(ALIAS_K)),
-        part(2, has_any(F.col("c.found"), F.col("variants")), none, zero, F.lit(KEYWORD_K)),
-    )
-    cols = [F.col(f"c.{c}").alias(c) for c in chunks.columns if c not in ("dists", "found")]
-    rows = rows.select("qid", *cols, F.get("c.dists", F.col("nth")).alias("distance"), F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("*", "p.*").drop("p")
-    best = best_per(rows, ["qid", "channel", "title_pos"], ["tier", "distance", *CHUNK_ORDER], max(TOP_K_CHAPTER, ALIAS_K)).where("rank <= k")
+            found, block = (search(block) if found is None else found.union(search(block))), []
+    if block:
+        found = search(block) if found is None else found.union(search(block))
+    if found is None:
+        found = questions.sparkSession.createDataFrame([], schema)
+    best = best_per(found, ["qid", "channel", "title_pos"], ["tier", "distance", *CHUNK_ORDER], max(TOP_K_CHAPTER, ALIAS_K)).where("rank <= k")
     pos = F.row_number().over(W.partitionBy("qid", "channel").orderBy("rank", "title_pos"))
-    return best.withColumn("pos", pos).drop("title_pos", "tier", "k", "rank")
+    best = settle(best.withColumn("pos", pos).select("qid", "channel", "pos", "distance", *[F.col(c).alias(f"h_{c}") for c in CHUNK_KEY]))
+    out = chunks.drop("embedding").join(dim(best), [F.col(f"h_{c}").eqNullSafe(F.col(c)) for c in CHUNK_KEY])
+    return out.drop(*[f"h_{c}" for c in CHUNK_KEY])
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, first: int = NEIGHBOUR_HITS) -> DataFrame:
     """The chunks before and after each question's first hits of channels 1 and 2, in the same section, with the hit's distance; channel 3."""
     top = best_per(hits.where("channel < 3"), ["qid"], ["channel", "pos"], first)
     near = top.select("qid", "distance", F.col("rank").alias("hit"), *[F.col(c).alias(f"h_{c}") for c in ("author_key", "mode", "work_title", "section_title", "section_index")], F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("h_chunk_index"))
-    keys = ("author_key", "mode", "work_title", "section_title", "section_index", "chunk_index")
-    on = [F.col(f"h_{c}").eqNullSafe(F.col(c)) for c in keys]
-    out = chunks.drop("embedding").join(near, on).drop(*[f"h_{c}" for c in keys])
+    on = [F.col(f"h_{c}").eqNullSafe(F.col(c)) for c in CHUNK_KEY]
+    out = chunks.drop("embedding").join(dim(near), on).drop(*[f"h_{c}" for c in CHUNK_KEY])
     return out.withColumn("channel", F.lit(3)).withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("hit", "chunk_index"))).drop("hit")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from lectern.operators import sections as S
 from lectern.plans import jobs, views
 from lectern.plans.views import table
 from lectern.sources import conversations as C
+from lectern.sources.catalog import dim
 from lectern.sources.files import lookup, read_jsonl, write_jsonl
 
 QUERIES: dict = {}
@@ -44,9 +46,13 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.normalized(d).select("doc_id", F.length("norm").alias("norm_chars"), F.col("norm_hash").alias("norm_sha256"))
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM documents")
+def slug_sql(c: str) -> str:
+    return f"coalesce(nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled')"
+
+
+@query(f"SELECT doc_id, {slug_sql('source')} AS slug, md5({slug_sql('text')}) AS text_slug FROM documents")
 def slugify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("source")).alias("slug"), md5(T.slugify(F.col("text"))).alias("text_slug"))
 
 
 @query(r"""
@@ -128,13 +134,17 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STUBS = """
-t AS (SELECT doc_id, source, doc_id % 9 AS title, CASE WHEN doc_id % 2 = 0 THEN left(text, 60) ELSE text END AS text FROM documents),
-kept AS (SELECT doc_id, source FROM (SELECT *, count(*) OVER w AS n, max(length(text)) OVER w AS longest FROM t WINDOW w AS (PARTITION BY source, title)) WHERE NOT (n > 1 AND length(text) < 400 AND length(text) * 5 < longest))"""
+t AS (SELECT doc_id, source, doc_id % 9 AS title, text FROM documents UNION ALL
+  SELECT doc_id + 1000000000000, source, doc_id % 9, left(text, 60) FROM documents WHERE doc_id % 2 = 0),
+kept AS (SELECT doc_id, source FROM (SELECT *, count(*) OVER w AS n, max(length(text)) OVER w AS longest FROM t WINDOW w AS (PARTITION BY source, title))
+  WHERE NOT (n > 1 AND length(text) < 400 AND length(text) * 5 < longest))"""
 
 
 def _stub_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.sections(spark, sf_dir).withColumn("text", F.when(F.col("seq") % 2 == 0, F.substring("text", 1, 60)).otherwise(F.col("text")))
-    return s.drop("mode", "author_key", "priority")
+    """All documents as sections, and stubs of half of them besides."""
+    s = views.sections(spark, sf_dir).drop("mode", "author_key", "priority")
+    stubs = s.where("seq % 2 = 0").withColumns({"seq": F.col("seq") + 10**12, "text": F.substring("text", 1, 60)})
+    return s.unionByName(stubs)
 
 
 @query(f"WITH {STUBS} SELECT doc_id FROM kept")
@@ -236,7 +246,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").join(F.broadcast(_vector_questions(spark, sf_dir)), F.col("label") == F.col("q_label"))
+    v = table(spark, sf_dir, "embeddings").join(dim(_vector_questions(spark, sf_dir)), F.col("label") == F.col("q_label"))
     return v.select("qid", "vec_id", "q_label", search.squared_distance(F.col("embedding"), F.col("qvec")).alias("distance"))
 
 
@@ -254,10 +264,10 @@ def knn_variable_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("qid", "vec_id", "rank", F.round("distance", 4).alias("distance"))
 
 
-@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, left(b.text, 40)))")
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").agg(F.collect_list(F.substring("text", 1, 40)).alias("terms"))
-    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(terms)).where(search.contains_any(F.col("text"), F.col("terms"))).select("doc_id")
+    terms = table(spark, sf_dir, "benchmark").select(F.col("text").alias("term"))
+    return search.with_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), terms).select("doc_id")
 
 
 @query("SELECT label AS n_label, CASE WHEN vec_id % 5 = 0 THEN 'CHAPTER I' ELSE 'Chapter 2.' END AS section_title, vec_id FROM embeddings WHERE vec_id % 5 < 2 AND label IN (2, 4)")
@@ -270,14 +280,14 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RETRIEVAL = f"""
 c AS (SELECT e.vec_id, label, CASE WHEN label % 2 = 0 THEN 'literature' ELSE 'life_process' END AS mode, 'w' || label AS work_title,
-  CASE WHEN e.vec_id % 5 = 0 THEN 'CHAPTER I' WHEN e.vec_id % 5 = 1 THEN 'Chapter 2.' ELSE 'Part ' || (e.vec_id % 5) END AS section_title, CAST(row_number() OVER (PARTITION BY label, e.vec_id % 5 ORDER BY e.vec_id) - 1 AS INTEGER) AS chunk_index, coalesce(left(d.text, 400), '') AS body, embedding
+  CASE WHEN e.vec_id % 5 = 0 THEN 'CHAPTER I' WHEN e.vec_id % 5 = 1 THEN 'Chapter 2.' ELSE 'Part ' || (e.vec_id % 5) END AS section_title, CAST(row_number() OVER (PARTITION BY label, e.vec_id % 5 ORDER BY e.vec_id) - 1 AS INTEGER) AS chunk_index, coalesce(d.text, '') AS body, embedding
   FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
-q AS (SELECT vec_id AS qid, embedding, CASE vec_id % 3 WHEN 0 THEN 'oeuvre' WHEN 1 THEN 'specific_work' ELSE 'life_process' END AS scope,
-  CASE WHEN vec_id % 3 = 1 THEN CASE WHEN vec_id % 2 = 1 THEN ['w' || (2 * (vec_id % 5))] ELSE ['w' || (2 * (vec_id % 5)), 'w' || (2 * ((vec_id + 1) % 5))] END END AS titles,
-  CASE WHEN vec_id % 3 = 1 AND vec_id % 2 = 1 THEN CASE WHEN vec_id % 4 = 1 THEN 'II' ELSE 'IX' END END AS chapter,
-  CASE WHEN vec_id % 3 = 2 THEN CASE WHEN vec_id % 2 = 0 THEN ['w1', 'w3'] ELSE ['w99'] END END AS only_works,
-  CASE WHEN vec_id % 2 = 0 THEN ['the ', 'der '] ELSE [] END AS terms, vec_id % 4 = 0 AS topics, CASE WHEN vec_id % 50 = 3 THEN ['Th', 'ou'] ELSE [] END AS variants
-  FROM embeddings WHERE vec_id % 25 = 3),
+q AS (SELECT vec_id AS qid, embedding, CASE m % 3 WHEN 0 THEN 'oeuvre' WHEN 1 THEN 'specific_work' ELSE 'life_process' END AS scope,
+  CASE WHEN m % 3 = 1 THEN CASE WHEN m % 2 = 1 THEN ['w' || (2 * (m % 5))] ELSE ['w' || (2 * (m % 5)), 'w' || (2 * ((m + 1) % 5))] END END AS titles,
+  CASE WHEN m % 3 = 1 AND m % 2 = 1 THEN CASE WHEN m % 4 = 1 THEN 'II' ELSE 'IX' END END AS chapter,
+  CASE WHEN m % 3 = 2 THEN CASE WHEN m % 2 = 0 THEN ['w1', 'w3'] ELSE ['w99'] END END AS only_works,
+  CASE WHEN m % 2 = 0 THEN ['the ', 'der '] ELSE [] END AS terms, m % 4 = 0 AS topics, CASE WHEN m % 2 = 1 THEN ['Th', 'ou'] ELSE [] END AS variants
+  FROM (SELECT *, vec_id // 20 AS m FROM embeddings WHERE vec_id % 20 = 0)),
 base AS (SELECT q.qid, q.titles, q.scope, q.chapter, q.only_works, q.terms, q.topics, q.variants, v.vec_id, v.label, v.mode, v.work_title, v.section_title, v.chunk_index, v.body, {DIST} AS d,
   (q.only_works IS NULL OR list_contains(q.only_works, v.work_title)) AND (q.chapter IS NULL OR q.chapter = 'II' AND v.section_title = 'Chapter 2.') AS strict
   FROM q JOIN c v ON v.mode = CASE WHEN q.scope = 'life_process' THEN 'life_process' ELSE 'literature' END AND (q.scope <> 'specific_work' OR list_contains(q.titles, v.work_title))),
@@ -373,7 +383,7 @@ def explain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Questions
 
 STARTS = "[" + ", ".join(f"'{s}'" for s in views.STARTS) + "]"
-ASKED = f"q AS (SELECT conv_id * 1000 + turn AS qid, {STARTS}[(conv_id + turn) % 8 + 1] || left(text, 80) AS question, CASE WHEN conv_id % 2 = 0 THEN 'literature' ELSE 'life_process' END AS mode FROM conversations)"
+ASKED = f"q AS (SELECT conv_id * 1000 + turn AS qid, {STARTS}[(conv_id + turn) % 8 + 1] || text AS question, CASE WHEN conv_id % 2 = 0 THEN 'literature' ELSE 'life_process' END AS mode FROM conversations)"
 FORM = "trim(regexp_replace(lower(question), '[^a-z0-9 ]', '', 'g'))"
 
 
@@ -386,7 +396,7 @@ META = f"regexp_matches({FORM}, '^(what|which|list)') AND list_has_any(string_sp
 
 @query(f"WITH {ASKED} SELECT qid, {META} AS is_meta FROM q")
 def meta_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.opening_questions(spark, sf_dir).select("qid", routing.is_meta(F.col("question")).alias("is_meta"))
+    return views.questions(spark, sf_dir).select("qid", routing.is_meta(F.col("question")).alias("is_meta"))
 
 
 WORKS = "works(priority, title, phrase) AS (VALUES (0, 'The Lantern Keeper', 'the lantern keeper'), (0, 'The Lantern Keeper', 'lantern keeper'), (1, 'Harbour of Broken Glass', 'harbour of broken glass'), (1, 'Harbour of Broken Glass', 'glass harbour'), (1, 'Harbour of Broken Glass', 'broken glass'), (2, 'New Tales, Complete', 'new tales complete'))"
@@ -395,14 +405,14 @@ WORKS = "works(priority, title, phrase) AS (VALUES (0, 'The Lantern Keeper', 'th
 @query(f"""WITH {ASKED}, {WORKS}, hit AS (SELECT DISTINCT qid, priority, title FROM q, works WHERE contains(' ' || {FORM} || ' ', ' ' || phrase || ' '))
 SELECT qid, string_agg(title, ' + ' ORDER BY priority) AS titles FROM hit GROUP BY qid""")
 def title_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.named_works(views.opening_questions(spark, sf_dir), views.works(spark)).select("qid", F.array_join("titles", " + ").alias("titles"))
+    return routing.named_works(views.questions(spark, sf_dir), views.works(spark)).select("qid", F.array_join("titles", " + ").alias("titles"))
 
 
 @query(rf"""WITH {ASKED}, romans AS (SELECT CAST(n AS INTEGER) AS n, {ROMAN_SQL} AS roman FROM range(1, 200) t(n)),
 t AS (SELECT qid, regexp_matches(lower(question), '\bchapter the last\b|\b(last|final) chapter\b') AS last, upper(regexp_extract(lower(question), '\bchapter\s+(\d{{1,3}}|[ivxlc]{{1,8}})\b', 1)) AS token FROM q)
 SELECT qid, CASE WHEN last THEN 'THE LAST' ELSE roman END AS chapter FROM t LEFT JOIN romans ON token = roman OR TRY_CAST(token AS INTEGER) = n""")
 def parse_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.opening_questions(spark, sf_dir).select("qid", routing.parse_chapter(F.col("question")).alias("chapter"))
+    return views.questions(spark, sf_dir).select("qid", routing.parse_chapter(F.col("question")).alias("chapter"))
 
 
 @query(f"""WITH b AS (SELECT CAST(n AS INTEGER) AS n, [{ROMAN_SQL}, CAST(n AS VARCHAR)] AS bases FROM range(1, 200) t(n)),
@@ -419,7 +429,7 @@ fired AS (SELECT q.qid, q.mode, g.pos, g.role, g.name, g.terms FROM q JOIN group
 
 
 def _by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.opening_questions(spark, sf_dir).withColumn("scope", F.when(F.col("mode") == "life_process", "life_process").otherwise("oeuvre"))
+    return views.questions(spark, sf_dir).withColumn("scope", F.when(F.col("mode") == "life_process", "life_process").otherwise("oeuvre"))
 
 
 def _fired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,7 +463,7 @@ def ignore_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = views.questions(spark, sf_dir).join(F.broadcast(routing.ignore_words(views.works(spark))), "author_key")
+    q = views.questions(spark, sf_dir).join(dim(routing.ignore_words(views.works(spark))), "author_key")
     return q.select("qid", routing.key_phrases_of("question", "ignore").alias("p")).select("qid", F.array_join("p", "|").alias("phrases"), F.array_join(routing.phrase_variants("p"), "|").alias("variants"))
 
 
@@ -464,18 +474,91 @@ def typo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.likely_work(views.questions(spark, sf_dir).withColumn("question", slip), views.works(spark)).select("qid", "title", F.round("fraction", 4).alias("fraction"))
 
 
-@query()
+CONTENT = {w: [x for x in re.sub("[^a-z0-9 ]", "", w.lower()).split() if x not in routing.TITLE_STOPWORDS and not x.isdigit()] for w in ("The Lantern Keeper", "Harbour of Broken Glass", "New Tales, Complete")}
+
+
+# words that are met letter for letter; slips of the pen are tested on cases of their own
+@query(rf"""WITH {ASKED}, {WORKS}, romans AS (SELECT CAST(n AS INTEGER) AS n, {ROMAN_SQL} AS roman FROM range(1, 200) t(n)),
+hit AS (SELECT DISTINCT qid, priority, title FROM q, works WHERE contains(' ' || {FORM} || ' ', ' ' || phrase || ' ')),
+named AS (SELECT qid, list(title ORDER BY priority) AS titles FROM hit GROUP BY qid),
+content(priority, title, words) AS (VALUES {", ".join(f"({i}, '{t}', {_list(w)})" for i, (t, w) in enumerate(CONTENT.items()) if len(w) >= routing.MIN_HITS)}),
+counted AS (SELECT qid, priority, title, len(list_filter(words, lambda w: list_contains(string_split({FORM}, ' '), w))) AS hits, len(words) AS n FROM q, content),
+likely AS (SELECT qid, [arg_min(title, priority - 1000.0 * hits / n)] AS titles FROM counted WHERE hits >= {routing.MIN_HITS} AND hits / n >= {routing.MIN_FRACTION} GROUP BY qid),
+asked AS (
+  SELECT q.qid, CASE WHEN {META} THEN 'meta' WHEN mode = 'life_process' THEN 'life_process' WHEN coalesce(n.titles, l.titles) IS NOT NULL THEN 'specific_work' ELSE 'oeuvre' END AS scope, coalesce(n.titles, l.titles) AS titles,
+         regexp_matches(lower(question), '\bchapter the last\b|\b(last|final) chapter\b') AS last, upper(regexp_extract(lower(question), '\bchapter\s+(\d{{1,3}}|[ivxlc]{{1,8}})\b', 1)) AS token
+  FROM q LEFT JOIN named n ON q.qid = n.qid LEFT JOIN likely l ON q.qid = l.qid)
+SELECT qid, coalesce(scope, CASE WHEN (qid // 1000) % 2 = 1 THEN 'life_process' ELSE 'oeuvre' END) AS scope, CASE WHEN scope = 'specific_work' THEN array_to_string(titles, ' + ') END AS work_title,
+       CASE WHEN scope = 'specific_work' AND len(titles) = 1 THEN CASE WHEN last THEN 'THE LAST' ELSE roman END END AS chapter
+FROM asked LEFT JOIN romans ON token = roman OR TRY_CAST(token AS INTEGER) = n""")
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(views.questions(spark, sf_dir), views.works(spark)).select("qid", "scope", "work_title", "chapter")
 
 
+# Rules that SQL can't say: cases with what they must give, worked out by hand
+
+
+def cases_sql(cases: dict[str, str]) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(v)})' for i, v in enumerate(cases.values()))}) t(nr, found)"
+
+
+def cases(spark: SparkSession, given: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(given)), "nr int, given string")
+
+
+A, B, C_ = "a" * 600, "b" * 300, "c" * 400
+CHUNKS = {
+    "": "", "  short \n": "short",
+    # paragraphs first; two that fit go together, the separator before the second
+    f"{A}\n\n{B}\n\n{C_}": f"{A}\n\n{B}|{C_}",
+    # lines where a paragraph is too long
+    f"{A}\n{C_}\n{B}": f"{A}|{C_}\n{B}",
+    # a sentence of up to 150 characters is repeated at the start of the next chunk
+    f"{A}. {'d' * 290}. {'e' * 90}. {C_}": f"{A}. {'d' * 290}. {'e' * 90}|. {'e' * 90}. {C_}",
+    # words, then characters
+    "f" * 2100: "|".join(["f" * 1000, "f" * 1000, "f" * 100]),
+    f"{'g' * 999} hh": f"{'g' * 999}|hh",
+}
+
+
+@query(cases_sql(CHUNKS))
+def chunk_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(spark, CHUNKS).select("nr", F.array_join(chunks.chunks_of(F.col("given")), "|").alias("found"))
+
+
+PHRASES = {
+    "Did Captain Orlo Vane meet Nell?": "Captain Orlo Vane|Nell", "what of the Lantern Keeper": "", "Who saw Orlo's ship?": "Orlo",
+    'She said "cold iron gate" twice': "cold iron gate|She", "Tell me of Mary Ann and Mary Ann": "Mary Ann", "In chapter IV of Glass": "", "NASA and Bo X": "",
+}
+
+
+@query(cases_sql(PHRASES))
+def key_phrase_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = cases(spark, PHRASES).withColumn("author_key", F.lit("ada")).join(dim(routing.ignore_words(views.works(spark))), "author_key")
+    return q.select("nr", F.array_join(routing.key_phrases_of("given", "ignore"), "|").alias("found"))
+
+
+SLIPS = {
+    "the harbor of brokn glas": "Harbour of Broken Glass", "lantren keepr": "The Lantern Keeper", "lantern": "", "broken glas and lanterns keeper": "The Lantern Keeper",
+    "a kept light": "", "glass harbours": "Harbour of Broken Glass",
+}
+
+
+@query(cases_sql(SLIPS))
+def typo_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = cases(spark, SLIPS).select(F.col("nr").alias("qid"), F.col("given").alias("question"), F.lit("ada").alias("author_key"))
+    return given.join(routing.likely_work(given, views.works(spark)), "qid", "left").select(F.col("qid").alias("nr"), F.coalesce("title", F.lit("")).alias("found"))
+
+
 # Answers
 
 
-@query(f"""WITH {ASKED} SELECT qid, md5('Right now, you can ask about these ' || CASE mode WHEN 'literature' THEN 'literary works' ELSE 'letters/autobiography/essay sources' END || ' for Ada Merrow:' || chr(10) || chr(10) ||
-  CASE mode WHEN 'literature' THEN '- The Lantern Keeper' || chr(10) || '- Harbour of Broken Glass' || chr(10) || '- New Tales, Complete' ELSE '- Collected Letters, Volume 1 (1853-1866)' || chr(10) || '- Notes on a Life' END || chr(10) || chr(10) || 'Name one of them, or ask about all.') AS answer FROM q WHERE {META}""")
+@query(f"""WITH {ASKED} SELECT qid, md5('By Ada Merrow, these ' || CASE mode WHEN 'literature' THEN 'works of fiction' ELSE 'letters and other papers' END || ' can be searched:' || chr(10) || chr(10) ||
+  CASE mode WHEN 'literature' THEN '* The Lantern Keeper' || chr(10) || '* Harbour of Broken Glass' || chr(10) || '* New Tales, Complete'
+    ELSE '* Collected Letters, Volume 1 (1853-1866)' || chr(10) || '* Notes on a Life' END || chr(10) || chr(10) || 'Name one of them, or ask about all.') AS answer FROM q WHERE {META}""")
 def meta_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = views.opening_questions(spark, sf_dir).where(routing.is_meta(F.col("question"))).withColumn("author_display", F.lit("Ada Merrow"))
+    q = views.questions(spark, sf_dir).where(routing.is_meta(F.col("question"))).withColumn("author_display", F.lit("Ada Merrow"))
     return answers.meta_answers(q, views.works(spark)).select("qid", md5("answer").alias("answer"))
 
 
@@ -491,12 +574,12 @@ def quote_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", md5(T.quote_form(F.col("text"))).alias("form"))
 
 
-ANSWERS = "t AS (SELECT doc_id, replace(text, '\"', '') AS seen FROM documents WHERE lang = 'en' AND text IS NOT NULL), a AS (SELECT doc_id, seen, 'It says \"' || substr(seen, 5, 60) || '\" and “' || substr(seen, 20, 20) || ' ... never the ' || substr(seen, 40, 20) || '” twice.' AS answer FROM t)"
+ANSWERS = "t AS (SELECT doc_id, replace(text, '\"', '') AS seen FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, seen, 'It says \"' || substr(seen, 5, 60) || '\" and “' || substr(seen, 20, 20) || ' ... never the ' || substr(seen, 40, 20) || '” twice.' AS answer FROM t)"
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.regexp_replace("text", '"', "")
-    d = table(spark, sf_dir, "documents").where("lang = 'en' AND text IS NOT NULL").select("doc_id", seen.alias("seen"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", seen.alias("seen"))
     said = F.concat(F.lit('It says "'), F.substring("seen", 5, 60), F.lit('" and “'), F.substring("seen", 20, 20), F.lit(" ... never the "), F.substring("seen", 40, 20), F.lit("” twice."))
     return d.withColumn("answer", said)
 

@@ -57,19 +57,10 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as questions, whole."""
-    return _questions(spark, sf_dir, F.col("text"))
-
-
-def opening_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the first 80 characters of turns as questions: what the SQL of the queries that have SQL reads."""
-    return _questions(spark, sf_dir, F.substring("text", 1, 80))
-
-
-def _questions(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """Turns of conversations as questions, whole, each with a beginning of our own."""
     start = F.get(F.array(*map(F.lit, STARTS)), ((F.col("conv_id") + F.col("turn")) % len(STARTS)).cast("int"))
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(start, text).alias("question"), F.lit("ada").alias("author_key"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(start, "text").alias("question"), F.lit("ada").alias("author_key"),
         F.when(F.col("conv_id") % 2 == 0, "literature").otherwise("life_process").alias("mode"),
     )
 
@@ -101,7 +92,7 @@ def source_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog's works and those of all other sources."""
     mode, title, priority = _work_of(F.col("source"))
     found = table(spark, sf_dir, "documents").select("source").distinct().select(mode.alias("mode"), title.alias("work_title"), priority.alias("priority"))
-    rest = found.join(F.broadcast(works(spark).select("mode", "work_title")), ["mode", "work_title"], "left_anti")
+    rest = found.join(cat.dim(works(spark).select("mode", "work_title")), ["mode", "work_title"], "left_anti")
     none = F.lit(None).cast("int"), F.array().cast("array<string>")
     return works(spark).unionByName(rest.select(F.lit("ada").alias("author_key"), F.lit("Ada Merrow").alias("author_display"), "mode", "work_title", none[0].alias("source_id"), none[1].alias("aliases"), "priority"))
 
@@ -117,7 +108,7 @@ def windows(spark: SparkSession) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as chunks, with texts of documents: label is the work."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 400).alias("page_content"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("page_content"))
     title = F.when(F.col("vec_id") % 5 == 0, "CHAPTER I").when(F.col("vec_id") % 5 == 1, "Chapter 2.").otherwise(F.concat(F.lit("Part "), (F.col("vec_id") % 5).cast("string")))
     return v.join(d, "vec_id", "left").select(
         F.lit("ada").alias("author_key"), F.when(F.col("label") % 2 == 0, "literature").otherwise("life_process").alias("mode"), F.concat(F.lit("w"), F.col("label").cast("string")).alias("work_title"),
@@ -128,16 +119,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def understood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose vectors are those of some embeddings, with all that routing may find out."""
-    q = F.col("vec_id")
+    q = F.floor(F.col("vec_id") / 20)
     work = lambda c: F.concat(F.lit("w"), (2 * (c % 5)).cast("string"))
     texts = "array<string>"
     one = F.when((q % 3 == 1) & (q % 2 == 1), F.array(work(q))).when(q % 3 == 1, F.array(work(q), work(q + 1)))
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 3").select(
-        q.alias("qid"), F.lit("ada").alias("author_key"), F.col("embedding").alias("qvec"),
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("qid"), F.lit("ada").alias("author_key"), F.col("embedding").alias("qvec"),
         F.when(q % 3 == 0, "oeuvre").when(q % 3 == 1, "specific_work").otherwise("life_process").alias("scope"), one.alias("work_titles"), F.array_join(one, " + ").alias("work_title"),
         F.when((q % 3 == 1) & (q % 2 == 1), F.when(q % 4 == 1, "II").otherwise("IX")).alias("chapter"),
         F.when(q % 3 == 2, F.when(q % 2 == 0, F.array(F.lit("w1"), F.lit("w3"))).otherwise(F.array(F.lit("w99")))).alias("only_works"),
         F.when(q % 2 == 0, F.array(F.lit("the "), F.lit("der "))).otherwise(F.lit(None).cast(texts)).alias("entity_terms"),
         F.when(q % 4 == 0, F.array(F.array(F.lit("of ")), F.array(F.lit("in "), F.lit("zz")))).alias("topic_groups"),
-        F.when(q % 50 == 3, F.array(F.lit("Th"), F.lit("ou"))).otherwise(F.array().cast(texts)).alias("variants"),
+        F.when(q % 2 == 1, F.array(F.lit("Th"), F.lit("ou"))).otherwise(F.array().cast(texts)).alias("variants"),
     )

@@ -248,7 +248,7 @@ def test_from_raw_files_to_answers(spark, asked, tables, tmp_path):
     notes = {"mt": "Livy was his wife."}
     got = {r.qid: r for r in jobs.answer(asked, *tables, index, notes=notes).collect()}
     assert len(got) == len(ASKED)
-    assert got[0].grounded and "- The Prince and the Pauper" in got[0].answer and got[0].sources is None
+    assert got[0].grounded and "* The Prince and the Pauper" in got[0].answer and got[0].sources is None
     assert got[1].grounded and {s.section_title for s in got[1].sources} == {"CHAPTER XVII."} and got[1].chapter == "XVII"
     assert {s.work_title for s in got[2].sources} == {"The Adventures of Tom Sawyer", "Adventures of Huckleberry Finn"}
     assert {s.work_title for s in got[4].sources} == {"Letters, Volume 5 (1901-1906)"}
