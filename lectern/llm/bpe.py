@@ -21,6 +21,7 @@ gives an empty result; other columns are not read but for those that `keep` name
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,7 +43,7 @@ NONE = np.int64(2**62)
 #: White space of Unicode, at which texts are cut. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Bytes of chunks and ids that a worker remembers, with ENTRY bytes for each chunk's place.
-CACHE_BYTES, ENTRY = 128 << 20, 220
+CACHE_BYTES, ENTRY = 96 << 20, 220
 BATCH = 4096
 #: From here on characters are left to the library's tables.
 LATIN_END = "\u0300"
@@ -234,9 +235,11 @@ def load(path: str) -> Bpe:
         return _loaded(f.read())
 
 
-def _coder(name: str):
+def _coder(name: str, decoding: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         bpe = load(SparkFiles.get(name))
+        names = _decoder(SparkFiles.get(name)) if decoding else None
         for batch in batches:
             width = batch.num_columns - 1
             for lo, hi, _, _ in blocks(batch.column(width), rows=1024):
@@ -245,11 +248,18 @@ def _coder(name: str):
                 n = np.array([x.count(" ") + 1 if x else 0 for x in made], np.int64)
                 flat = np.fromstring(" ".join(filter(None, made)), np.int32, sep=" ") if n.any() else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(_offsets(n), pa.array(flat, pa.int32()))
-                yield pa.record_batch([*part.columns[:width], pa.array(n), lists], names=[*batch.schema.names[:width], "n_tokens", "ids"])
+                # decoding reads nothing but the ids
+                more = [decode_lists(lists, names)] if decoding else []
+                yield pa.record_batch([*part.columns[:width], pa.array(n), lists, *more], names=[*batch.schema.names[:width], "n_tokens", "ids", *(["decoded"] if decoding else [])])
 
     return run
 
 
+def forget_others() -> None:
+    if (minhash := sys.modules.get("lectern.llm.minhash")) is not None:
+        minhash.level_keys.cache_clear()
+
+
 def _offsets(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
@@ -278,11 +288,22 @@ def _decoding(name: str, at: int):
 
 def encode(docs: DataFrame, path: str, keep: dict[str, Column] | None = None, text_col: str = "text") -> DataFrame:
     """One row per row of docs: the columns `keep`, n_tokens and ids. The file goes to the executors through SparkContext.addFile."""
+    return _encoded(docs, path, keep, text_col, False)
+
+
+def round_trip(docs: DataFrame, path: str, keep: dict[str, Column] | None = None, text_col: str = "text") -> DataFrame:
+    """`decode` of what `encode` gives, both in one worker."""
+    return _encoded(docs, path, keep, text_col, True)
+
+
+def _encoded(docs: DataFrame, path: str, keep: dict[str, Column] | None, text_col: str, decoding: bool) -> DataFrame:
     keep = keep or {"doc_id": F.col("doc_id")}
     docs.sparkSession.sparkContext.addFile(path)
     rows = small_batches(docs).select(*[c.alias(k) for k, c in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(_coder(path.rsplit("/", 1)[-1]), schema)
+    if decoding:
+        schema = schema.add("decoded", "string")
+    return rows.mapInArrow(_coder(path.rsplit("/", 1)[-1], decoding), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -41,15 +41,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of an Arrow batch: memory holds the texts of so many rows at once, on either side.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: memory holds the texts of so many at once, on either side.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after seeing to it that its session's Arrow batches have no more than BATCH_ROWS rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """df, after seeing to it that its session's Arrow batches keep to BATCH_LIMITS. Spark reads the settings when the plan runs, so they stay."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH_LIMITS.items():
+        now = int(conf.get(key, "0").rstrip("bB") or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
     return df
 
 

@@ -61,7 +61,7 @@ def token_digests() -> list[Column]:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file()), tokenizer_file())
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
     return out.select("doc_id", "n_tokens", *token_digests())
 
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ SALTS = 64
 #: Neighbours before it in a bucket's order that a member is linked to.
 WIDTH = 3
 #: Samples round ln(weight) to STEP; weights outside of these levels count as the nearest.
-STEP, LEVELS, LEVEL_ZERO = 0.1, 64, 32
+STEP, LEVELS, LEVEL_ZERO = 0.1, 34, 8
 IS_TOKEN = np.zeros(256, bool)
 IS_TOKEN[48:58] = IS_TOKEN[65:91] = IS_TOKEN[97:123] = IS_TOKEN[128:] = True
 FOLDED = VALUE[LOWER]
@@ -65,7 +66,8 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return (bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))).astype(np.uint64) << np.uint64(32)
 
 
-def _levels() -> np.ndarray:
+@lru_cache(1)
+def level_keys() -> np.ndarray:
     """By level of weight and place: ln a in the upper half, a name of t in the lower one."""
     out = np.empty((LEVELS, TABLE), np.uint64)
     for level in range(LEVELS):
@@ -74,9 +76,6 @@ def _levels() -> np.ndarray:
     return out.reshape(-1)
 
 
-LEVEL_KEYS = _levels()
-
-
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the words of a block."""
     starts, ends = runs(IS_TOKEN[data], at)
@@ -136,8 +135,9 @@ def samples(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, number: int)
     out = np.empty((number, len(first)), np.uint64)
     low = gram & np.uint64(0xFFFFFFFF)
     level = np.clip(np.rint(np.log(weight) / STEP).astype(np.int64) + LEVEL_ZERO, 0, LEVELS - 1).astype(np.uint64) << np.uint64(TABLE_BITS)
+    table = level_keys()
     for j in range(number):
-        key = LEVEL_KEYS[level | (gram * FACTORS[j]) >> np.uint64(64 - TABLE_BITS)] ^ low
+        key = table[level | (gram * FACTORS[j]) >> np.uint64(64 - TABLE_BITS)] ^ low
         out[j] = np.minimum.reduceat(key, first)
     return row[first], out.T
 

@@ -261,6 +261,8 @@ def test_bpe_decodes_the_ids_it_returns(docs, rows, spark):
     assert len(got) == len(rows)
     for x in got:
         assert x.ids == want[x.doc_id] and x.decoded == library.decode(x.ids, skip_special_tokens=False)
+    both = bpe.round_trip(docs, path)
+    assert Counter((x.doc_id, x.n_tokens, *x.ids, x.decoded) for x in both.collect()) == Counter((x.doc_id, x.n_tokens, *x.ids, x.decoded) for x in got)
     # other ids than those of the texts: decoding reads the column
     own = spark.createDataFrame([(1, [320, 5, 49407]), (2, []), (3, None), (4, [10**6, 7, -1])], "doc_id long, ids array<int>")
     assert {x.doc_id: x.decoded for x in bpe.decode(own, path).collect()} == {1: library.decode([320, 5, 49407], skip_special_tokens=False), 2: "", 3: "", 4: library.decode([7], skip_special_tokens=False)}
