@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = {c: F.col(c) for c in ("doc_id", "lang", "source")}
-    out = bpe.decode(bpe.encode(docs, tokenizer_file(), keep), tokenizer_file())
+    out = bpe.round_trip(docs, tokenizer_file(), keep)
     return out.select(*keep, "n_tokens", *token_digests(), "ids")
 
 
