@@ -47,9 +47,9 @@ BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql
 
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after seeing to it that its session's Arrow batches keep to BATCH_LIMITS. Spark reads the settings when the plan runs, so they stay."""
-    conf = df.sparkSession.conf
+    conf, number = df.sparkSession.conf, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for key, most in BATCH_LIMITS.items():
-        now = int(conf.get(key, "0").rstrip("bB") or 0)
+        now = 0 if conf.get(key).startswith("-") else number(conf.get(key))
         if not 0 < now <= most:
             conf.set(key, str(most))
     return df
