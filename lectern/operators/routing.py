@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,15 +60,20 @@ def content_words(norm_title: Column) -> Column:
     return F.filter(words(norm_title), lambda w: ~w.isin(TITLE_STOPWORDS) & ~w.rlike("^[0-9]+$"))
 
 
-def word_present(word: str, among: list[str]) -> bool:
-    """Equal to one of the words, or so like one that it is taken for a slip (Ratcliff and Obershelp's ratio)."""
-    return any(q == word or (min(len(q), len(word)) >= MIN_WORD and difflib.SequenceMatcher(None, q, word).ratio() >= MIN_RATIO) for q in among)
+@lru_cache(1 << 16)
+def alike(asked: str, word: str) -> bool:
+    """Equal, or so like that one is taken for a slip of the other (Ratcliff and Obershelp's ratio, after its cheap upper bounds)."""
+    short, both = min(len(asked), len(word)), len(asked) + len(word)
+    if asked == word or short < MIN_WORD or 2 * short < MIN_RATIO * both:
+        return asked == word
+    match = difflib.SequenceMatcher(None, asked, word)
+    return match.quick_ratio() >= MIN_RATIO and match.ratio() >= MIN_RATIO
 
 
 @F.pandas_udf(T.IntegerType())
 def present_words(title_words: pd.Series, question_words: pd.Series) -> pd.Series:
-    """How many of the title's words the question has."""
-    return pd.Series([sum(word_present(w, q) for w in t) for t, q in zip(title_words, question_words, strict=True)], dtype="int32")
+    """How many of the title's words the question has, slips counted."""
+    return pd.Series([sum(any(alike(x, w) for x in set(q)) for w in t) for t, q in zip(title_words, question_words, strict=True)], dtype="int32")
 
 
 def likely_work(questions: DataFrame, works: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from lectern.plans import jobs, views
 from lectern.plans.views import table
 from lectern.sources import conversations as C
 from lectern.sources.catalog import dim
-from lectern.sources.files import lookup, read_jsonl, write_jsonl
+from lectern.sources.files import lookup, read_jsonl, write_jsonl, write_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -495,6 +495,13 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(views.questions(spark, sf_dir), views.works(spark)).select("qid", "scope", "work_title", "chapter")
 
 
+@query(f"""WITH w AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS n FROM documents)
+SELECT doc_id, md5(array_to_string(list_filter(string_split(n, ' '), lambda w: w <> '' AND NOT list_contains({_list(routing.TITLE_STOPWORDS)}, w) AND NOT regexp_full_match(w, '[0-9]+')), ' ')) AS words FROM w""")
+def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.router_form(F.col("text")).alias("n"))
+    return d.select("doc_id", md5(F.array_join(routing.content_words(F.col("n")), " ")).alias("words"))
+
+
 # Rules that SQL can't say: cases with what they must give, worked out by hand
 
 
@@ -562,6 +569,37 @@ def meta_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.meta_answers(q, views.works(spark)).select("qid", md5("answer").alias("answer"))
 
 
+def text_sql(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _frame_sql(mode: str) -> str:
+    head, _, tail = answers.RULES.partition("{author}")
+    return f"{text_sql(head)} || 'Ada Merrow' || {text_sql(tail + answers.FRAMES[mode])}"
+
+
+@query(f"""WITH {ASKED} SELECT qid, md5(CASE mode WHEN 'life_process' THEN {_frame_sql("life_process")} || 'Reference notes (no source to cite):' || chr(10) || 'Nell.' || chr(10) ELSE {_frame_sql("literature")} END) AS system,
+  md5(CASE WHEN qid % 2 = 1 THEN 'NOTE: the question is about chapter IV of Some Work; all passages are from it, in reading order.' || chr(10) || chr(10) ELSE '' END
+    || 'SOURCE PASSAGES:' || chr(10) || chr(10) || 'passage ' || qid || chr(10) || chr(10) || 'STUDENT QUESTION: ' || question) AS human FROM q WHERE question IS NOT NULL""")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = views.questions(spark, sf_dir).where("question IS NOT NULL").withColumns({
+        "author_display": F.lit("Ada Merrow"), "work_title": F.lit("Some Work"), "chapter": F.when(F.col("qid") % 2 == 1, "IV"), "context": F.concat(F.lit("passage "), F.col("qid").cast("string")),
+    })
+    return answers.prompts(q, {"ada": "Nell. "}).select("qid", md5("system").alias("system"), md5("human").alias("human"))
+
+
+@query("""WITH a AS (SELECT doc_id, regexp_replace(trim(regexp_replace(left(coalesce(text, ''), 160), '\\s+', ' ', 'g')), '["“”]', '', 'g') AS t FROM documents),
+f AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN [] ELSE list_transform(range(1, doc_id % 5 + 1), lambda i: i || ' ' || t) END AS q FROM a),
+s AS (SELECT doc_id, len(q) AS n, list_transform(q[1:3], lambda x: '“' || CASE WHEN length(trim(x)) <= 140 THEN trim(x) ELSE rtrim(left(trim(x), 139)) || '…' END || '”') AS shown FROM f)
+SELECT doc_id, md5(CASE WHEN n = 0 THEN '' ELSE chr(10) || chr(10) || '*Quotation check: not found word for word in the sources shown, so verify before relying on it: ' || array_to_string(shown, '; ')
+  || CASE WHEN n > 3 THEN ' (and ' || (n - 3) || ' more)' ELSE '' END || '.*' END) AS note FROM s""")
+def quote_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_replace(F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 160), r"\s+", " ")), '["“”]', "")
+    n = (F.col("doc_id") % 5).cast("int")
+    flagged = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(i.cast("string"), F.lit(" "), F.col("t"))))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", md5(answers.quote_note(flagged)).alias("note"))
+
+
 def quote_sql(t: str) -> str:
     plain = f"regexp_replace(regexp_replace(translate(lower({t}), '‘’', ''''''), '[–—]|-{{2,}}', ' ', 'g'), '[^a-z0-9'' ]+', ' ', 'g')"
     # without lookaround: every apostrophe that has no letter on one side
@@ -655,12 +693,26 @@ def phrase_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep(table(spark, sf_dir, "documents"), "ingha", "text", ("doc_id",)).select("doc_id", "context")
 
 
-@query("SELECT doc_id AS seq, lang AS mode, source AS work_title, md5(text) AS text FROM documents")
-def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections written as JSON lines to the shared folder and read again."""
+def _shared_path(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         dedup.settle(spark.range(1))
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or sc.getCheckpointDir()}/sections-{uuid.uuid4().hex}"
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE label % 2 = 0")
+def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection written to the shared folder and opened again, of one mode, whose files alone are read."""
+    path = _shared_path(spark, "vectors")
+    write_vectors(views.chunks(spark, sf_dir), path)
+    found = lookup(jobs.open_index(spark, path), author_key="ada", mode="literature")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return found.select("vec_id", F.substring("work_title", 2, 9).cast("int").alias("label"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT doc_id AS seq, lang AS mode, source AS work_title, md5(text) AS text FROM documents")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections written as JSON lines to the shared folder and read again."""
+    path = _shared_path(spark, "sections")
     write_jsonl(views.sections(spark, sf_dir).drop("priority"), path)
     return read_jsonl(spark, path).select("seq", "mode", "work_title", md5("text").alias("text"))
