@@ -1,8 +1,11 @@
 """Line de-duplication: lines whose normalised form is found in many documents go, but for one document.
 
-Lines are exploded and hashed to 128 bits, distinct documents counted per hash (a map-side combine first, so a line
-that every document holds sends one row per task and document group), and the positions to drop go back to their
-documents, where the lines left are joined again. Texts move once, in the join that reassembles them.
+Lines are exploded and hashed to 128 bits once and kept (hashes, id and position only), distinct documents counted per
+hash (a map-side combine first, so a line that every document holds sends one row per task and document group), and the
+positions to drop go back to their documents, where the lines left are joined again. Keys with more than one in HOT of
+all common lines, of which there can only be fewer than HOT, are broadcast: their lines are found where they are read,
+and what is left to the join by key has no key of more than that share. Texts move once, in the join that reassembles
+them.
 
 Defined results: a null text is one empty line; an empty table gives an empty result; the table's other columns are
 not read and may have any names. Of documents with the same largest id all keep their line; a text is split as a whole,
@@ -15,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WHITE
+from lectern.llm.common import WHITE, settle
 
+#: A key with more than one in so many of all common lines is joined by broadcast; there are fewer such keys than this.
+HOT = 1000
 #: Letters that are lower-cased in keys. Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,9 +40,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # outer: an inner explode makes the optimiser repeat the array's expressions in a filter below it
     lines = rows.select("id", F.posexplode_outer(F.split("body", "\n", -1)).alias("pos", "line")).select("id", "pos", line_key(F.col("line")).alias("key"))
     lines = lines.where(F.length("key") >= min_chars).select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    lines = settle(lines)
     holders = lines.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n"))
-    common = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= min_docs).drop("docs")
-    drops = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    common = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.max("id").alias("last"))
+    common = settle(common.where(F.col("docs") >= min_docs).select("h1", "h2", "n", "last"))
+    total = common.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > total
+    hot, cold = common.where(is_hot).drop("n"), common.where(~is_hot).drop("n")
+    found = lines.join(F.broadcast(hot), ["h1", "h2"])
+    rest = lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"])
+    drops = found.unionByName(rest).where(~F.col("id").eqNullSafe(F.col("last")))
     drops = drops.groupBy("id").agg(F.collect_set("pos").alias("drop"))
     split = F.split("body", "\n", -1)
     out = rows.join(drops.withColumnRenamed("id", "drop_id"), F.col("id").eqNullSafe(F.col("drop_id")), "left")

@@ -42,7 +42,9 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
     assert {r.doc_id for r in exact_dedup.drop_copies(df).collect()} == {1, 2, 4}
 
 
-def test_lines(docs, empty, rows):
+@pytest.mark.parametrize("hot", [1, 6, 1000])  # no key, some keys, all keys joined by broadcast
+def test_lines(docs, empty, rows, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     holders = defaultdict(set)
     for r in rows:
