@@ -32,6 +32,8 @@ from lectern.llm.textblocks import LOWER, blocks, forget
 
 DIMENSIONS = 1 << 12
 UNKNOWN = "und"
+#: Most languages whose sampling bounds are broadcast; those of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 MIN_GRAMS = 100
 #: Steps of cosines in the histogram from which rejection is learned.
 COSINES = 1000
@@ -109,7 +111,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     # about per_language rows of each: those with the smallest hashes
     bounds = [(lang, min(2**63 - 1, int(2**64 * min(1.0, per_language / n)) - 2**63)) for lang, n in sizes.items()]
     bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
-    sample = rows.join(bound, "lang").where("nth <= bound").select("lang", "nth", "text").mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>")
+    # a row a language: whole texts are not to be shuffled for it
+    sample = rows.join(F.broadcast(bound) if len(bounds) <= BROADCAST_LANGUAGES else bound, "lang").where("nth <= bound").select("lang", "nth", "text").mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>")
     sample = settle(sample)
     df, texts = np.zeros(DIMENSIONS, np.int64), 0
     for r in sample.groupBy("lang").applyInArrow(_frequencies(per_language), "texts long, df binary").toLocalIterator():

@@ -35,6 +35,13 @@ def test_language(docs, empty, rows):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_bounds_joined_either_way_give_one_model(docs, monkeypatch):
+    one = language_id.train(docs)
+    monkeypatch.setattr(language_id, "BROADCAST_LANGUAGES", 0)
+    other = language_id.train(docs)
+    assert one.langs == other.langs and one.reject_below == other.reject_below and (one.centroids == other.centroids).all()
+
+
 def test_nearest_centroid_by_hand(docs, rows):
     """Vectors and cosines by plain counting."""
     model = language_id.train(docs)
