@@ -51,26 +51,68 @@ def shingles_of(norm: Column, k: int) -> Column:
     return let(F.transform(F.filter(F.split(norm, " "), lambda x: x != ""), lambda x: F.xxhash64(x)), of)
 
 
-def near_pairs(sections: DataFrame, by: list[str], k: int = 10, threshold: float = 0.6, tolerance: float = 0.3) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of different normal forms of one group (`by`), each named by its first seq."""
+def _indexed(sections: DataFrame, by: list[str], k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(forms: by..., seq, size, s, n; index: by..., seq, size, n, sh of the prefixes), a row a normal form."""
     forms = normalized(sections).groupBy(*by, "norm_hash").agg(F.min("seq").alias("seq"), F.first("norm").alias("norm"))
-    forms = forms.where(F.length("norm") >= 3 * k).select(*by, "seq", F.length("norm").alias("size"), shingles_of(F.col("norm"), k).alias("s"))
-    forms = settle(forms.withColumn("n", F.size("s")))  # computed once: it is read three times below
+    shingles = shingles_of(F.col("norm"), k).alias("s")
+    forms = forms.where(F.length("norm") >= 3 * k).select(*by, "seq", F.length("norm").alias("size"), shingles)
+    forms = settle(forms.withColumn("n", F.size("s")))  # computed once: it is read several times
     each = forms.select(*by, "seq", "size", "n", F.explode_outer("s").alias("sh"))
     often = each.groupBy(*by, "sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(often, [*by, "sh"], "left").groupBy(*by, "seq", "size", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sh"))).alias("r"))
+    one = F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sh")
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "sh"]]
+    counted = each.alias("e").join(often.alias("o"), same, "left").select("e.*", "o.df")
+    in_order = counted.groupBy(*by, "seq", "size", "n").agg(F.sort_array(F.collect_list(one)).alias("r"))
     prefix = F.slice("r", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
     # a shingle of one text only can't make a pair
-    index = ranked.select(*by, "seq", "size", "n", F.explode_outer(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).where("x IS NOT NULL").select(*by, "seq", "size", "n", "x.sh")
-    x, y = index.alias("x"), index.alias("y")
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by] + [F.col("x.sh") == F.col("y.sh"), F.col("x.seq") < F.col("y.seq"), F.least("x.size", "y.size") / F.greatest("x.size", "y.size") >= 1 - tolerance, F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= threshold]
-    pairs = x.join(y, on).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
+    index = in_order.select(*by, "seq", "size", "n", F.explode_outer(F.filter(prefix, lambda x: x["df"] > 1)).alias("x"))
+    return forms, index.where("x IS NOT NULL").select(*by, "seq", "size", "n", "x.sh")
+
+
+def _met(x: DataFrame, y: DataFrame, by: list[str], threshold: float, tolerance: float, *also: Column) -> DataFrame:
+    """(a, b), a < b: rows of x and y with a shingle in common whose sizes allow the similarity. also: what must hold besides."""
+    ratio = lambda c: F.least(f"x.{c}", f"y.{c}") / F.greatest(f"x.{c}", f"y.{c}")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    on = [*same, F.col("x.sh") == F.col("y.sh"), F.col("x.seq") < F.col("y.seq"), ratio("size") >= 1 - tolerance, ratio("n") >= threshold]
+    return x.alias("x").join(y.alias("y"), [*on, *also]).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those of the pairs (a, b) that reach the threshold."""
     sets = forms.select("seq", "s")
     pairs = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     similarity = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))
     return pairs.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def near_pairs(sections: DataFrame, by: list[str], k: int = 10, threshold: float = 0.6, tolerance: float = 0.3) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of different normal forms of one group (`by`), each named by its first seq."""
+    forms, index = _indexed(sections, by, k, threshold)
+    return _similar(_met(index, index, by, threshold, tolerance), forms, threshold)
+
+
+def near_components(sections: DataFrame, by: list[str], k: int = 10, threshold: float = 0.6, tolerance: float = 0.3) -> DataFrame:
+    """(id, component) of the graph of `near_pairs`, without making all pairs of a group of near copies.
+
+    First a shingle's texts are compared with the first of them alone. Then only shingles whose texts are still in
+    several components are joined, and only texts of different components compared: no other pair can change one.
+    """
+    forms, index = _indexed(sections, by, k, threshold)
+    index = settle(index)
+    first = index.groupBy(*by, "sh").agg(F.min_by(F.struct("seq", "size", "n"), "seq").alias("f")).select(*by, "sh", "f.*")
+    tried = settle(_met(first, index, by, threshold, tolerance))
+    found = components(_similar(tried, forms, threshold))
+    named = index.join(found, F.col("seq") == F.col("id"), "left").select(*by, "sh", "seq", "size", "n", F.coalesce("component", "seq").alias("c"))
+    several = named.groupBy(*by, "sh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "sh"]]
+    left = settle(named.alias("m").join(several.alias("o"), same, "left_semi"))
+    more = _met(left, left, by, threshold, tolerance, F.col("x.c") != F.col("y.c")).join(tried, ["a", "b"], "left_anti")
+    more = settle(_similar(more, forms, threshold).select("a", "b"))
+    if more.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the edges (a, b) is connected with, by alternating stars."""
     now, state, before = settle(edges.select("a", "b").where("a <> b").distinct()), None, ()
@@ -89,7 +131,7 @@ def clusters(sections: DataFrame, by: list[str], **options) -> DataFrame:
     """(seq, component, norm_hash): exact and near duplicates together, transitively; component is the smallest seq."""
     rows = normalized(sections).select(*by, "seq", "norm_hash")
     first = rows.groupBy(*by, "norm_hash").agg(F.min("seq").alias("first_seq"))
-    found = components(near_pairs(sections, by, **options))
+    found = near_components(sections, by, **options)
     named = first.join(found, F.col("first_seq") == F.col("id"), "left").select(*by, "norm_hash", F.coalesce("component", "first_seq").alias("component"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in [*by, "norm_hash"]]
     return rows.alias("r").join(named.alias("g"), same).select("r.seq", "g.component", "r.norm_hash")

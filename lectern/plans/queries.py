@@ -165,14 +165,14 @@ PAIRS = FORMS + """,
 w AS (SELECT lang, seq, length(n) AS size, n, string_split(n, ' ') AS w FROM f WHERE length(n) >= 30),
 s AS (SELECT lang, seq, size, CASE WHEN len(w) < 10 THEN [n] ELSE list_distinct(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) END AS s FROM w),
 e AS (SELECT lang, seq, size, len(s) AS n, unnest(s) AS sh FROM s),
-pairs AS (SELECT x.seq AS a, y.seq AS b, count(*) / (x.n + y.n - count(*)) AS similarity FROM e x JOIN e y ON x.lang = y.lang AND x.sh = y.sh AND x.seq < y.seq
+pairs AS (SELECT x.seq AS a, y.seq AS b, count(*) / (x.n + y.n - count(*)) AS similarity FROM e x JOIN e y ON x.lang IS NOT DISTINCT FROM y.lang AND x.sh = y.sh AND x.seq < y.seq
   WHERE least(x.size, y.size) / greatest(x.size, y.size) >= 0.7 GROUP BY x.seq, y.seq, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.6)"""
 COMPONENTS = PAIRS + """,
 edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(id, other) AS (SELECT seq, seq FROM f UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a),
 comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id),
 member AS (SELECT d.doc_id, d.source, d.nr, d.h, d.n, c.component, CASE WHEN regexp_full_match(source, 'src[0-9]') THEN 9 - CAST(substr(source, 4) AS INTEGER) ELSE 10000 END AS rank
-  FROM d JOIN f ON d.lang = f.lang AND d.h = f.h JOIN comp c ON f.seq = c.id),
+  FROM d JOIN f ON d.lang IS NOT DISTINCT FROM f.lang AND d.h = f.h JOIN comp c ON f.seq = c.id),
 keep AS (SELECT component, arg_min(doc_id, rank * 10000000000 + doc_id) AS keeper FROM member GROUP BY component)"""
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -127,6 +128,30 @@ def test_duplicates_are_transitive(spark):
     assert dedup.keep_first(again, by, F.col("priority")).count() == 5
 
 
+def test_components_of_many_near_copies(spark, monkeypatch):
+    rng, base = random.Random(7), words(120, 8)
+    texts = [" ".join(base[:60] + words(2, i) + base[60:]) for i in range(40)]  # one group of near copies
+    chain = words(150, 9)
+    for i in range(12):  # each is near the one before alone
+        texts.append(" ".join(chain))
+        chain = chain[25:] + words(25, 100 + i)
+    texts += [" ".join(words(120, 200 + i)) for i in range(10)]
+    rng.shuffle(texts)
+    rows = [(i, "m" if i % 9 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "seq long, mode string, text string")
+    pairs = [(r.a, r.b) for r in dedup.near_pairs(df, ["mode"]).collect()]
+    least = {i: i for pair in pairs for i in pair}
+    for _ in range(len(least)):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    compared, keep = [], dedup._similar
+    monkeypatch.setattr(dedup, "_similar", lambda p, f, t: compared.append(p.count()) or keep(p, f, t))
+    got = {r.id: r.component for r in dedup.near_components(df, ["mode"]).collect()}
+    assert got == least and Counter(got.values()) == {2: 34, 1: 12, 0: 6}  # a null group is a group
+    assert sum(compared) < len(pairs) / 3
+    assert dedup.near_components(df.where("seq < 0"), ["mode"]).count() == 0
+
+
 @given(st.text(alphabet="ab. \n", max_size=400))
 @settings(max_examples=200, deadline=None)
 def test_chunks(text):
