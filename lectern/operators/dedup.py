@@ -43,7 +43,10 @@ def exact_groups(sections: DataFrame, by: list[str]) -> DataFrame:
 def shingles_of(norm: Column, k: int) -> Column:
     """Hashes of the distinct k-word shingles; all words if there are fewer, none for an empty text."""
     def many(hashes: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)])))
+        def at(i: Column) -> Column:
+            return F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)])
+
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), at))
 
     def of(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).when(F.size(hashes) < k, F.array(F.xxhash64(norm))).otherwise(many(hashes))
@@ -158,10 +161,20 @@ def report(sections: DataFrame, by: list[str], priority: Column | None = None, k
 
 def report_of(rows: DataFrame, k: int = 10) -> DataFrame:
     """`report` of rows that `ranked` gave."""
-    part = lambda p: [F.col("seq").alias(f"{p}_seq"), F.col("work_title").alias(f"{p}_work_title"), F.col("section_title").alias(f"{p}_section_title"), F.col("norm_hash").alias(f"{p}_hash"), F.col("text").alias(f"{p}_text")]
-    pairs = rows.where("seq <> keeper").select(*part("dropped"), F.col("keeper").alias("k")).join(rows.where("seq = keeper").select(*part("kept")), F.col("k") == F.col("kept_seq"))
+    part = lambda p: [
+        F.col("seq").alias(f"{p}_seq"),
+        F.col("work_title").alias(f"{p}_work_title"),
+        F.col("section_title").alias(f"{p}_section_title"),
+        F.col("norm_hash").alias(f"{p}_hash"),
+        F.col("text").alias(f"{p}_text"),
+    ]
+    dropped = rows.where("seq <> keeper").select(*part("dropped"), F.col("keeper").alias("k"))
+    pairs = dropped.join(rows.where("seq = keeper").select(*part("kept")), F.col("k") == F.col("kept_seq"))
     exact = F.col("dropped_hash") == F.col("kept_hash")
     pairs = pairs.withColumn("sa", F.when(~exact, shingles_of(dedup_form(F.col("dropped_text")), k))).withColumn("sb", F.when(~exact, shingles_of(dedup_form(F.col("kept_text")), k)))
     pairs = pairs.withColumn("both", F.size(F.array_intersect("sa", "sb")))
     near = F.coalesce(F.try_divide(F.col("both"), F.size("sa") + F.size("sb") - F.col("both")), F.lit(0.0))
-    return pairs.select("dropped_seq", "dropped_work_title", "dropped_section_title", "kept_seq", "kept_work_title", "kept_section_title", F.when(exact, "exact").otherwise("near").alias("match_type"), F.round(F.when(exact, 1.0).otherwise(near), 3).alias("similarity"))
+    similarity = F.round(F.when(exact, 1.0).otherwise(near), 3).alias("similarity")
+    match_type = F.when(exact, "exact").otherwise("near").alias("match_type")
+    name = ["seq", "work_title", "section_title"]
+    return pairs.select(*[f"dropped_{c}" for c in name], *[f"kept_{c}" for c in name], match_type, similarity)
