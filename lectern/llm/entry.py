@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, quality, substring_dedup, suffix_dedup, warc_zip
+from lectern.llm import bpe, exact_dedup, filter_audit, language_id, line_dedup, minhash, mixing, quality, substring_dedup, suffix_dedup, warc_zip
 from lectern.llm.common import remove_folder, settle, table
 
 
@@ -82,6 +82,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL = {
     "op3_mix_sources": r"""
 WITH counted AS (
@@ -176,6 +180,33 @@ FROM marked GROUP BY doc_id""",
 WITH groups AS (SELECT coalesce(text, '') AS body, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.body) AS text_sha256
 FROM documents d JOIN groups g ON coalesce(d.text, '') = g.body""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, [f.letter FOR f IN [
+           {'letter': 'A', 'fails': len(w) < 200}, {'letter': 'B', 'fails': 100 * len(list_distinct(w)) < 50 * len(w)},
+           {'letter': 'C', 'fails': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t)},
+           {'letter': 'D', 'fails': regexp_matches(t, '[#$%&*|]')}, {'letter': 'E', 'fails': coalesce(doc_id > first, false)}] IF f.fails] AS fails,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM (SELECT d.*, first, regexp_extract_all(d.t, '[^\x20\x09-\x0D]+') AS w FROM d JOIN firsts ON d.t = firsts.t) x LEFT JOIN marks USING (doc_id)),
+sets AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)),
+steps AS (SELECT o AS filter_order, step, substr(o, step, 1) AS f, string_split(left(o, step - 1), '') AS before FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5),
+ways AS (SELECT f, fails, count(*) AS firsts FROM (
+  SELECT s.filter_order, s.f, x.fails FROM (SELECT DISTINCT fails FROM sets) x, steps s
+  WHERE list_contains(x.fails, s.f) AND NOT list_has_any(x.fails, s.before)) GROUP BY f, fails)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+       CAST(coalesce(sum(n) FILTER (NOT list_contains(s.fails, f) AND NOT list_has_any(s.fails, before)), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (list_contains(s.fails, f) AND NOT list_has_any(s.fails, before)), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (list_contains(s.fails, f) AND list_has_any(s.fails, before)), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (s.fails = [f]), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (list_contains(s.fails, f) AND NOT list_has_any(s.fails, before)), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (list_contains(s.fails, f) AND NOT list_has_any(s.fails, before)), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * w.firsts), 0) AS BIGINT) AS shapley
+FROM sets s CROSS JOIN steps LEFT JOIN ways w USING (f, fails)
+GROUP BY part, filter_order, step""",
 }
 
 
@@ -191,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
