@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, exact_dedup, filter_audit, language_id, line_dedup, minhash, mixing, quality, substring_dedup, suffix_dedup, warc_zip
+from lectern.llm import bpe, exact_dedup, filter_audit, language_id, line_dedup, minhash, mixing, phrases, quality, substring_dedup, suffix_dedup, warc_zip
 from lectern.llm.common import remove_folder, settle, table
 
 
@@ -86,6 +86,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), at_least=10, inside=50, best=2000)
+
+
 SQL = {
     "op3_mix_sources": r"""
 WITH counted AS (
@@ -207,6 +211,26 @@ SELECT part, filter_order, CAST(step AS INT) AS step,
        CAST(coalesce(sum(n * w.firsts), 0) AS BIGINT) AS shapley
 FROM sets s CROSS JOIN steps LEFT JOIN ways w USING (f, fails)
 GROUP BY part, filter_order, step""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, size, unnest([w[i:i + size - 1] FOR i IN range(1, len(w) - size + 2)]) AS g FROM split, (SELECT unnest([1, 2, 3]) AS size)),
+counts AS (SELECT lang, g, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, (1000000 * c.f * c.f) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM counts WHERE len(g) > 1 AND f >= 10) c
+  JOIN counts l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, g, max(f) AS f FROM (
+    SELECT lang, g[1:2] AS g, f FROM counts WHERE len(g) = 3 AND f >= 10 UNION ALL SELECT lang, g[2:3], f FROM counts WHERE len(g) = 3 AND f >= 10) GROUP BY lang, g),
+kept AS (
+  SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM scored s LEFT JOIN longer x ON x.lang = s.lang AND x.g = s.g WHERE x.f IS NULL OR 100 * x.f < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang)""",
 }
 
 
@@ -223,6 +247,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op13_phrases": op13_phrases,
     }
 
 
