@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, exact_dedup, filter_audit, language_id, line_dedup, minhash, mixing, phrases, quality, substring_dedup, suffix_dedup, warc_zip
+from lectern.llm import bpe, exact_dedup, filter_audit, language_id, line_dedup, minhash, mixing, packing, phrases, quality, substring_dedup, suffix_dedup, warc_zip
 from lectern.llm.common import remove_folder, settle, table
 
 
@@ -86,6 +86,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), size=2048, end_id=0)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"), at_least=10, inside=50, best=2000)
 
@@ -247,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op12_packing": op12_packing,
         "op13_phrases": op13_phrases,
     }
 
