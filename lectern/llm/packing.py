@@ -6,11 +6,11 @@
    the corpus, and all shards have its mix of lengths.
 3. On each shard ISLANDS populations evolve apart, a group of Spark each, for EPOCHS epochs. An individual is a grouping of
    the pieces into bins. Crossover injects well-filled bins of one parent whole into another, bins that hold a piece twice
-   then are dissolved, and what is displaced goes to the bin that it fits best, longest first. Mutation dissolves the
-   emptiest bins. Fewer bins win, then squares of fills. Between epochs each island's elite goes to the next
+   then are dissolved, and what is displaced goes where it fits best: in exchange for less of a bin that it fills better, the
+   rest longest first to the bin with least room. Mutation dissolves the emptiest bins. Fewer bins win, then squares of fills. Between epochs each island's elite goes to the next
    island, by a shuffle. An island that has as few bins as lengths allow stops.
 4. The best individual of a shard's islands gives the sequences. Bins that are not well filled, up to one piece in
-   FREED of the shard, are dissolved, and their pieces meet those of other shards in a smaller round, until one shard is
+   FREED of the shard (or two bins), are dissolved, and their pieces meet those of other shards in a smaller round, until one shard is
    left; so what a shard loses at its edges is found again, in a number of rounds that grows with the logarithm of the corpus.
 
 All randomness comes from seeds made of shard, island and round: reruns over the same table agree.
@@ -23,6 +23,7 @@ an empty table gives an empty result; columns other than id and text are not rea
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,8 @@ ISLANDS, EPOCHS = 3, 3
 POPULATION, CHILDREN, ELITE = 6, 8, 2
 #: Bins from this fill on are kept by a shard; of the others it gives back one piece in FREED at most.
 WELL, FREED = 0.99, 16
+#: Most pieces of a bin of which pairs are exchanged.
+MEMBERS = 8
 #: Bytes of chunks and ids that a worker remembers, with ENTRY bytes for each one's place.
 CACHE_BYTES, ENTRY = 96 << 20, 220
 
@@ -165,11 +168,11 @@ class Island:
                 return
 
     def cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """a with well-filled bins of b injected."""
+        """a with some well-filled bins of b injected."""
         fills = np.bincount(b, self.lengths)
         by_fill = np.argsort(-fills, kind="stable")[: max(1, len(fills) // 2)]
         inject = np.zeros(len(fills), bool)
-        inject[self.rng.choice(by_fill, max(1, int(len(by_fill) * self.rng.uniform(0.2, 0.8))), replace=False)] = True
+        inject[self.rng.choice(by_fill, max(1, int(len(by_fill) * self.rng.uniform(0, 0.3))), replace=False)] = True
         moved = inject[b]
         # bins of a that hold a piece which comes with a bin of b are dissolved
         hit = np.zeros(a.max() + 1, bool)
@@ -179,21 +182,75 @@ class Island:
     def dissolve(self, a: np.ndarray) -> np.ndarray:
         """a without its emptiest bins and some others, whose pieces are put in again."""
         fills = np.bincount(a, self.lengths)
-        emptiest = np.argsort(fills, kind="stable")[: 1 + len(fills) // 50]
         gone = np.zeros(len(fills), bool)
-        gone[emptiest] = True
-        gone[self.rng.choice(len(fills), 1 + len(fills) // 50)] = True
+        gone[np.argsort(fills, kind="stable")[: 2 + len(fills) // 50]] = True
+        gone[self.rng.choice(len(fills), 2 + len(fills) // 50)] = True
         return self._refit(a, gone[a])
 
     def _refit(self, labels: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """labels with the pieces `out` put in again: first in exchange for shorter ones of bins that they fill better, then by best fit."""
         _, kept = np.unique(labels[~out], return_inverse=True)
-        new = np.zeros(len(labels), np.int64)
+        new = np.full(len(labels), -1, np.int64)
         new[~out] = kept
         fills = np.bincount(kept, self.lengths[~out]).astype(np.int64).tolist()
-        # longest first, as all are in that order
-        best_fit(np.flatnonzero(out).tolist(), self.list, fills, new, self.size)
+        loose = np.flatnonzero(out)[::-1].tolist()  # shortest first
+        sizes = [self.list[i] for i in loose]
+        at = np.argsort(new, kind="stable")
+        ends = np.searchsorted(new[at], np.arange(len(fills) + 1)).tolist()
+        at = at.tolist()
+        for bin_ in self.rng.permutation(len(fills)).tolist() if loose else []:
+            left = self.size - fills[bin_]
+            if left <= 0:
+                continue
+            best = None
+            members = at[ends[bin_] : ends[bin_ + 1]]
+            pairs = [(x, y) for k, x in enumerate(members) for y in members[k + 1 :]] if len(members) <= MEMBERS else []
+            for gone in [*((x,) for x in members), *pairs]:
+                was = sum(self.list[x] for x in gone)
+                place = bisect_right(sizes, was + left) - 1
+                if place >= 0 and sizes[place] > was and (best is None or sizes[place] - was > best[0]):
+                    best = sizes[place] - was, place, gone
+                    if best[0] == left:
+                        break
+            if best is None or best[0] < left:
+                # two loose pieces for one
+                for x in members:
+                    if two := self._two(sizes, self.list[x], self.list[x] + left, left if best is None else left - best[0] - 1):
+                        gain = sizes[two[0]] + sizes[two[1]] - self.list[x]
+                        if best is None or gain > best[0]:
+                            best = gain, two, (x,)
+            if best is None:
+                continue
+            gain, place, gone = best
+            come = sorted(place if isinstance(place, tuple) else (place,), reverse=True)
+            for k in come:
+                new[loose.pop(k)] = bin_
+                sizes.pop(k)
+            for x in gone:
+                k = bisect_right(sizes, self.list[x])
+                sizes.insert(k, self.list[x])
+                loose.insert(k, x)
+                new[x] = -1
+            fills[bin_] += gain
+        best_fit(loose[::-1], self.list, fills, new, self.size)
         return new
 
+    @staticmethod
+    def _two(sizes: list[int], above: int, most: int, slack: int) -> tuple[int, int] | None:
+        """Places of two sizes whose sum is over `above` and from most - slack to most, of the sums tried the largest."""
+        lo, hi, best, found = 0, bisect_right(sizes, most) - 1, max(above, most - slack - 1), None
+        while lo < hi:
+            both = sizes[lo] + sizes[hi]
+            if both > most:
+                hi -= 1
+            else:
+                if both > best:
+                    best, found = both, (lo, hi)
+                    if both == most:
+                        break
+                lo += 1
+        return found
+
     def epoch(self) -> None:
         for _ in range(CHILDREN):
             if self.settled():
@@ -265,7 +322,9 @@ def _assign(size: int, last: bool, names: list[str]):
         if not last:
             by_fill = np.argsort(fills, kind="stable")
             upto = np.cumsum(np.bincount(labels)[by_fill])
-            free[by_fill[(fills[by_fill] < WELL * size) & (upto <= max(1, len(labels) // FREED))]] = True
+            # two bins anyhow, if they are no more than half of all
+            few = (upto <= len(labels) // FREED) | (np.arange(len(fills)) < 2) & (upto <= len(labels) // 2)
+            free[by_fill[(fills[by_fill] < WELL * size) & few]] = True
         own = [rows.column(c) for c in names]
         return pa.table([*own, pa.array(rid[order][first][labels]), pa.array(offset), pa.array(free[labels])], names=[*names, "sequence_id", "offset", "free"])
 
