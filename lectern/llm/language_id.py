@@ -6,8 +6,10 @@ over a bounded sample of its labelled texts; a text gets the language of the cen
 is rejected where it has no letter, or where it has MIN_GRAMS grams and that cosine is below a bound learned from the
 training texts' own (short texts have small cosines by nature, and are not rejected for them).
 
-The model is fitted on at most `per_language` rows of each language (whole texts, chosen by a hash of the id), of every
-language found; a language's centroids are found in one task, and the driver gets the model alone: document
+The model is fitted on at most `per_language` rows of each language (whole texts, those with the smallest hashes of id and
+text; of equal ones one counts), of every language found, whatever the ids are: the share of hashes that is taken comes from
+a sketch of how many different ones a language has, so neither an id that all rows share nor a text that fills a language
+lets its sample run empty or over; a language's centroids are found in one task, and the driver gets the model alone: document
 frequencies, centroids and a histogram of the training texts' own cosines, some 70 kilobytes a language however long
 the texts are. Prediction reads nothing but the text.
 
@@ -35,6 +37,8 @@ UNKNOWN = "und"
 #: Most languages whose sampling bounds are broadcast; those of more are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
 MIN_GRAMS = 100
+#: Rows that pass the sampling bounds, for each that is wanted: the sketch errs by some 5 %.
+MARGIN = 1.25
 #: Steps of cosines in the histogram from which rejection is learned.
 COSINES = 1000
 IS_LETTER = np.zeros(256, bool)
@@ -104,15 +108,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500, clusters: int = 4, reject: float = 0.5) -> Model:
     """A model from the rows of docs with text and language; rejection starts at `reject` times the training texts' 1st percentile of cosines."""
-    rows = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), id_col).alias("nth"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # null ids and ids that rows share tell nothing apart: the text counts too
+    nth = F.xxhash64(F.lit("sample"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
+    rows = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), nth.alias("nth"), F.col(text_col).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("nth", 0.05).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
-    # about per_language rows of each: those with the smallest hashes
-    bounds = [(lang, min(2**63 - 1, int(2**64 * min(1.0, per_language / n)) - 2**63)) for lang, n in sizes.items()]
+    # about per_language of each, and rather more, of which `_sampled` takes the first
+    bounds = [(lang, min(2**63 - 1, int(2**64 * min(1.0, MARGIN * per_language / max(1, n))) - 2**63)) for lang, n in sizes.items()]
     bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
     # a row a language: whole texts are not to be shuffled for it
-    sample = rows.join(F.broadcast(bound) if len(bounds) <= BROADCAST_LANGUAGES else bound, "lang").where("nth <= bound").select("lang", "nth", "text").mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>")
+    some = rows.join(F.broadcast(bound) if len(bounds) <= BROADCAST_LANGUAGES else bound, "lang").where("nth <= bound").select("lang", "nth", "text")
+    sample = some.mapInArrow(_vectors, "lang string, nth long, place array<int>, n array<int>").dropDuplicates(["lang", "nth"])
     sample = settle(sample)
     df, texts = np.zeros(DIMENSIONS, np.int64), 0
     for r in sample.groupBy("lang").applyInArrow(_frequencies(per_language), "texts long, df binary").toLocalIterator():

@@ -6,9 +6,10 @@ depends on the window's content alone. Consecutive windows with one anchor form
 
 1. Documents are dealt to blocks by id (the one time texts move), of some BLOCK_BYTES or less by the plan's own
    estimate of the table's size. Each block lists the distinct hashes at its anchors, with the number of different
-   segments (by a hash of their content) and the least of those hashes.
+   segments (by a hash of their content) and the KINDS least of those hashes.
 2. Lists meet by hash; each block learns which of its hashes occur anywhere else, and which are hot: those with more
-   than HOT different segments. A passage that every document has counts once a block, so it costs a number a block.
+   than about HOT different segments in all blocks together, estimated from the KINDS least hashes of their union (exact up to
+   KINDS, then within some 20 %). A passage that every document has counts once a block, so it costs a number a block.
 3. Each block sends the segments of those anchors, equal ones once, to a target; a copy of an earlier segment of its
    own block is marked there and then. Segments of a hot anchor are sent window by window, each to the target of its
    own content, so that a passage which stands between ever other neighbours is split over all targets.
@@ -41,6 +42,10 @@ NULL_ID = -(2**63)
 BLOCK_BYTES = 128 << 20
 #: Different segments of one anchor hash beyond which its windows are sent one by one.
 HOT = 4000
+#: Hashes of segments that a block tells of an anchor, to count the different ones of all blocks.
+KINDS = 32
+#: Bytes of text in one of the files' bytes, as compressed files shrink.
+EXPANDS = 4
 BASE = np.uint64(6364136223846793005)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
@@ -177,13 +182,20 @@ def _hash_lists(spec: Spec):
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             total = np.diff(np.append(first, len(h)))
             fresh = np.concatenate([[0], np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (content[1:] != content[:-1])]))]) if len(h) else np.zeros(1, np.int64)
+            # the least hashes of different segments, up to KINDS an anchor
+            anew = np.flatnonzero(np.diff(fresh))
+            of = np.searchsorted(first, anew, "right") - 1
+            nth = np.arange(len(anew)) - np.searchsorted(of, of)
+            anew, of = anew[nth < KINDS], of[nth < KINDS]
+            least, told = (content[anew] >> np.uint64(32)).astype(np.uint32), np.bincount(of, minlength=len(first))
             kinds = np.minimum(fresh[np.append(first[1:], len(h))] - fresh[first], 2**31 - 1) if len(h) else total
-            h, least = h[first], (content[first] >> np.uint64(32)).astype(np.uint32)
+            h, upto = h[first], np.concatenate([[0], np.cumsum(told)])
             to = h % np.uint64(spec.targets_of_hashes)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(spec.targets_of_hashes + 1, dtype=np.uint64))
-            cols = {"h": h, "least": least, "many": total > 1, "kinds": kinds.astype(np.int32)}
-            out = [(i, pack(**{k: v[order[a:b]] for k, v in cols.items()})) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            cols = {"h": h, "many": total > 1, "kinds": kinds.astype(np.int32)}
+            lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(least))
+            out = [(i, pack(**{k: v[order[a:b]] for k, v in cols.items()}, least=lists.take(pa.array(order[a:b])))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             if out:
                 yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["target", "block", "data"])
 
@@ -194,13 +206,11 @@ def _shared_hashes(hot: int):
     def run(table: pa.Table) -> pa.Table:
         """For each block, those of its hashes that occur again, here or in another block, and whether they are hot."""
         lists = [(b, unpack(d)) for b, d in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True)]
-        h, least, many, kinds = (np.concatenate([x[k].to_numpy(zero_copy_only=False) for _, x in lists]) for k in ("h", "least", "many", "kinds"))
-        order = np.lexsort((least, h))
+        h, many, kinds = (np.concatenate([x[k].to_numpy(zero_copy_only=False) for _, x in lists]) for k in ("h", "many", "kinds"))
+        order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         n = np.diff(np.append(first, len(h)))
-        # blocks whose least content differs have different segments; so has a block that says so
-        fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (least[order][1:] != least[order][:-1])])
-        different = np.maximum(np.add.reduceat(fresh.astype(np.int64), first), np.maximum.reduceat(kinds[order], first))
+        different = np.maximum(_kinds_in_all([x["least"] for _, x in lists], h, h[order][first]), np.maximum.reduceat(kinds[order], first))
         group = np.empty(len(h), np.int64)
         group[order] = np.repeat(np.arange(len(first)), n)
         again, burning = (n[group] > 1) | many, different[group] > hot
@@ -214,6 +224,19 @@ def _shared_hashes(hot: int):
     return run
 
 
+def _kinds_in_all(told: list[pa.Array], h: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """How many different segments each hash of names (in order) has in all blocks, from the least content hashes that each tells."""
+    size = np.concatenate([x.value_lengths().to_numpy() for x in told])
+    of = np.searchsorted(names, np.repeat(h, size))
+    pair = np.unique(of.astype(np.uint64) << np.uint64(32) | np.concatenate([x.flatten().to_numpy() for x in told]).astype(np.uint64))
+    of = (pair >> np.uint64(32)).astype(np.int64)
+    found = np.bincount(of, minlength=len(names))
+    # of more than KINDS the KINDS-th least tells how dense all are
+    last = np.minimum(np.searchsorted(of, np.arange(len(names))) + KINDS - 1, len(pair) - 1)
+    density = ((pair[last] & np.uint64(2**32 - 1)).astype(np.float64) + 1) / 2**32
+    return np.where(found < KINDS, found, np.maximum(found, (KINDS - 1) / density)).astype(np.int64)
+
+
 def _segments_out(spec: Spec):
     width = spec.window
 
@@ -366,11 +389,11 @@ def _block_names(n: int) -> list[int]:
 
 
 def n_blocks(docs: DataFrame) -> int:
-    """As many blocks as shuffles have partitions, or more, so that a block has some BLOCK_BYTES by the plan's estimate of the table's size."""
+    """As many blocks as shuffles have partitions, or more, so that a block has some BLOCK_BYTES of text by the plan's estimate of the table's size on disk."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # without any estimate plans count as 2 ** 63 bytes
     known = size if size < 2**60 else 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // BLOCK_BYTES)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), EXPANDS * known // BLOCK_BYTES)
 
 
 def _suffixes(spec: Spec, each: int):

@@ -1,8 +1,8 @@
 """Substring de-duplication: words covered by a window of `window` words that also starts earlier in the corpus go.
 
 Reference shards are passages that share anchors, gathered by repeats.py, equal passages once; a shard takes whole
-anchors until it has SHARD_WORDS words, and an anchor has at most repeats.HOT different passages, so an automaton's
-size is bounded. A shard's suffix automaton is built over its passages in corpus order, so each state
+anchors until it has SHARD_WORDS words, and an anchor has at most some repeats.HOT different passages (the windows of
+others go one by one), so an automaton's size is bounded. A shard's suffix automaton is built over its passages in corpus order, so each state
 knows where its words first occur. The shard's documents are then streamed through it: the matching statistic at a
 word is the length of the longest suffix that the automaton holds; where it reaches `window`, the state of the last
 `window` words is found by suffix links, and if they occur first at an earlier place, the window is a repeat. Maximal
