@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, chunks, dedup, routing, search
+from lectern.operators import answers, chunks, dedup, routing, search, vector_index
 from lectern.operators import sections as S
 from lectern.plans import jobs, views
 from lectern.plans.views import table
 from lectern.sources import conversations as C
 from lectern.sources.catalog import dim
-from lectern.sources.files import lookup, read_jsonl, write_jsonl, write_vectors
+from lectern.sources.files import kept, lookup, read_jsonl, shared_folder, write_jsonl, write_vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -245,6 +244,16 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "vec_id", "rank", F.round("distance", 4).alias("distance"))
 
 
+@query()
+def knn_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 8 nearest of all vectors to those whose id is divisible by 100, by an index of all."""
+    v, path = table(spark, sf_dir, "embeddings"), shared_folder(spark, "index")
+    vector_index.build(v, path, k=8)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = vector_index.search(spark, path, asked, 8)
+    return kept(found.select("qid", "vec_id", "rank", F.round("distance", 4).alias("distance")), path)
+
+
 def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").join(dim(_vector_questions(spark, sf_dir)), F.col("label") == F.col("q_label"))
     return v.select("qid", "vec_id", "q_label", search.squared_distance(F.col("embedding"), F.col("qvec")).alias("distance"))
@@ -693,26 +702,19 @@ def phrase_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep(table(spark, sf_dir, "documents"), "ingha", "text", ("doc_id",)).select("doc_id", "context")
 
 
-def _shared_path(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        dedup.settle(spark.range(1))
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE label % 2 = 0")
 def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection written to the shared folder and opened again, of one mode, whose files alone are read."""
-    path = _shared_path(spark, "vectors")
+    path = shared_folder(spark, "vectors")
     write_vectors(views.chunks(spark, sf_dir), path)
     found = lookup(jobs.open_index(spark, path), author_key="ada", mode="literature")
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return found.select("vec_id", F.substring("work_title", 2, 9).cast("int").alias("label"), F.round(total, 4).alias("total"))
+    return kept(found.select("vec_id", F.substring("work_title", 2, 9).cast("int").alias("label"), F.round(total, 4).alias("total")), path)
 
 
 @query("SELECT doc_id AS seq, lang AS mode, source AS work_title, md5(text) AS text FROM documents")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections written as JSON lines to the shared folder and read again."""
-    path = _shared_path(spark, "sections")
+    path = shared_folder(spark, "sections")
     write_jsonl(views.sections(spark, sf_dir).drop("priority"), path)
-    return read_jsonl(spark, path).select("seq", "mode", "work_title", md5("text").alias("text"))
+    return kept(read_jsonl(spark, path).select("seq", "mode", "work_title", md5("text").alias("text")), path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import unix_newlines
+from lectern.operators.dedup import settle
 
 SECTION = "seq bigint, author_key string, author_display string, mode string, work_title string, section_title string, section_index int, text string, source_ref string"
 #: Where the raw text of a work is published, by number. Fixed value.
@@ -61,6 +63,27 @@ def write_vectors(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("author_key", "mode").parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        settle(spark.range(1))
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, with all in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df computed now, so that the folder it reads can go; the folder is deleted."""
+    out = settle(df)
+    remove(df.sparkSession, path)
+    return out
+
+
 def lookup(chunks: DataFrame, **where) -> DataFrame:
     """Chunks whose columns have these values (or one of a list of values)."""
     for name, value in where.items():
