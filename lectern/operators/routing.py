@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import roman_value, router_form, to_roman, words
+from lectern.operators.dedup import settle
 from lectern.sources.catalog import dim
 
 # Words and patterns of the routing rules.
@@ -47,12 +48,38 @@ def names_phrase(norm_question: Column, norm_phrase: Column) -> Column:
     return (norm_phrase != "") & F.concat(F.lit(" "), norm_question, F.lit(" ")).contains(F.concat(F.lit(" "), norm_phrase, F.lit(" ")))
 
 
+def asked_words(questions: DataFrame) -> DataFrame:
+    """(qid, author_key, word): the different words of the questions, in router form."""
+    q = questions.select("qid", "author_key", F.explode_outer(F.array_distinct(words(router_form(F.col("question"))))).alias("word"))
+    return q.where("word IS NOT NULL")
+
+
+def met_by_anchor(asked: DataFrame, phrases: DataFrame) -> DataFrame:
+    """asked (qid, author_key, word) and phrases (author, anchors, ...) that may stand in a question: those that share their rarest anchor.
+
+    A question that holds a phrase holds all its anchors, so it is enough to meet by one of them, the one that the fewest
+    questions have. A phrase with an anchor that no question has meets none; one without anchors meets all questions of its author.
+    """
+    phrases = settle(phrases.withColumn("p", F.monotonically_increasing_id()))
+    each = phrases.select("p", "author", F.explode_outer(F.array_distinct("anchors")).alias("anchor")).where("anchor IS NOT NULL")
+    often = asked.join(each.select(F.col("author").alias("author_key"), F.col("anchor").alias("word")).distinct(), ["author_key", "word"]).groupBy("author_key", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(often, (F.col("author") == F.col("author_key")) & (F.col("anchor") == F.col("word")), "left").groupBy("p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("least"))
+    least = counted.where("least.n > 0").select(F.col("p").alias("q"), F.col("least.anchor").alias("anchor"))
+    held = phrases.join(least, F.col("p") == F.col("q")).drop("q")
+    found = asked.join(held, (F.col("author_key") == F.col("author")) & (F.col("word") == F.col("anchor"))).drop("word", "anchor")
+    bare = phrases.where(F.size("anchors") == 0)
+    if not bare.isEmpty():
+        found = found.unionByName(asked.select("qid", "author_key").distinct().join(bare, F.col("author_key") == F.col("author")))
+    return found.drop("p", "anchors", "author")
+
+
 def named_works(questions: DataFrame, works: DataFrame) -> DataFrame:
     """(qid, titles): all works of the author's literature whose title or alias the question names, in catalog order."""
-    lit = dim(works.where("mode = 'literature'").select(F.col("author_key").alias("w_author"), "work_title", "priority", F.concat(F.array("work_title"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("phrases")))
-    q = questions.select("qid", "author_key", router_form(F.col("question")).alias("norm"))
-    hits = q.join(lit, F.col("author_key") == F.col("w_author")).where(F.exists("phrases", lambda p: names_phrase(F.col("norm"), router_form(p))))
-    titles = F.transform(F.sort_array(F.collect_list(F.struct("priority", "work_title"))), lambda x: x["work_title"])
+    lit = works.where("mode = 'literature'").select(F.col("author_key").alias("author"), "work_title", "priority", F.explode(F.concat(F.array("work_title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("phrase"))
+    lit = lit.withColumn("phrase", router_form(F.col("phrase"))).where("phrase <> ''").withColumn("anchors", words(F.col("phrase"))).distinct()
+    near = met_by_anchor(asked_words(questions), lit)
+    hits = near.join(questions.select("qid", router_form(F.col("question")).alias("norm")), "qid").where(names_phrase(F.col("norm"), F.col("phrase")))
+    titles = F.transform(F.sort_array(F.collect_set(F.struct("priority", "work_title"))), lambda x: x["work_title"])
     return hits.groupBy("qid").agg(titles.alias("titles"))
 
 
@@ -70,18 +97,64 @@ def alike(asked: str, word: str) -> bool:
     return match.quick_ratio() >= MIN_RATIO and match.ratio() >= MIN_RATIO
 
 
-@F.pandas_udf(T.IntegerType())
-def present_words(title_words: pd.Series, question_words: pd.Series) -> pd.Series:
-    """How many of the title's words the question has, slips counted."""
-    return pd.Series([sum(any(alike(x, w) for x in set(q)) for w in t) for t, q in zip(title_words, question_words, strict=True)], dtype="int32")
+@F.pandas_udf(T.BooleanType())
+def are_alike(asked: pd.Series, known: pd.Series) -> pd.Series:
+    return pd.Series([alike(a, k) for a, k in zip(asked, known, strict=True)], dtype=bool)
+
+
+def _slips(a: Column, b: Column) -> Column:
+    """Letters of two words of these lengths that may be left over, both together, where their ratio is to be MIN_RATIO."""
+    return F.floor((a + b) * (1 - MIN_RATIO) + 1e-9).cast("int")
+
+
+def alike_words(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, known): all pairs of a word of asked (word) and one of known (known) that are `alike`.
+
+    Words whose ratio is MIN_RATIO have a common subsequence of all but s letters of both together, s as `_slips` says by
+    their lengths. Each letter left out spoils at most one of s + 1 stretches that the known word is cut into, so one
+    stretch stands in the other word, moved by s places at most: pairs meet by that stretch, and no other pairs are compared.
+    """
+    asked = asked.select("word", F.length("word").alias("la")).where(F.col("la") > 0).distinct()
+    known = known.select("known", F.length("known").alias("lk")).where(F.col("lk") > 0).distinct()
+    same = asked.join(known, F.col("word") == F.col("known")).select("word", "known")
+    # lengths whose ratio can be reached at all; a row a pair of lengths and stretch
+    reach = (2 - MIN_RATIO) / MIN_RATIO
+    lengths = asked.select("la").where(F.col("la") >= MIN_WORD).distinct()
+    lengths = lengths.select("la", F.explode(F.sequence(F.greatest(F.lit(MIN_WORD), F.ceil(F.col("la") / reach - 1e-9).cast("int")), F.floor(F.col("la") * reach + 1e-9).cast("int"))).alias("lk"))
+    lengths = lengths.join(known.select("lk").distinct(), "lk", "left_semi").withColumn("s", _slips(F.col("la"), F.col("lk")))
+    edge = lambda i: F.floor(i * F.col("lk") / (F.col("s") + 1)).cast("int")
+    cuts = lengths.select("la", "lk", "s", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("nth"))
+    cuts = settle(cuts.select("la", "lk", "s", "nth", edge(F.col("nth")).alias("at"), (edge(F.col("nth") + 1) - edge(F.col("nth"))).alias("size")))
+    held = known.join(cuts, "lk").select("known", "la", "lk", "nth", F.substring("known", F.col("at") + 1, F.col("size")).alias("stretch"))
+    moves = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("s")), F.least(F.col("la") - F.col("size"), F.col("at") + F.col("s")))
+    # a stretch that cannot stand at any place makes an empty row
+    moves = F.when(F.col("la") - F.col("size") >= F.greatest(F.lit(0), F.col("at") - F.col("s")), moves)
+    mine = asked.join(cuts, "la").select("word", "la", "lk", "nth", "size", F.explode_outer(moves).alias("m")).where("m IS NOT NULL")
+    mine = mine.select("word", "la", "lk", "nth", F.substring("word", F.col("m") + 1, F.col("size")).alias("stretch")).distinct()
+    near = mine.join(held, ["la", "lk", "nth", "stretch"]).where("word <> known").select("word", "known").distinct()
+    return same.union(near.where(are_alike("word", "known")))
 
 
 def likely_work(questions: DataFrame, works: DataFrame) -> DataFrame:
-    """(qid, title, fraction): for questions that name no work, the one work most of whose content words they have."""
-    lit = dim(works.where("mode = 'literature'").select(F.col("author_key").alias("w_author"), "work_title", "priority", content_words(router_form(F.col("work_title"))).alias("tw")).where(F.size("tw") >= 2))
-    q = questions.select("qid", "author_key", words(router_form(F.col("question"))).alias("qw"))
-    rows = q.join(lit, F.col("author_key") == F.col("w_author")).withColumn("hits", present_words("tw", "qw")).withColumn("fraction", F.col("hits") / F.size("tw"))
-    rows = rows.where((F.col("hits") >= MIN_HITS) & (F.col("fraction") >= MIN_FRACTION))
+    """(qid, title, fraction): for questions that name no work, the one work most of whose content words they have, slips counted.
+
+    A work that needs h of its n words is found by one of its n - h + 1 rarest, so what is joined is not questions and works
+    that share a common word.
+    """
+    lit = works.where("mode = 'literature'").select(F.col("author_key").alias("author"), "work_title", "priority", content_words(router_form(F.col("work_title"))).alias("tw")).where(F.size("tw") >= MIN_HITS).distinct()
+    titled_ = lit.select("author", "work_title", "priority", F.size("tw").alias("n"), F.posexplode("tw").alias("pos", "known"))
+    asked = asked_words(questions)
+    pairs = alike_words(asked, titled_)
+    met = settle(asked.join(pairs, "word").select("qid", "author_key", "known").distinct())
+    often = met.groupBy(F.col("author_key").alias("a"), F.col("known").alias("k")).agg(F.count(F.lit(1)).alias("often"))
+    counted = titled_.join(often, (F.col("author") == F.col("a")) & (F.col("known") == F.col("k")), "left").drop("a", "k")
+    needed = F.greatest(F.lit(MIN_HITS), F.ceil(F.col("n") * MIN_FRACTION - 1e-9).cast("int"))
+    work = ["author", "work_title", "priority"]
+    rank = F.row_number().over(W.partitionBy(*work).orderBy(F.coalesce("often", F.lit(0)), "pos"))
+    rare = counted.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - needed + 1) & F.col("often").isNotNull()).select(*work, "known")
+    few = met.join(rare, (F.col("author_key") == F.col("author")) & (met["known"] == rare["known"])).select("qid", *work).distinct()
+    hits = few.join(titled_, work).join(met.select("qid", "known"), ["qid", "known"]).groupBy("qid", *work, "n").agg(F.count_distinct("pos").alias("hits"))
+    rows = hits.withColumn("fraction", F.col("hits") / F.col("n")).where((F.col("hits") >= MIN_HITS) & (F.col("fraction") >= MIN_FRACTION))
     best = rows.groupBy("qid").agg(F.min(F.struct((-F.col("fraction")).alias("f"), "priority", "work_title")).alias("b"))
     return best.select("qid", F.col("b.work_title").alias("title"), (-F.col("b.f")).alias("fraction"))
 
@@ -128,10 +201,17 @@ def has_trigger(lowered: Column, triggers: Column) -> Column:
 
 def triggered_groups(routed: DataFrame, alias_groups: DataFrame) -> DataFrame:
     """(qid, pos, role, name, terms) of the author's alias groups for the question's mode that have a trigger in it."""
-    g = dim(alias_groups.select(F.col("author_key").alias("g_author"), F.col("mode").alias("g_mode"), "pos", "role", "name", "triggers", "terms"))
+    # inside of a trigger and at its ends runs of letters and digits end where they do in the question
+    g = alias_groups.select(F.col("author_key").alias("author"), F.col("mode").alias("g_mode"), "pos", "role", "name", "terms", F.explode("triggers").alias("trigger"))
+    g = g.withColumn("anchors", F.regexp_extract_all(F.lower("trigger"), F.lit("([a-z0-9]+)"), F.lit(1)))
+    lowered = routed.select("qid", "author_key", F.lower("question").alias("lowered"))
+    asked = lowered.select("qid", "author_key", F.explode_outer(F.array_distinct(F.regexp_extract_all("lowered", F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
+    # a question without letters may still hold a trigger without them
+    near = met_by_anchor(asked.withColumn("word", F.coalesce("word", F.lit(""))), g)
     mode = F.when(F.col("scope") == "life_process", "life_process").otherwise("literature")
-    hits = routed.select("qid", "author_key", mode.alias("q_mode"), F.lower("question").alias("lowered")).join(g, (F.col("author_key") == F.col("g_author")) & (F.col("g_mode").isNull() | (F.col("g_mode") == F.col("q_mode"))))
-    return hits.where(has_trigger(F.col("lowered"), F.col("triggers"))).select("qid", "pos", "role", "name", "terms")
+    hits = near.drop("author_key").join(routed.select("qid", mode.alias("q_mode"), F.lower("question").alias("lowered")), "qid")
+    hits = hits.where((F.col("g_mode").isNull() | (F.col("g_mode") == F.col("q_mode"))) & has_trigger(F.col("lowered"), F.array("trigger")))
+    return hits.select("qid", "pos", "role", "name", "terms").distinct()
 
 
 def alias_terms(fired: DataFrame) -> DataFrame:
