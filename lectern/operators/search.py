@@ -1,8 +1,8 @@
 """Searching chunks: filters, nearest neighbours, extra channels, fusion and the relevance gate.
 
-Many questions are answered in one plan. Questions are a stated set, broadcast when its size has been checked; chunks
-are scanned once, with metadata filters ahead of distances, and each task passes on only its best k rows a question
-and channel. Distances are squared Euclidean. Ties fall by work, section and chunk.
+Any number of questions is answered in one plan: blocks of questions meet blocks of chunks in a grid of groups, where
+distances are a matrix product, metadata and terms are looked up once a block, and only the best k rows a question and
+channel are passed on. Distances are squared Euclidean. Ties fall by work, section and chunk.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,56 +24,67 @@ TOP_K, TOP_K_WORK, TOP_K_CHAPTER, ALIAS_K, KEYWORD_K, MERGED, NEIGHBOUR_HITS, KE
 MAX_DISTANCE, MAX_DISTANCE_SCOPED = 1.3, 2.0
 # End of fixed values.
 CHUNK_ORDER = ("work_title", "section_title", "section_index", "chunk_index")
-#: Questions of which one matrix is sent to the tasks at once.
-QUESTIONS_AT_ONCE = 2_000
+#: Questions and chunks or vectors of a block, about.
+QUESTIONS_AT_ONCE, ROWS_AT_ONCE = 2_000, 4_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def _local_best(ids: list[int], matrix: np.ndarray, k: int):
-    norms = (matrix**2).sum(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            d = np.maximum(norms[:, None] + (x**2).sum(1)[None, :] - 2 * matrix @ x.T, 0)
-            # one place more than k, so that rounding in the product can't cut a tie wrongly
-            near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]
-            for i in range(len(ids)):
-                cut = d[i, near[i]].max() + 1e-9
-                some = np.flatnonzero(d[i] <= cut) if d.shape[1] > k else np.arange(d.shape[1])
-                exact = ((x[some] - matrix[i]) ** 2).sum(1)
-                dist, name = np.concatenate([best[i][0], exact]), np.concatenate([best[i][1], own[some]])
-                order = np.lexsort((name, np.round(dist, 12)))[:k]
-                best[i] = dist[order], name[order]
-        for i, (dist, name) in enumerate(best):
-            if len(dist):
-                yield pa.record_batch({"qid": pa.array([ids[i]] * len(dist), pa.int64()), "vec_id": name, "distance": dist})
+def grid(questions: DataFrame, rows: DataFrame, by: list[str], blocks: tuple[int, int]) -> tuple[GroupedData, GroupedData]:
+    """Both sides dealt to blocks (of questions by qid, of rows at random) and grouped so that every block of one meets every block of the other, within equal values of `by`.
+
+    Either side is sent as often as the other has blocks; nothing passes through the driver, and a group holds two blocks.
+    """
+    asked, held = blocks
+    each = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)])) if n <= 100 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = questions.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(asked)).cast("int")).withColumn("rb", each(held))
+    right = rows.withColumn("rb", F.pmod(F.xxhash64(*rows.columns), F.lit(held)).cast("int")).withColumn("qb", each(asked))
+    return left.groupBy(*by, "qb", "rb"), right.groupBy(*by, "qb", "rb")
+
+
+def blocks_of(questions: DataFrame, rows: DataFrame) -> tuple[int, int]:
+    return max(1, -(-questions.count() // QUESTIONS_AT_ONCE)), max(1, -(-rows.count() // ROWS_AT_ONCE))
+
+
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _rough(q: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first question, rounded squared distances to all rows of x) of stretches of questions."""
+    norms = (x**2).sum(1)
+    for lo in range(0, len(q), 256):
+        part = q[lo : lo + 256]
+        yield lo, np.maximum((part**2).sum(1)[:, None] + norms[None, :] - 2 * part @ x.T, 0)
+
+
+def _block_best(k: int):
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and rows.num_rows:
+            own, qids = rows.column("vec_id").to_numpy(), asked.column("qid").to_numpy()
+            x, q = _matrix(rows.column("embedding"), len(own)), _matrix(asked.column("qvec"), len(qids))
+            for lo, d in _rough(q, x):
+                # what is as near as the k-th but for rounding of the product is compared exactly
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 if d.shape[1] > k else np.full(len(d), np.inf)
+                for i in range(len(d)):
+                    some = np.flatnonzero(d[i] <= edge[i])
+                    exact = ((x[some] - q[lo + i]) ** 2).sum(1)
+                    first = np.lexsort((own[some], np.round(exact, 12)))[:k]
+                    out.append((np.full(len(first), qids[lo + i]), own[some[first]], exact[first]))
+        return pa.table([np.concatenate([o[j] for o in out]) for j in range(3)], names=["qid", "vec_id", "distance"])
 
     return run
 
 
 def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, vec_id, distance, rank): the k nearest vectors (vec_id, embedding) of each question (qid, qvec), exactly, by matrix products over all vectors."""
-    rows = questions.select("qid", "qvec").orderBy("qid").toLocalIterator(prefetchPartitions=False)
-    found, block = None, []
-
-    def search(block: list) -> DataFrame:
-        matrix = np.array([r["qvec"] for r in block], np.float64)
-        v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-        return v.mapInArrow(_local_best([r["qid"] for r in block], matrix, k), "qid long, vec_id long, distance double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUESTIONS_AT_ONCE:
-            found, block = (search(block) if found is None else found.union(search(block))), []
-    if block or found is None:
-        part = search(block) if block else vectors.sparkSession.createDataFrame([], "qid long, vec_id long, distance double")
-        found = part if found is None else found.union(part)
+    """(qid, vec_id, distance, rank): the k nearest vectors (vec_id, embedding) of each question (qid, qvec), exactly, by matrix products of blocks."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    q = questions.select("qid", "qvec")
+    left, right = grid(q, v, [], blocks_of(q, v))
+    found = left.cogroup(right).applyInArrow(_block_best(k), "qid long, vec_id long, distance double")
     return best_per(found, ["qid"], [F.round("distance", 12), "vec_id"], k)
 
 
@@ -158,10 +169,8 @@ HIT = "qid long, channel int, title_pos int, tier int, k int, distance double"
 class _Asked:
     """Questions of a block, with what tells which chunks may answer them."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list[dict]):
         self.rows = rows
-        self.matrix = np.array([r["qvec"] for r in rows], np.float64)
-        self.norms = (self.matrix**2).sum(1)
         self.terms = {t for r in rows for t in [*(r["entity_terms"] or []), *(r["variants"] or []), *(t for g in r["topic_groups"] or [] for t in g)]}
         self.seen: dict[tuple, np.ndarray] = {}
 
@@ -171,34 +180,29 @@ class _Asked:
             self.seen[key] = np.array([test(r) for r in self.rows], bool)
         return self.seen[key]
 
-    def eligible(self, author, mode, work, section) -> np.ndarray:
-        """Questions whose author, mode, named works, window and chapter a chunk of these fits."""
-        home = self._by("home", (author, mode), lambda r: r["author_key"] == author and mode == ("life_process" if r["scope"] == "life_process" else "literature"))
+    def eligible(self, work, section) -> np.ndarray:
+        """Questions whose named works, window and chapter a chunk of these fits."""
         named = self._by("work", work, lambda r: (r["scope"] != "specific_work" or work in (r["work_titles"] or [])) and (r["only_works"] is None or work in r["only_works"]))
-        return home & named & self._by("section", section, lambda r: r["chapters"] is None or section in r["chapters"])
-
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        # rounded, so that equal vectors are equally far whatever batch they are in
-        return np.round(np.maximum(self.norms[None, :] + (x**2).sum(1)[:, None] - 2 * x @ self.matrix.T, 0), 12)
+        return named & self._by("section", section, lambda r: r["chapters"] is None or section in r["chapters"])
 
 
-def _within(parts: list, width: int) -> np.ndarray:
-    out = np.zeros(width, bool)
-    for p in parts:
-        out |= p
-    return out
-
-
-def _lists(r, works: np.ndarray, held: dict[str, np.ndarray], n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | int, int]]:
-    """(channel, title_pos, which chunks, tier, k) of the lists that a question is answered from."""
+def _lists(r: dict, works: np.ndarray, held: dict[str, np.ndarray], n: int) -> Iterator[tuple[int, int, np.ndarray | None, np.ndarray | None, int]]:
+    """(channel, title_pos, which chunks (None: all), tier (None: one), k) of the lists that a question is answered from."""
     titles = r["work_titles"] or []
     if r["scope"] == "specific_work" and len(titles) > 1:
         for i, t in enumerate(titles):
             if t not in titles[:i]:
-                yield 4, i + 1, works == t, 0, max(2, -(-r["top_k"] // len(titles)))
+                yield 4, i + 1, works == t, None, max(2, -(-r["top_k"] // len(titles)))
     else:
-        yield 4, 0, np.ones(n, bool), 0, r["top_k"]
-    having = lambda terms: _within([held[t] for t in terms or [] if t in held], n)
+        yield 4, 0, None, None, r["top_k"]
+
+    def having(terms: list[str] | None) -> np.ndarray:
+        out = np.zeros(n, bool)
+        for t in terms or []:
+            if t in held:
+                out |= held[t]
+        return out
+
     if r["entity_terms"]:
         tier, going = np.zeros(n, np.int64), np.ones(n, bool)
         for g in r["topic_groups"] or []:
@@ -206,77 +210,72 @@ def _lists(r, works: np.ndarray, held: dict[str, np.ndarray], n: int) -> Iterato
             tier -= going
         yield 1, 0, having(r["entity_terms"]), tier, ALIAS_K
     if r["variants"]:
-        yield 2, 0, having(r["variants"]), 0, KEYWORD_K
-
-
-def _best_of(asked: _Asked):
-    """Each task's best chunks by question, channel and title; only what names them, and the distance."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = term_finder(asked.terms)
-        best: dict[tuple, list[tuple]] = {}
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                n = batch.num_rows
-                keys = list(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True))
-                fits = np.array([asked.eligible(*k[:4]) for k in keys])
-                if not fits.any():
+        yield 2, 0, having(r["variants"]), None, KEYWORD_K
+
+
+def _ranks(columns: list[list]) -> np.ndarray:
+    """The place of each row in the order of these columns, nulls first; equal rows share theirs."""
+    coded = []
+    for c in columns:
+        order = {v: i for i, v in enumerate(sorted({x for x in c if x is not None}))}
+        coded.append([-1 if x is None else order[x] for x in c])
+    _, rank = np.unique(np.array(coded).T, axis=0, return_inverse=True)
+    return rank.reshape(-1)
+
+
+def _block_channels(asked_rows: pa.Table, rows: pa.Table) -> pa.Table:
+    """The best chunks of a block by question, channel and title; only what names them, and the distance."""
+    out: list[tuple] = []
+    if asked_rows.num_rows and rows.num_rows:
+        asked, n = _Asked(asked_rows.drop_columns(["qvec"]).to_pylist()), rows.num_rows
+        keys = [rows.column(c).to_pylist() for c in CHUNK_KEY]
+        works, place = np.array(keys[2], object), _ranks(keys[2:])
+        places, kind = np.unique(np.array([f"{w!r} {s!r}" for w, s in zip(keys[2], keys[3], strict=True)], object), return_inverse=True)
+        first = {k: i for i, k in reversed(list(enumerate(kind.tolist())))}
+        fits = np.array([asked.eligible(keys[2][first[k]], keys[3][first[k]]) for k in range(len(places))])
+        held: dict[str, np.ndarray] = {}
+        if asked.terms:
+            find = term_finder(asked.terms)
+            for i, t in enumerate(rows.column("page_content").to_pylist()):
+                for found in find(t or ""):
+                    held.setdefault(found, np.zeros(n, bool))[i] = True
+        x, q = _matrix(rows.column("embedding"), n), _matrix(asked_rows.column("qvec"), asked_rows.num_rows)
+        for lo, rough in _rough(q, x):
+            # rounded, so that equal vectors are equally far whatever block they are in
+            for j, d in enumerate(np.round(rough, 12), lo):
+                mine = fits[:, j]
+                if not mine.any():
                     continue
-                held: dict[str, np.ndarray] = {}
-                if asked.terms:
-                    for i, t in enumerate(batch.column(6).to_pylist()):
-                        for found in find(t or ""):
-                            held.setdefault(found, np.zeros(n, bool))[i] = True
-                d = asked.distances(batch.column(7).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
-                works = np.array([k[2] for k in keys], object)
-                for j in np.flatnonzero(fits.any(0)).tolist():
-                    for channel, pos, which, tier, k in _lists(asked.rows[j], works, held, n):
-                        some = np.flatnonzero(which & fits[:, j])
-                        if not len(some):
-                            continue
-                        first = np.lexsort((d[some, j], (tier[some] if isinstance(tier, np.ndarray) else np.zeros(len(some)))))
-                        last = some[first[min(k, len(some)) - 1]]
-                        tiers = tier if isinstance(tier, np.ndarray) else np.zeros(n, np.int64)
-                        near = some[(tiers[some] < tiers[last]) | (tiers[some] == tiers[last]) & (d[some, j] <= d[last, j])]
-                        rows = [(int(tiers[i]), float(d[i, j]), keys[i], k) for i in near.tolist()]
-                        best[j, channel, pos] = sorted(best.get((j, channel, pos), []) + rows, key=_order)[:k]
-        for (j, channel, pos), rows in best.items():
-            head = [[asked.rows[j]["qid"]] * len(rows), [channel] * len(rows), [pos] * len(rows), [r[0] for r in rows], [r[3] for r in rows], [r[1] for r in rows]]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            named = [pa.array([r[2][i] for r in rows], t) for i, t in enumerate((pa.string(),) * 4 + (pa.int64(),) * 2)]
-            yield pa.record_batch([*(pa.array(h, t) for h, t in zip(head, kinds, strict=True)), *named], names=["qid", "channel", "title_pos", "tier", "k", "distance", *CHUNK_KEY])
-
-    return run
-
-
-def _order(row: tuple) -> tuple:
-    tier, distance, key, _ = row
-    return tier, distance, *((x is not None, x or 0) if i > 1 else (x is not None, x or "") for i, x in enumerate(key[2:]))
+                fitting = None if mine.all() else mine[kind]
+                for channel, pos, which, tier, k in _lists(asked.rows[j], works, held, n):
+                    both = which if fitting is None else fitting if which is None else which & fitting
+                    some = np.arange(n) if both is None else np.flatnonzero(both)
+                    if len(some) > k and tier is None:
+                        some = some[d[some] <= np.partition(d[some], k - 1)[k - 1]]
+                    best = some[np.lexsort((place[some], d[some], np.zeros(len(some)) if tier is None else tier[some]))[:k]]
+                    out += [(j, channel, pos, 0 if tier is None else int(tier[i]), k, float(d[i]), i) for i in best.tolist()]
+    at = [[o[i] for o in out] for i in range(7)]
+    named = [rows.column(c).take(pa.array(at[6], pa.int64())) for c in CHUNK_KEY]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    head = [asked_rows.column("qid").take(pa.array(at[0], pa.int64())), *(pa.array(c, t) for c, t in zip(at[1:6], kinds, strict=True))]
+    return pa.table([*head, *named], names=["qid", "channel", "title_pos", "tier", "k", "distance", *CHUNK_KEY])
 
 
 def _channels(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel. Questions are taken in blocks of bounded size.
+    """Best hits by channel: 1 alias, 2 keyword, 4 normal; with pos, the place within the channel.
 
-    Every task passes on the best of its chunks by name; texts are joined to what is left of them.
+    Blocks of questions meet blocks of the chunks of their author and mode; every group passes on its best chunks by name, and
+    texts are joined to what is left of them.
     """
-    found, block = None, []
     name = [F.col(c).cast("long") if c.endswith("index") else F.col(c) for c in CHUNK_KEY]
     vectors = chunks.where("embedding IS NOT NULL").select(*[x.alias(c) for x, c in zip(name, CHUNK_KEY, strict=True)], "page_content", "embedding")
     schema = HIT + "".join(f", {c} {'long' if c.endswith('index') else 'string'}" for c in CHUNK_KEY)
-
-    def search(block: list) -> DataFrame:
-        return vectors.mapInArrow(_best_of(_Asked(block)), schema)
-
     columns = ["qid", "author_key", "scope", "work_titles", "only_works", "top_k", "qvec", "entity_terms", "topic_groups", "variants"]
     chapters = F.when(F.col("chapter").isNotNull(), chapter_variants(F.col("chapter"))).alias("chapters")
-    for r in questions.select(*columns, chapters).toLocalIterator():
-        block.append(r)
-        if len(block) == QUESTIONS_AT_ONCE:
-            found, block = (search(block) if found is None else found.union(search(block))), []
-    if block:
-        found = search(block) if found is None else found.union(search(block))
-    if found is None:
-        found = questions.sparkSession.createDataFrame([], schema)
+    mode = F.when(F.col("scope") == "life_process", "life_process").otherwise("literature").alias("mode")
+    asked = questions.select(*columns, mode, chapters)
+    left, right = grid(asked, vectors, ["author_key", "mode"], blocks_of(asked, vectors))
+    found = left.cogroup(right).applyInArrow(_block_channels, schema)
     best = best_per(found, ["qid", "channel", "title_pos"], ["tier", "distance", *CHUNK_ORDER], max(TOP_K_CHAPTER, ALIAS_K)).where("rank <= k")
     pos = F.row_number().over(W.partitionBy("qid", "channel").orderBy("rank", "title_pos"))
     best = settle(best.withColumn("pos", pos).select("qid", "channel", "pos", "distance", *[F.col(c).alias(f"h_{c}") for c in CHUNK_KEY]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, chunks, dedup, routing, search, vector_index
+from lectern.operators import answers, chunks, dedup, routing, search, text_index, vector_index
 from lectern.operators import sections as S
 from lectern.plans import jobs, views
 from lectern.plans.views import table
@@ -279,6 +279,15 @@ def contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), terms).select("doc_id")
 
 
+@query(SQL["contains_any"])
+def contains_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`contains_any` by an index of all documents."""
+    d, path = table(spark, sf_dir, "documents"), shared_folder(spark, "grams")
+    text_index.build(d, path)
+    found = text_index.search(spark, path, d, table(spark, sf_dir, "benchmark").select(F.col("text").alias("term")))
+    return kept(found.select(F.col("id").alias("doc_id")).distinct(), path)
+
+
 @query("SELECT label AS n_label, CASE WHEN vec_id % 5 = 0 THEN 'CHAPTER I' ELSE 'Chapter 2.' END AS section_title, vec_id FROM embeddings WHERE vec_id % 5 < 2 AND label IN (2, 4)")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lookup(views.chunks(spark, sf_dir), author_key="ada", mode="literature", work_title=["w2", "w4"], section_title=["CHAPTER I", "Chapter 2."])
@@ -702,6 +711,16 @@ def phrase_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep(table(spark, sf_dir, "documents"), "ingha", "text", ("doc_id",)).select("doc_id", "context")
 
 
+@query(SQL["phrase_grep"])
+def grep_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`phrase_grep` by an index of all documents."""
+    d, path = table(spark, sf_dir, "documents"), shared_folder(spark, "grams")
+    text_index.build(d, path)
+    found = text_index.search(spark, path, d, spark.createDataFrame([("ingha",)], "term string"))
+    few = d.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return kept(search.grep(few, "ingha", "text", ("doc_id",)).select("doc_id", "context"), path)
+
+
 @query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE label % 2 = 0")
 def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection written to the shared folder and opened again, of one mode, whose files alone are read."""

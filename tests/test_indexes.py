@@ -1,12 +1,13 @@
 """Indexes of vectors and texts against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import search, vector_index
+from lectern.operators import search, text_index, vector_index
 
 
 def vectors(n: int, dims: int, seed: int = 1, groups: int = 0) -> np.ndarray:
@@ -90,3 +91,56 @@ def test_nothing_to_index(spark, tmp_path):
     assert vector_index.search(spark, str(tmp_path / "i"), asked_of(v), 3).count() == 0
     vector_index.build(v, str(tmp_path / "j"))
     assert vector_index.search(spark, str(tmp_path / "j"), asked_of(v), 8).count() == 3
+
+
+# Texts
+
+
+def letters(n: int, seed: int) -> list[tuple]:
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé中 ") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    rows = [(i * 7 - 3, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 50, 400])))) for i in range(n)]
+    return [*rows, (9001, None), (None, "abc needle abc"), (9002, ""), (9003, "ab"), (9004, "x" * 1022 + "needle" + "y" * 3000 + "needle"), (9005, "the same id"), (9005, "needle twice"), (9006, "a" * 5000)]
+
+
+TERMS = ["needle", "xneed", "y" * 1500, "needle" + "y" * 3000 + "needle", "a", "é", "中", "ab", "é中", "zzz", "needles", "", None, "a" * 4999, "e id", "eb ", "bc d"]
+
+
+@pytest.mark.parametrize("few", [1, 4])
+def test_every_occurrence_is_found(spark, tmp_path, monkeypatch, few):
+    rows = letters(200, 2)
+    texts = [t for _, t in rows if t]
+    rng = random.Random(few)
+    terms = TERMS + [t[a : a + n] for t in rng.choices(texts, k=60) for n in [rng.choice([3, 4, 9, 40])] for a in [rng.randrange(len(t))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    text_index.build(docs, str(tmp_path / "i"))
+    got = text_index.search(spark, str(tmp_path / "i"), docs, spark.createDataFrame([(t,) for t in terms], "term string"), few=few)
+    found = [(r.term, r.id) for r in got.collect()]
+    want = {(t, i) for t in terms if t for i, x in rows if i is not None and x is not None and t in x}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 200
+
+
+def test_batches_and_pages(spark, tmp_path):
+    """Texts of many pages in many batches; few candidates are not hits."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([10, 900, 30_000, 150_000])))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "i")
+    text_index.build(docs, path)
+    terms = [rows[i][1][k : k + 12] for i in (3, 40, 80) for k in (0, 500, 1020, 29_990) if len(rows[i][1]) > k + 12]
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = {(t, i) for t in terms for i, x in rows if t in x}
+    assert {(r.term, r.id) for r in text_index.search(spark, path, docs, asked).collect()} == want
+    assert text_index.candidates(spark, path, asked).count() < 3 * len(want) + 20
+    # a rare term reads its grams' buckets alone
+    one = asked.where(F.col("term") == terms[0])
+    picked = [r.gram for r in text_index.rarest(spark, path, one).collect()]
+    plan = text_index.candidates(spark, path, one)._jdf.queryExecution().simpleString()
+    assert len(picked) == text_index.FEW and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN \(|= )", plan)
+
+
+def test_index_of_no_texts(spark, tmp_path):
+    none = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    text_index.build(none, str(tmp_path / "i"))
+    asked = spark.createDataFrame([("needle",), ("x",)], "term string")
+    assert text_index.search(spark, str(tmp_path / "i"), none, asked).count() == 0
