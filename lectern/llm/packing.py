@@ -1,6 +1,6 @@
 """Packing documents into sequences of a fixed number of tokens, as few as a grouping genetic algorithm finds.
 
-1. Documents become token ids (the coder of `bpe`, chunks between white space remembered as packed ids) with an end mark.
+1. Documents become token ids (by the coder of `bpe`, pre-tokens remembered as packed ids) with an end mark.
    Only longer ones are cut, into pieces of a whole sequence; the last piece may be shorter. Rows carry lengths, not ids.
 2. Whole pieces are sequences. The others are dealt at random to shards of some SHARD pieces, so a shard is bounded whatever
    the corpus, and all shards have its mix of lengths.
@@ -22,6 +22,8 @@ an empty table gives an empty result; columns other than id and text are not rea
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,33 +48,62 @@ POPULATION, CHILDREN, ELITE = 6, 8, 2
 WELL, FREED = 0.99, 16
 #: Most pieces of a bin of which pairs are exchanged.
 MEMBERS = 8
-#: Bytes of chunks and ids that a worker remembers, with ENTRY bytes for each one's place.
-CACHE_BYTES, ENTRY = 96 << 20, 220
+#: Bytes of a generation of pre-tokens and ids that a worker remembers, with ENTRY bytes for each one's place.
+CACHE_BYTES, ENTRY = 64 << 20, 200
+
+
+def _pattern() -> re.Pattern:
+    """The tokenizer's pattern for characters below U+0300, in the terms of `re`, which is faster."""
+    of = lambda kind: "".join(re.escape(c) for c in map(chr, range(ord(bpe.LATIN_END))) if regex.match(kind, c))
+    letters, digits, white = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+")
+
+
+PLAIN = _pattern()
+#: Characters whose class the libraries' tables may see otherwise.
+FAR = re.compile(f"[\x1c-\x1f{bpe.LATIN_END}-\U0010ffff]")
 
 
 class PackedIds:
-    """Ids of texts as little-endian 32-bit numbers."""
+    """Ids of texts as little-endian 32-bit numbers; each pre-token is encoded once and kept until two generations of them have passed."""
 
     def __init__(self, coder: bpe.Bpe):
-        self.coder, self.bytes = coder, 0
-        self.known: dict[str, bytes] = {}
+        self.coder, self.bytes, self.young = coder, 0, {}
+        self.old: dict[str, bytes] = {}
+        self.fixed = {t: np.array([i], "<u4").tobytes() for t, i in coder.special.items()}
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens, and special tokens as they are."""
+        coder = self.coder
+        if any(s in text for s in coder.special):
+            parts = coder.cuts.split(text)
+            return [x for p in parts for x in ([p] if p in coder.special else self.split(p))]
+        if not FAR.search(text):
+            low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+            if not FAR.search(low):
+                return PLAIN.findall(low)
+        return [x.decode() for c in bpe.split_white(text) for x in coder.pre_tokens(c)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        special, cuts = self.coder.special, self.coder.cuts
-        parts = [cuts.split(t) if cuts and any(s in t for s in special) else (t,) for t in texts]
-        chunks = [[c for p in ps for c in ([p] if p in special else bpe.split_white(p))] for ps in parts]
+        words = [self.split(t) for t in texts]
         if self.bytes > CACHE_BYTES:
-            self.known, self.bytes = {}, 0
-        new = list({c for cs in chunks for c in cs} - self.known.keys())
-        for lo in range(0, len(new), bpe.BATCH):
-            part = new[lo : lo + bpe.BATCH]
-            plain = self.coder.encode_chunks([c for c in part if c not in special])
-            made = iter(plain)
-            for c in part:
-                ids = [special[c]] if c in special else [int(i) for i in next(made).split()]
-                self.known[c] = np.array(ids, "<u4").tobytes()
-                self.bytes += len(self.known[c]) + 4 * len(c) + ENTRY
-        return [b"".join(map(self.known.__getitem__, cs)) for cs in chunks]
+            self.old, self.young, self.bytes = self.young, {}, 0
+        new = {w for ws in words for w in ws} - self.young.keys()
+        again = new & self.old.keys()
+        for w in again:
+            self._keep(w, self.old[w])
+        new = list(new - again)
+        for lo in range(0, len(new), 4 * bpe.BATCH):
+            part = [w for w in new[lo : lo + 4 * bpe.BATCH] if w not in self.fixed]
+            for w, ids in zip(part, self.coder.merge([w.encode() for w in part]), strict=True):
+                self._keep(w, np.array(ids, "<u4").tobytes())
+        for w in self.fixed.keys() & set(new):
+            self._keep(w, self.fixed[w])
+        return [b"".join(map(self.young.__getitem__, ws)) for ws in words]
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.bytes += len(ids) + len(word) + ENTRY
 
 
 @lru_cache(1)

@@ -136,6 +136,17 @@ def test_odd_texts(spark):
     assert valid(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), PATH).collect(), texts) <= 7
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aB'tsé1 .\t\n\x1c\x85\xa0\u0130ß\u0301\u4e2d<|endoftx>", max_size=60), min_size=1, max_size=8))
+def test_packed_ids_are_the_librarys(texts):
+    library = Tokenizer.from_file(PATH)
+    packed = packing.PackedIds(packing.bpe.load(PATH))
+    for _ in range(2):  # the second time from what is remembered
+        got = [np.frombuffer(x, "<u4").tolist() for x in packed(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        packed.bytes = packing.CACHE_BYTES + 1
+
+
 def exact_bins(lengths: list[int], size: int) -> int:
     """Fewest bins, by trying all ways."""
     lengths = sorted(lengths, reverse=True)
