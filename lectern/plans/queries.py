@@ -12,6 +12,7 @@ from lectern.operators import answers, chunks, dedup, routing, search, text_inde
 from lectern.operators import sections as S
 from lectern.plans import jobs, views
 from lectern.plans.views import table
+from lectern.sources import collection
 from lectern.sources import conversations as C
 from lectern.sources.catalog import dim
 from lectern.sources.files import kept, lookup, read_jsonl, shared_folder, write_jsonl, write_vectors
@@ -731,6 +732,21 @@ def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(found.select("vec_id", F.substring("work_title", 2, 9).cast("int").alias("label"), F.round(total, 4).alias("total")), path)
 
 
+@query("""SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) * CASE WHEN vec_id % 7 = 0 THEN -1 ELSE 1 END, 4) AS total
+FROM embeddings WHERE vec_id % 11 <> 5 OR vec_id % 7 = 0""")
+def vector_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection that grows by three batches, one of them sent twice, then has every seventh chunk replaced and every eleventh dropped, and is compacted."""
+    path, c = shared_folder(spark, "collection"), dedup.settle(views.chunks(spark, sf_dir))
+    for i in (0, 1, 2, 1):
+        collection.append(c.where(F.col("vec_id") % 3 == i), path, f"batch {i}")
+    turned = c.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    collection.append(turned, path, "turned", gone=c.where("vec_id % 11 = 5 AND vec_id % 7 <> 0"))
+    collection.compact(spark, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    found = collection.read(spark, path).select("vec_id", F.substring("work_title", 2, 9).cast("int").alias("label"), F.round(total, 4).alias("total"))
+    return kept(found, path)
+
+
 @query("SELECT doc_id AS seq, lang AS mode, source AS work_title, md5(text) AS text FROM documents")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections written as JSON lines to the shared folder and read again."""
