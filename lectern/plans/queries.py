@@ -16,6 +16,7 @@ from lectern.sources import collection
 from lectern.sources import conversations as C
 from lectern.sources.catalog import dim
 from lectern.sources.files import kept, lookup, read_jsonl, shared_folder, write_jsonl, write_vectors
+from lectern.streaming import log
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -695,6 +696,18 @@ def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.list_conversations(*_log(spark, sf_dir)).select("id", "title", F.unix_seconds("updated_at").alias("updated_at"))
 
 
+@query(SQL["conversation_list"])
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`conversation_list` by a stream of all messages, file by file, with state."""
+    path, name = shared_folder(spark, "log"), f"{sf_dir}/conversations.parquet"
+    # a pattern, since a stream reads folders and patterns, and the table may be a file
+    turns = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("maxFilesPerTrigger", 4).parquet(f"{name[:-1]}[t]")
+    at = F.timestamp_seconds(F.lit(1700000000) + F.col("conv_id") * 60 + F.col("turn")).alias("at")
+    messages = turns.select(F.col("conv_id").alias("conversation_id"), F.col("turn").cast("long").alias("seq"), F.col("text").alias("content"), at, F.lit(False).alias("deleted"))
+    log.start(messages, f"{path}/list", f"{path}/checkpoint", delay="3650 days").awaitTermination()
+    return kept(log.listed(spark, f"{path}/list").select("id", "title", F.unix_seconds("updated_at").alias("updated_at")), path)
+
+
 @query("SELECT conv_id AS conversation_id, conv_id * 1000 + turn AS id, role, md5(text) AS content, '[]' AS sources_json FROM conversations WHERE conv_id % 3 <> 0")
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks, messages = _log(spark, sf_dir)

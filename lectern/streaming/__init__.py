@@ -1,7 +1,8 @@
-"""Streams: the engine has no operator of its own that needs state over time.
+"""Streams.
 
 The column expressions of lectern.functions and the row-wise operators (cleaning, splitting, chunking, routing) keep
-no state, so they can be applied to a streaming DataFrame as they are; `clean_stream` does so for text files.
+no state, so they can be applied to a streaming DataFrame as they are; `clean_stream` does so for text files. The
+conversation log keeps state: `lectern.streaming.log`.
 """
 
 from __future__ import annotations
