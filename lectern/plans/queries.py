@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -102,10 +103,10 @@ def value_sql(t: str) -> str:
     return f"list_sum(list_transform(range(1, length({t}) + 1), lambda i: CASE WHEN i < length({t}) AND {of('CAST(i + 1 AS BIGINT)')} > {of('CAST(i AS BIGINT)')} THEN -{of('CAST(i AS BIGINT)')} ELSE {of('CAST(i AS BIGINT)')} END))"
 
 
-@query(f"SELECT n, roman, n AS back FROM (SELECT CAST(n AS INTEGER) AS n, {ROMAN_SQL} AS roman FROM range(1, 200) t(n))")
+@query(f"SELECT doc_id, roman, n AS back FROM (SELECT doc_id, n, {ROMAN_SQL} AS roman FROM (SELECT doc_id, CAST(doc_id % 199 + 1 AS INTEGER) AS n FROM documents))")
 def roman_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(1, 200).select(F.col("id").cast("int").alias("n"), T.to_roman(F.col("id")).alias("roman"))
-    return d.select("n", "roman", T.roman_value(F.col("roman")).alias("back"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.to_roman(F.col("doc_id") % 199 + 1).alias("roman"))
+    return d.select("doc_id", "roman", T.roman_value(F.col("roman")).alias("back"))
 
 
 @query(rf"""
@@ -134,6 +135,24 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), "section_title", md5("text").alias("body"))
 
 
+HEADS = ["THE JUMPING FROG", "FROM MY LIFE.--III.", "XLV. LETTERS OF 1906"]
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, 0 AS pos, 'THE JUMPING FROG' AS section_title, low AS body FROM t UNION ALL SELECT doc_id, 1, 'FROM MY LIFE.--III.', low || 'y' FROM t
+  UNION ALL SELECT doc_id, 2, 'XLV. LETTERS OF 1906', low || chr(10) || 'THE JUMPING FROG' || chr(10) || 'a name, no heading' FROM t)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, section_title, md5(regexp_replace(body, '^\s+|\s+$', '', 'g')) AS body
+FROM e WHERE regexp_replace(body, '^\s+|\s+$', '', 'g') <> ''""")
+def split_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of the other three styles between whole texts; a line of capitals that no blank lines set apart is none."""
+    low = F.lower("text")
+    parts = [F.lit(f"front\n\n{HEADS[0]}\n\n"), low, F.lit(f"\n{HEADS[1]}\n"), low, F.lit(f"y\n{HEADS[2]}\n"), low, F.lit(f"\n{HEADS[0]}\na name, no heading")]
+    out = S.split_works(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(*parts).alias("text")))
+    at = F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1
+    return out.select("doc_id", at.alias("pos"), "section_title", md5("text").alias("body"))
+
+
 STUBS = """
 t AS (SELECT doc_id, source, doc_id % 9 AS title, text FROM documents UNION ALL
   SELECT doc_id + 1000000000000, source, doc_id % 9, left(text, 60) FROM documents WHERE doc_id % 2 = 0),
@@ -212,13 +231,43 @@ def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chunks and vectors
 
 
-@query()
+#: Pieces by the coarsest separator that cuts them, packed piece by piece.
+CHUNKED = r"""parts AS (
+  SELECT doc_id, [0] AS path, coalesce(text, '') AS piece, 1 AS level FROM documents
+  UNION ALL
+  SELECT doc_id, list_append(path, i), part, sp + 1 FROM (
+    SELECT doc_id, path, sp, unnest(cut) AS part, generate_subscripts(cut, 1) AS i FROM (
+      SELECT doc_id, path, sp, CASE WHEN sp = 5 THEN list_transform(range(0, length(piece), 1000), lambda k: substr(piece, CAST(k + 1 AS BIGINT), 1000))
+             ELSE list_transform(string_split(piece, sep), lambda x, k: CASE WHEN k = 1 THEN x ELSE sep || x END) END AS cut
+      FROM (SELECT *, [chr(10) || chr(10), chr(10), '. ', ' ', ''][sp] AS sep
+            FROM (SELECT *, CASE WHEN level <= 1 AND contains(piece, chr(10) || chr(10)) THEN 1 WHEN level <= 2 AND contains(piece, chr(10)) THEN 2
+                                 WHEN level <= 3 AND contains(piece, '. ') THEN 3 WHEN level <= 4 AND contains(piece, ' ') THEN 4 ELSE 5 END AS sp FROM parts WHERE length(piece) > 1000)))) WHERE part <> ''),
+sized AS (SELECT doc_id, row_number() OVER o AS i, length(piece) AS n, sum(length(piece)) OVER o AS upto FROM parts WHERE length(piece) <= 1000 WINDOW o AS (PARTITION BY doc_id ORDER BY path)),
+lists AS (SELECT doc_id, list(n ORDER BY i) AS n, list(upto ORDER BY i) AS upto FROM sized GROUP BY doc_id),
+-- piece after piece: a is the first piece held; a chunk from cut_from to before cut_to ends where the next piece has no room
+walk AS (
+  SELECT doc_id, 0 AS i, 1::BIGINT AS a, NULL::BIGINT AS cut_from, NULL::BIGINT AS cut_to, n, upto FROM lists
+  UNION ALL
+  SELECT doc_id, j, CASE WHEN ends_here THEN list_filter(range(a, j + 1), lambda x: coalesce(upto[j - 1], 0) - coalesce(upto[x - 1], 0) <= least(150, 1000 - n[j]))[1] ELSE a END,
+         CASE WHEN ends_here THEN a END, CASE WHEN ends_here THEN j END, n, upto
+  FROM (SELECT *, coalesce(upto[j - 1], 0) - coalesce(upto[a - 1], 0) + n[j] > 1000 AS ends_here FROM (SELECT *, i + 1 AS j FROM walk WHERE i < len(n)))),
+cuts AS (
+  SELECT doc_id, cut_from AS a, cut_to AS b, upto FROM walk WHERE cut_to IS NOT NULL
+  UNION ALL SELECT doc_id, a, len(n) + 1, upto FROM walk WHERE i = len(n)),
+chunks AS (
+  SELECT doc_id, a, regexp_replace(substr(text, CAST(coalesce(upto[a - 1], 0) + 1 AS BIGINT), CAST(upto[b - 1] - coalesce(upto[a - 1], 0) AS BIGINT)), '^\s+|\s+$', '', 'g') AS body
+  FROM cuts JOIN documents USING (doc_id))"""
+
+
+@query(rf"""WITH RECURSIVE {CHUNKED}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, length(body) AS chars, md5(body) AS content FROM chunks WHERE body <> ''""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.sections(spark, sf_dir).select("seq", "text")
     return chunks.chunk_sections(s).select(F.col("seq").alias("doc_id"), "chunk_index", F.length("page_content").alias("chars"), md5("page_content").alias("content"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {CHUNKED}
+SELECT 'ada' AS author_key, lang AS mode, source AS work_title, count(*) AS n FROM chunks JOIN documents USING (doc_id) WHERE body <> '' GROUP BY lang, source""")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.sections(spark, sf_dir).select("author_key", "mode", "work_title", "text")
     return jobs.counts(chunks.chunk_sections(s))
@@ -435,12 +484,13 @@ def parse_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.questions(spark, sf_dir).select("qid", routing.parse_chapter(F.col("question")).alias("chapter"))
 
 
-@query(f"""WITH b AS (SELECT CAST(n AS INTEGER) AS n, [{ROMAN_SQL}, CAST(n AS VARCHAR)] AS bases FROM range(1, 200) t(n)),
-b2 AS (SELECT * FROM b UNION ALL SELECT 0, ['THE LAST', 'the Last', 'the last'])
-SELECT n, list_transform(bases, lambda b: 'CHAPTER ' || b || ',CHAPTER ' || b || '.').array_to_string(',') || ',' || list_transform(bases, lambda b: 'Chapter ' || b || ',Chapter ' || b || '.').array_to_string(',') AS variants FROM b2""")
+@query(f"""WITH d AS (SELECT doc_id, CAST(doc_id % 200 AS INTEGER) AS n FROM documents),
+b AS (SELECT doc_id, CASE WHEN n = 0 THEN ['THE LAST', 'the Last', 'the last'] ELSE [{ROMAN_SQL}, CAST(n AS VARCHAR)] END AS bases FROM d)
+SELECT doc_id, list_transform(bases, lambda b: 'CHAPTER ' || b || ',CHAPTER ' || b || '.').array_to_string(',') || ',' || list_transform(bases, lambda b: 'Chapter ' || b || ',Chapter ' || b || '.').array_to_string(',') AS variants FROM b""")
 def chapter_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(0, 200).select(F.col("id").cast("int").alias("n"), F.when(F.col("id") == 0, "THE LAST").otherwise(T.to_roman(F.col("id"))).alias("label"))
-    return d.select("n", F.array_join(routing.chapter_variants(F.col("label")), ",").alias("variants"))
+    n = F.col("doc_id") % 200
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(n == 0, "THE LAST").otherwise(T.to_roman(n)).alias("label"))
+    return d.select("doc_id", F.array_join(routing.chapter_variants(F.col("label")), ",").alias("variants"))
 
 
 TRIGGERS = r"""groups(pos, mode, role, name, trigger, terms) AS (VALUES
@@ -476,9 +526,13 @@ def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", F.array_join("only_works", "|").alias("only_works"))
 
 
-@query("SELECT 'ada' AS author_key, w AS word FROM (SELECT DISTINCT unnest(string_split('ada merrow the lantern keeper harbour of broken glass new tales complete collected letters volume notes on a life', ' ')) AS w)")
+@query("""WITH w AS (
+  SELECT unnest(string_split('ada merrow the lantern keeper harbour of broken glass new tales complete collected letters volume notes on a life', ' ')) AS w
+  UNION ALL SELECT unnest(regexp_extract_all(lower(CASE WHEN source IS NULL THEN 'Texts without a source' ELSE 'Texts of ' || source END), '[a-z'']+')) FROM documents
+  WHERE source IS NULL OR source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4'))
+SELECT DISTINCT 'ada' AS author_key, regexp_replace(w, '[''’]s?$', '') AS word FROM w""")
 def ignore_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.ignore_words(views.works(spark)).select("author_key", F.explode("ignore").alias("word"))
+    return routing.ignore_words(views.source_works(spark, sf_dir)).select("author_key", F.explode("ignore").alias("word"))
 
 
 @query()
@@ -522,62 +576,6 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", md5(F.array_join(routing.content_words(F.col("n")), " ")).alias("words"))
 
 
-# Rules that SQL can't say: cases with what they must give, worked out by hand
-
-
-def cases_sql(cases: dict[str, str]) -> str:
-    quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(v)})' for i, v in enumerate(cases.values()))}) t(nr, found)"
-
-
-def cases(spark: SparkSession, given: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(given)), "nr int, given string")
-
-
-A, B, C_ = "a" * 600, "b" * 300, "c" * 400
-CHUNKS = {
-    "": "", "  short \n": "short",
-    # paragraphs first; two that fit go together, the separator before the second
-    f"{A}\n\n{B}\n\n{C_}": f"{A}\n\n{B}|{C_}",
-    # lines where a paragraph is too long
-    f"{A}\n{C_}\n{B}": f"{A}|{C_}\n{B}",
-    # a sentence of up to 150 characters is repeated at the start of the next chunk
-    f"{A}. {'d' * 290}. {'e' * 90}. {C_}": f"{A}. {'d' * 290}. {'e' * 90}|. {'e' * 90}. {C_}",
-    # words, then characters
-    "f" * 2100: "|".join(["f" * 1000, "f" * 1000, "f" * 100]),
-    f"{'g' * 999} hh": f"{'g' * 999}|hh",
-}
-
-
-@query(cases_sql(CHUNKS))
-def chunk_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, CHUNKS).select("nr", F.array_join(chunks.chunks_of(F.col("given")), "|").alias("found"))
-
-
-PHRASES = {
-    "Did Captain Orlo Vane meet Nell?": "Captain Orlo Vane|Nell", "what of the Lantern Keeper": "", "Who saw Orlo's ship?": "Orlo",
-    'She said "cold iron gate" twice': "cold iron gate|She", "Tell me of Mary Ann and Mary Ann": "Mary Ann", "In chapter IV of Glass": "", "NASA and Bo X": "",
-}
-
-
-@query(cases_sql(PHRASES))
-def key_phrase_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = cases(spark, PHRASES).withColumn("author_key", F.lit("ada")).join(dim(routing.ignore_words(views.works(spark))), "author_key")
-    return q.select("nr", F.array_join(routing.key_phrases_of("given", "ignore"), "|").alias("found"))
-
-
-SLIPS = {
-    "the harbor of brokn glas": "Harbour of Broken Glass", "lantren keepr": "The Lantern Keeper", "lantern": "", "broken glas and lanterns keeper": "The Lantern Keeper",
-    "a kept light": "", "glass harbours": "Harbour of Broken Glass",
-}
-
-
-@query(cases_sql(SLIPS))
-def typo_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = cases(spark, SLIPS).select(F.col("nr").alias("qid"), F.col("given").alias("question"), F.lit("ada").alias("author_key"))
-    return given.join(routing.likely_work(given, views.works(spark)), "qid", "left").select(F.col("qid").alias("nr"), F.coalesce("title", F.lit("")).alias("found"))
-
-
 # Answers
 
 

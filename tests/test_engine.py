@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import answers, chunks, dedup, routing, search, sections
-from lectern.plans import jobs
+from lectern.plans import jobs, views
 from lectern.sources import catalog as cat
 from lectern.sources import conversations, files
 
@@ -322,3 +322,46 @@ def test_command_line(spark, tmp_path, capsys):
     assert "CHAPTER I." in out and "specific_work" in out and "brush" in out
     with pytest.raises(FileNotFoundError, match="build_index"):
         jobs.main([str(tmp_path / "catalog.json"), str(tmp_path / "none"), "x"])
+
+
+A, B, C_ = "a" * 600, "b" * 300, "c" * 400
+CHUNKS = {
+    "": "", "  short \n": "short",
+    # paragraphs first; two that fit go together, the separator before the second
+    f"{A}\n\n{B}\n\n{C_}": f"{A}\n\n{B}|{C_}",
+    # lines where a paragraph is too long
+    f"{A}\n{C_}\n{B}": f"{A}|{C_}\n{B}",
+    # a sentence of up to 150 characters is repeated at the start of the next chunk
+    f"{A}. {'d' * 290}. {'e' * 90}. {C_}": f"{A}. {'d' * 290}. {'e' * 90}|. {'e' * 90}. {C_}",
+    # words, then characters
+    "f" * 2100: "|".join(["f" * 1000, "f" * 1000, "f" * 100]),
+    f"{'g' * 999} hh": f"{'g' * 999}|hh",
+}
+
+
+@pytest.mark.parametrize(("text", "want"), CHUNKS.items())
+def test_chunk_cases(text, want):
+    assert "|".join(chunks.chunk_text(text)) == want
+
+
+PHRASES = {
+    "Did Captain Orlo Vane meet Nell?": "Captain Orlo Vane|Nell", "what of the Lantern Keeper": "", "Who saw Orlo's ship?": "Orlo",
+    'She said "cold iron gate" twice': "cold iron gate|She", "Tell me of Mary Ann and Mary Ann": "Mary Ann", "In chapter IV of Glass": "", "NASA and Bo X": "",
+}
+
+
+def test_key_phrase_cases(spark):
+    ignore = {r.author_key: set(r.ignore) for r in routing.ignore_words(views.works(spark)).collect()}["ada"]
+    assert {q: "|".join(routing.key_phrases(q, ignore)) for q in PHRASES} == PHRASES
+
+
+SLIPS = {
+    "the harbor of brokn glas": "Harbour of Broken Glass", "lantren keepr": "The Lantern Keeper", "lantern": None, "broken glas and lanterns keeper": "The Lantern Keeper",
+    "a kept light": None, "glass harbours": "Harbour of Broken Glass",
+}
+
+
+def test_slip_cases(spark):
+    given = spark.createDataFrame([(i, q, "ada") for i, q in enumerate(SLIPS)], "qid long, question string, author_key string")
+    got = {r.qid: r.title for r in routing.likely_work(given, views.works(spark)).collect()}
+    assert got == {i: t for i, t in enumerate(SLIPS.values()) if t}
