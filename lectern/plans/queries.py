@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, chunks, dedup, routing, search, text_index, vector_index
+from lectern.operators import answers, chunks, dedup, refused, routing, search, text_index, vector_index
 from lectern.operators import sections as S
 from lectern.plans import jobs, views
 from lectern.plans.views import table
@@ -305,6 +305,15 @@ def knn_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(found.select("qid", "vec_id", "rank", F.round("distance", 4).alias("distance")), path)
 
 
+@query("""SELECT 'vectors' AS stage, '{"vec_id":' || vec_id || '}' AS key, CASE vec_id % 50 WHEN 7 THEN '10 dimensions, not ' || len(embedding) WHEN 8 THEN 'a value that is no number' ELSE 'no vector' END AS cause
+FROM embeddings WHERE vec_id % 50 IN (7, 8, 9)""")
+def refused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of which some have been broken in three ways; the others can be compared."""
+    odd, e = F.col("vec_id") % 50, F.col("embedding")
+    broken = F.when(odd == 7, F.slice(e, 1, 10)).when(odd == 8, F.concat(F.slice(e, 2, F.size(e) - 1), F.array(F.lit(float("nan")).cast("float")))).when(odd != 9, e)
+    return refused.sound_vectors(table(spark, sf_dir, "embeddings").withColumn("embedding", broken), ["vec_id"])[1]
+
+
 def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").join(dim(_vector_questions(spark, sf_dir)), F.col("label") == F.col("q_label"))
     return v.select("qid", "vec_id", "q_label", search.squared_distance(F.col("embedding"), F.col("qvec")).alias("distance"))
