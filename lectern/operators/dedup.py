@@ -80,7 +80,7 @@ def _met(x: DataFrame, y: DataFrame, by: list[str], threshold: float, tolerance:
     return x.alias("x").join(y.alias("y"), [*on, *also]).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
 
 
-def _similar(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
+def similar(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of those of the pairs (a, b) that reach the threshold."""
     sets = forms.select("seq", "s")
     pairs = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
@@ -91,7 +91,7 @@ def _similar(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
 def near_pairs(sections: DataFrame, by: list[str], k: int = 10, threshold: float = 0.6, tolerance: float = 0.3) -> DataFrame:
     """(a, b, similarity), a < b: pairs of different normal forms of one group (`by`), each named by its first seq."""
     forms, index = _indexed(sections, by, k, threshold)
-    return _similar(_met(index, index, by, threshold, tolerance), forms, threshold)
+    return similar(_met(index, index, by, threshold, tolerance), forms, threshold)
 
 
 def near_components(sections: DataFrame, by: list[str], k: int = 10, threshold: float = 0.6, tolerance: float = 0.3) -> DataFrame:
@@ -104,13 +104,13 @@ def near_components(sections: DataFrame, by: list[str], k: int = 10, threshold:
     index = settle(index)
     first = index.groupBy(*by, "sh").agg(F.min_by(F.struct("seq", "size", "n"), "seq").alias("f")).select(*by, "sh", "f.*")
     tried = settle(_met(first, index, by, threshold, tolerance))
-    found = components(_similar(tried, forms, threshold))
+    found = components(similar(tried, forms, threshold))
     named = index.join(found, F.col("seq") == F.col("id"), "left").select(*by, "sh", "seq", "size", "n", F.coalesce("component", "seq").alias("c"))
     several = named.groupBy(*by, "sh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "sh"]]
     left = settle(named.alias("m").join(several.alias("o"), same, "left_semi"))
     more = _met(left, left, by, threshold, tolerance, F.col("x.c") != F.col("y.c")).join(tried, ["a", "b"], "left_anti")
-    more = settle(_similar(more, forms, threshold).select("a", "b"))
+    more = settle(similar(more, forms, threshold).select("a", "b"))
     if more.isEmpty():
         return found
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, chunks, dedup, refused, routing, search, text_index, vector_index
+from lectern.operators import answers, arriving, chunks, dedup, refused, routing, search, text_index, vector_index
 from lectern.operators import sections as S
 from lectern.plans import jobs, views
 from lectern.plans.views import table
@@ -211,6 +211,16 @@ def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.clusters(views.sections(spark, sf_dir), ["author_key", "mode"]).select(F.col("seq").alias("doc_id"), "component")
 
 
+@query(SQL["dup_components"])
+def arriving_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`dup_components` of documents that arrive in three batches, each joined to the index of those before."""
+    path, by = shared_folder(spark, "arriving"), ["author_key", "mode"]
+    s = dedup.settle(views.sections(spark, sf_dir).select(*by, "seq", "text"))
+    for i in range(3):
+        arriving.add(s.where(F.col("seq") % 3 == i), path, str(i), by)
+    return kept(arriving.clusters(spark, path, by).select(F.col("seq").alias("doc_id"), "component"), path)
+
+
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT doc_id, source AS work_title FROM member JOIN keep USING (component) WHERE doc_id = keeper")
 def dedup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_first(views.sections(spark, sf_dir), ["author_key", "mode"], F.col("priority")).select(F.col("seq").alias("doc_id"), "work_title")

@@ -144,8 +144,8 @@ def test_components_of_many_near_copies(spark, monkeypatch):
     for _ in range(len(least)):
         for a, b in pairs:
             least[a] = least[b] = min(least[a], least[b])
-    compared, keep = [], dedup._similar
-    monkeypatch.setattr(dedup, "_similar", lambda p, f, t: compared.append(p.count()) or keep(p, f, t))
+    compared, keep = [], dedup.similar
+    monkeypatch.setattr(dedup, "similar", lambda p, f, t: compared.append(p.count()) or keep(p, f, t))
     got = {r.id: r.component for r in dedup.near_components(df, ["mode"]).collect()}
     assert got == least and Counter(got.values()) == {2: 34, 1: 12, 0: 6}  # a null group is a group
     assert sum(compared) < len(pairs) / 3
