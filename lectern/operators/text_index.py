@@ -84,10 +84,15 @@ def build(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     listed = listed.repartition("bucket", F.pmod("batch", F.lit(4))).sortWithinPartitions("bucket", "gram", "batch")
     listed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/grams")
     # a row a gram, of at most 2^24
-    kept = rows.sparkSession.read.parquet(f"{path}/grams").where(F.col("gram") >= 0)
+    kept = _grams(rows.sparkSession, path).where(F.col("gram") >= 0)
     kept.groupBy("gram").agg(F.sum(F.size("pages")).alias("n")).write.mode("overwrite").parquet(f"{path}/often")
 
 
+def _grams(spark: SparkSession, path: str) -> DataFrame:
+    # an index of no texts has no files to read a schema from
+    return spark.read.schema(f"{ROW}, bucket int").parquet(f"{path}/grams")
+
+
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         term, at, gram = [], [], []
@@ -113,12 +118,13 @@ def candidates(spark: SparkSession, path: str, terms: DataFrame, few: int = FEW)
     picked = settle(rarest(spark, path, terms, few))
     # at most BUCKETS numbers
     buckets = [r[0] for r in picked.select(F.pmod(F.hash("gram"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
-    grams = spark.read.parquet(f"{path}/grams")
+    grams = _grams(spark, path)
     lists = grams.where(F.col("bucket").isin(buckets)).select("gram", "batch", "pages").join(dim(picked), "gram")
     back = F.floor(F.col("at") / PAGE).cast("int")
     starts = F.flatten(F.transform("pages", lambda p: F.when(F.col("at") % PAGE == 0, F.array(p - back)).otherwise(F.array(p - back, p - back - 1))))
     each = lists.select("term", "needed", "batch", "at", F.explode_outer(F.array_distinct(starts)).alias("page")).where("page >= 0")
-    pages = each.groupBy("term", "batch", "page").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed")
+    # read twice below: the places that are left are few, those of all grams many
+    pages = settle(each.groupBy("term", "batch", "page").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed").select("term", "batch", "page"))
     # the first page of each text of a batch
     names = grams.where((F.col("bucket") == F.pmod(F.hash(F.lit(NAMES)), F.lit(BUCKETS))) & (F.col("gram") == NAMES))
     of = names.select("batch", F.explode_outer(F.arrays_zip("ids", "pages")).alias("s")).select("batch", F.col("s.ids").alias("id"), F.col("s.pages").alias("page"))
