@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ POPULATION, CHILDREN, ELITE = 6, 8, 2
 WELL, FREED = 0.99, 16
 #: Most pieces of a bin of which pairs are exchanged.
 MEMBERS = 8
+#: Bytes of pre-tokens that are merged together.
+WIDTHS = (6, 12, 24)
 #: Bytes of a generation of pre-tokens and ids that a worker remembers, with ENTRY bytes for each one's place.
 CACHE_BYTES, ENTRY = 64 << 20, 200
 
@@ -56,7 +59,8 @@ def _pattern() -> re.Pattern:
     """The tokenizer's pattern for characters below U+0300, in the terms of `re`, which is faster."""
     of = lambda kind: "".join(re.escape(c) for c in map(chr, range(ord(bpe.LATIN_END))) if regex.match(kind, c))
     letters, digits, white = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{white}{letters}{digits}]+")
+    # letters first, as most are; no other alternative begins with one
+    return re.compile(rf"[{letters}]+|[{digits}]|'(?:s|t|re|ve|m|ll|d)|[^{white}{letters}{digits}]+")
 
 
 PLAIN = _pattern()
@@ -88,19 +92,70 @@ class PackedIds:
         words = [self.split(t) for t in texts]
         if self.bytes > CACHE_BYTES:
             self.old, self.young, self.bytes = self.young, {}, 0
-        new = {w for ws in words for w in ws} - self.young.keys()
+        new = set(chain.from_iterable(words)) - self.young.keys()
         again = new & self.old.keys()
         for w in again:
             self._keep(w, self.old[w])
         new = list(new - again)
         for lo in range(0, len(new), 4 * bpe.BATCH):
             part = [w for w in new[lo : lo + 4 * bpe.BATCH] if w not in self.fixed]
-            for w, ids in zip(part, self.coder.merge([w.encode() for w in part]), strict=True):
-                self._keep(w, np.array(ids, "<u4").tobytes())
+            made = self.merged([w.encode() for w in part])
+            self.young.update(zip(part, made, strict=True))
+            self.bytes += sum(map(len, part)) + sum(map(len, made)) + ENTRY * len(part)
         for w in self.fixed.keys() & set(new):
             self._keep(w, self.fixed[w])
         return [b"".join(map(self.young.__getitem__, ws)) for ws in words]
 
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens: of many short ones at once, each row of a matrix merges its lowest-ranked pair until it has none; long ones go by `bpe`'s trees."""
+        out = [b""] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            n = len(w)
+            by_width.setdefault(next((x for x in WIDTHS if n <= x), 0), []).append(i)
+        for i, ids in zip(by_width.get(0, []), self.coder.merge([words[i] for i in by_width.get(0, [])]), strict=True):
+            out[i] = np.array(ids, "<u4").tobytes()
+        for width in WIDTHS:
+            which = by_width.get(width, [])
+            for lo in range(0, len(which), 4096):
+                part = which[lo : lo + 4096]
+                flat, ends = self._rows([words[i] for i in part], width)
+                start = 0
+                for i, end in zip(part, ends, strict=True):
+                    out[i] = flat[start:end]
+                    start = end
+        return out
+
+    def _rows(self, words: list[bytes], width: int) -> tuple[bytes, list[int]]:
+        """Packed ids of words of at most `width` bytes, one after another, and where each ends."""
+        coder, n, col = self.coder, len(words), np.arange(width + 1)
+        size = np.array([len(w) for w in words])
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, :width][col[:width] < size[:, None]] = coder.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        ids[np.arange(n), size - 1] = coder.last_id[[w[-1] for w in words]]
+        rank = coder.ranks(ids[:, :-1], ids[:, 1:])
+        done, rows = np.empty_like(ids), np.arange(n)
+        while len(rows):
+            at = rank.argmin(1)
+            best = rank[np.arange(len(rows)), at]
+            go = best < bpe.NONE
+            done[rows[~go]] = ids[~go]
+            rows, ids, rank, at, best = rows[go], ids[go], rank[go], at[go], best[go]
+            if not len(rows):
+                break
+            k = np.arange(len(rows))
+            ids[k, at] = coder.made[best]
+            # what stands behind the merged pair moves up one place
+            ids = np.take_along_axis(ids, np.minimum(col + (col > at[:, None]), width), 1)
+            ids[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(col[:-1] + (col[:-1] > at[:, None]), width - 1), 1)
+            rank[:, -1] = bpe.NONE
+            rank[k, at] = coder.ranks(ids[k, at], ids[k, at + 1])
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = coder.ranks(ids[left, at[left] - 1], ids[left, at[left]])
+        kept = done >= 0
+        return done[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+
     def _keep(self, word: str, ids: bytes) -> None:
         self.young[word] = ids
         self.bytes += len(ids) + len(word) + ENTRY
@@ -371,8 +426,10 @@ def pack_pieces(rows: DataFrame, size: int = 2048) -> DataFrame:
         shards = max(1, -(-n // SHARD))
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(shards)))
         states = dealt.select("shard", "rid", "length").groupBy("shard").applyInArrow(_islands, STATE)
+        # few bytes and much work: a number of partitions that is given is not made smaller
+        parts = max(1, min(shards * ISLANDS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         for epoch in range(EPOCHS):
-            states = states.groupBy("shard", "island").applyInArrow(_evolve(size, epoch, level), STATE)
+            states = states.repartition(parts, "shard", "island").groupBy("shard", "island").applyInArrow(_evolve(size, epoch, level), STATE)
         best = states.where("own").groupBy("shard")
         schema = rows.schema.add("sequence_id", "long").add("offset", "long").add("free", "boolean")
         out = settle(dealt.groupBy("shard").cogroup(best).applyInArrow(_assign(size, shards == 1, columns), schema))
