@@ -1,5 +1,6 @@
 """Queries over small tables of their own: nothing of the input is left out."""
 
+import duckdb
 import pytest
 
 from lectern.operators import chunks, search
@@ -56,3 +57,17 @@ def test_questions_are_whole_turns(spark, folder):
     assert {r.qid: r.phrases for r in queries.key_phrases(spark, path).collect()}[2005] == "Captain Orlo Vane"
     # the slip names Harbour of Broken Glass by two of three words; the end of the turn has both words of another title
     assert {r.qid: r.title for r in queries.typo_match(spark, path).collect()}[7] == "The Lantern Keeper"
+
+
+def of_sql(path: str, name: str, *tables: str) -> list[tuple]:
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    return sorted(con.execute(queries.SQL[name]).fetchall())
+
+
+def test_notices_after_line_ends_and_blanks(spark, folder):
+    odd = ["\nstarts a line", "x" * 49 + "\n and on", "\t tab \t", "\u00a0\u3000wide\u2003", "\n", " \u00a0 ", "", " plain "]
+    turns = [(i, t, x) for i, x in enumerate(odd) for t in (1, 3, 9)]
+    path = folder(conversations=(turns, "conv_id long, turn long, text string"))
+    assert sorted(map(tuple, queries.truncation_notice(spark, path).collect())) == of_sql(path, "truncation_notice", "conversations")
