@@ -1,9 +1,14 @@
 """Queries over small tables of their own: nothing of the input is left out."""
 
+import random
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.operators import chunks, search
+from lectern.functions import text as T
+from lectern.operators import chunks, dedup, routing, search
 from lectern.plans import queries, views
 
 DOCS = [
@@ -71,3 +76,68 @@ def test_notices_after_line_ends_and_blanks(spark, folder):
     turns = [(i, t, x) for i, x in enumerate(odd) for t in (1, 3, 9)]
     path = folder(conversations=(turns, "conv_id long, turn long, text string"))
     assert sorted(map(tuple, queries.truncation_notice(spark, path).collect())) == of_sql(path, "truncation_notice", "conversations")
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quotations_are_looked_for_once_a_row(spark, folder):
+    path = folder(documents=(DOCS, "doc_id long, text string, lang string, source string"))
+    # before, the filter had its own copy, and a form took four passes over the source
+    assert plan(queries.unmatched_quotes(spark, path)).count("[^”]{6,}") == 1
+    assert sorted(map(tuple, queries.unmatched_quotes(spark, path).collect())) == of_sql(path, "unmatched_quotes", "documents")
+
+
+def test_quote_form_of_odd_texts(spark):
+    def by_rule(t: str) -> str:
+        t = re.sub("[^a-z0-9' ]+", " ", re.sub("[–—]|-{2,}", " ", t.lower().replace("‘", "'").replace("’", "'")))
+        return re.sub(" +", " ", re.sub("(?<![a-z])'|'(?![a-z])", " ", t)).strip(" ")
+
+    rng = random.Random(5)
+    texts = ["", " ", "'", "''a''", "don’t", "‘tis said’ ", "a--b-c—d", "é'e 9'9 x'", *("".join(rng.choices("aZ9'’‘-– —.\né ", k=30)) for _ in range(400))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.quote_form(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == {t: by_rule(t) for t in texts}
+
+
+def test_questions_are_read_twice_for_their_route(spark, folder):
+    path = folder(conversations=(TURNS, "conv_id long, turn long, text string"))
+    routed = queries.route_questions(spark, path)
+    # once for those that may name a work, which are kept, and once for the rows that are given back
+    assert plan(routed).count("parquet") == 1
+    assert routed.count() == len(TURNS)
+
+
+def test_neighbours_within_a_hot_label(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.random(), rng.random()], 0 if i % 9 else i % 4 or None) for i in range(300)]
+    rows += [(i, rows[i - 300][1], 0) for i in range(300, 320)]  # equally far
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), "label")
+    held = {r.vec_id: (r.embedding, r.label) for r in v.collect()}
+    want = set()
+    for q in (r.qid for r in asked.collect() if r.label is not None):
+        d = sorted((round(sum((a - b) ** 2 for a, b in zip(x, held[q][0], strict=True)), 10), i) for i, (x, n) in held.items() if n == held[q][1])
+        want |= {(q, held[q][1], i, rank) for rank, (_, i) in enumerate(d[:6], 1)}
+    found = search.nearest(asked, v, 6, by=["label"], digits=10)
+    assert {(r.qid, r.label, r.vec_id, r.rank) for r in found.collect()} == want
+    # no task has all rows of a label: they are dealt to blocks
+    few = search.ROWS_AT_ONCE
+    try:
+        search.ROWS_AT_ONCE = 40
+        assert {(r.qid, r.label, r.vec_id, r.rank) for r in search.nearest(asked, v, 6, by=["label"], digits=10).collect()} == want
+    finally:
+        search.ROWS_AT_ONCE = few
+
+
+def test_only_shingles_of_several_texts_are_put_in_order(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:50], "x"]), " ".join(f"own{i}" for i in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").withColumn("mode", F.lit(None).cast("string"))
+    forms, index = dedup._indexed(df, ["mode"], 10, 0.6)
+    # before, all shingles were gathered again by text
+    gathered = plan(index).split("collect_list")[1]
+    assert "Window" in gathered and "LeftOuter" not in gathered and "(df" in gathered
+    # 41 shingles are shared; 10 and 1 of one text alone stand before them in the order: prefixes are 21 and 17 of 51 and 42
+    assert {r.seq: r["count"] for r in index.groupBy("seq").count().collect()} == {0: 21 - 10, 1: 17 - 1}
+    assert [(r.a, r.b, round(r.similarity, 6)) for r in dedup.near_pairs(df, ["mode"]).collect()] == [(0, 1, round(41 / 52, 6))]
