@@ -114,7 +114,7 @@ def alike_words(asked: DataFrame, known: DataFrame) -> DataFrame:
     their lengths. Each letter left out spoils at most one of s + 1 stretches that the known word is cut into, so one
     stretch stands in the other word, moved by s places at most: pairs meet by that stretch, and no other pairs are compared.
     """
-    asked = asked.select("word", F.length("word").alias("la")).where(F.col("la") > 0).distinct()
+    asked = settle(asked.select("word", F.length("word").alias("la")).where(F.col("la") > 0).distinct())
     known = known.select("known", F.length("known").alias("lk")).where(F.col("lk") > 0).distinct()
     same = asked.join(known, F.col("word") == F.col("known")).select("word", "known")
     # lengths whose ratio can be reached at all; a row a pair of lengths and stretch
@@ -186,8 +186,10 @@ def chapter_variants(label: Column) -> Column:
 def route(questions: DataFrame, works: DataFrame) -> DataFrame:
     """questions with scope (meta, life_process, specific_work, oeuvre), work_title, work_titles (of specific works), chapter."""
     plain = questions.where(~is_meta(F.col("question")) & (F.col("mode") != "life_process"))
-    named = named_works(plain, works)
-    likely = likely_work(plain.join(named, "qid", "left_anti"), works)
+    # read many times below; a router form is its own router form
+    plain = settle(plain.select("qid", "author_key", router_form(F.col("question")).alias("question")))
+    named = settle(named_works(plain, works))
+    likely = likely_work(settle(plain.join(named, "qid", "left_anti")), works)
     q = questions.join(named, "qid", "left").join(likely.select("qid", "title"), "qid", "left")
     titles = F.coalesce("titles", F.when(F.col("title").isNotNull(), F.array("title")))
     scope = F.when(is_meta(F.col("question")), "meta").when(F.col("mode") == "life_process", "life_process").when(titles.isNotNull(), "specific_work").otherwise("oeuvre")
