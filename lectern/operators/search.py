@@ -60,7 +60,7 @@ def _rough(q: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield lo, np.maximum((part**2).sum(1)[:, None] + norms[None, :] - 2 * part @ x.T, 0)
 
 
-def _block_best(k: int):
+def _block_best(k: int, by: list[str], digits: int):
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if asked.num_rows and rows.num_rows:
@@ -68,24 +68,31 @@ def _block_best(k: int):
             x, q = _matrix(rows.column("embedding"), len(own)), _matrix(asked.column("qvec"), len(qids))
             for lo, d in _rough(q, x):
                 # what is as near as the k-th but for rounding of the product is compared exactly
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 if d.shape[1] > k else np.full(len(d), np.inf)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 + 10.0**-digits if d.shape[1] > k else np.full(len(d), np.inf)
                 for i in range(len(d)):
                     some = np.flatnonzero(d[i] <= edge[i])
                     exact = ((x[some] - q[lo + i]) ** 2).sum(1)
-                    first = np.lexsort((own[some], np.round(exact, 12)))[:k]
+                    first = np.lexsort((own[some], np.round(exact, digits)))[:k]
                     out.append((np.full(len(first), qids[lo + i]), own[some[first]], exact[first]))
-        return pa.table([np.concatenate([o[j] for o in out]) for j in range(3)], names=["qid", "vec_id", "distance"])
+        found = [pa.array(np.concatenate([o[j] for o in out])) for j in range(3)]
+        of = [asked.column(c).take(pa.array(np.zeros(len(found[0]), np.int64))) for c in by]  # one value a group
+        return pa.table([*found, *of], names=["qid", "vec_id", "distance", *by])
 
     return run
 
 
-def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, vec_id, distance, rank): the k nearest vectors (vec_id, embedding) of each question (qid, qvec), exactly, by matrix products of blocks."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    q = questions.select("qid", "qvec")
-    left, right = grid(q, v, [], blocks_of(q, v))
-    found = left.cogroup(right).applyInArrow(_block_best(k), "qid long, vec_id long, distance double")
-    return best_per(found, ["qid"], [F.round("distance", 12), "vec_id"], k)
+def nearest(questions: DataFrame, vectors: DataFrame, k: int, by: list[str] = (), digits: int = 12) -> DataFrame:
+    """(qid, vec_id, distance, by..., rank): the k nearest vectors (vec_id, embedding) of each question (qid, qvec), exactly, by matrix products of blocks.
+
+    by: columns of both that must be equal, and not null. Distances equal in so many digits are ranked by vec_id.
+    """
+    by = list(by)
+    held = " AND ".join(f"{c} IS NOT NULL" for c in ["vec_id", "embedding", *by])
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *by).where(held)
+    q = questions.select("qid", "qvec", *by)
+    left, right = grid(q, v, by, blocks_of(q, v))
+    found = left.cogroup(right).applyInArrow(_block_best(k, by, digits), ", ".join(["qid long", "vec_id long", "distance double", *(f"{c} {q.schema[c].dataType.simpleString()}" for c in by)]))
+    return best_per(found, ["qid"], [F.round("distance", digits), "vec_id"], k)
 
 
 def depth() -> Column:
