@@ -86,15 +86,15 @@ def dedup_form(c: Column) -> Column:
 
 def router_form(c: Column) -> Column:
     """Lower-case letters a to z, digits and blanks; all else is deleted."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", ""))
 
 
 def quote_form(c: Column) -> Column:
     """Words only: lower case, straight apostrophes inside words, dashes and marks as blanks."""
-    c = F.translate(F.lower(c), "‘’", "''")
-    c = F.regexp_replace(F.regexp_replace(c, "[–—]|-{2,}", " "), "[^a-z0-9' ]+", " ")
-    c = F.regexp_replace(c, "(?<![a-z])'|'(?![a-z])", " ")
-    return F.trim(F.regexp_replace(c, " +", " "))
+    c = F.replace(F.replace(F.lower(c), F.lit("‘"), F.lit("'")), F.lit("’"), F.lit("'"))
+    # one pass makes any run of other characters, dashes and blanks among them, one blank
+    lone = lambda x: F.regexp_replace(F.regexp_replace(x, "(?<![a-z])'|'(?![a-z])", " "), " +", " ")
+    return F.trim(let(F.regexp_replace(c, "[^a-z0-9']+", " "), lambda x: F.when(F.contains(x, F.lit("'")), lone(x)).otherwise(x)))
 
 
 def words(c: Column) -> Column:
