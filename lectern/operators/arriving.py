@@ -5,8 +5,9 @@ found by), `members` (which form a section has), `labels` (the component that a
 that a batch found to be one). Old labels are never rewritten: a label stands for what the merges, followed to their end,
 make of it, so a batch writes what it changes and no more.
 
-The prefix filter of `dedup` needs one order of shingles for all texts. It is that of their frequencies in the first batch,
-which is kept; later ones do not change it, so an index never has to be made anew. Two texts are compared as there: first
+The prefix filter of `dedup` needs one order of shingles for all texts. It is that of their frequencies in the first batch, of
+those that OFTEN texts of it have; all others come before them. It is kept; later batches do not change it, so an index never
+has to be made anew. Of the prefixes only those that a new text shares with another go on to be compared. Two texts are compared as there: first
 with the first of a shingle, then only across components. Pairs of two old texts are not compared again.
 
 `clusters` gives the same components as `dedup.clusters` over all sections so far. A batch has a name; one that is there already
@@ -16,10 +17,16 @@ is left alone, and what a failed one has left is written over.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.operators.dedup import components, normalized, settle, shingles_of, similar
+from lectern.operators.dedup import components, keyed, normalized, settle, shingles_of, similar
+from lectern.sources.catalog import dim
 
+#: Texts of the first batch that a shingle must stand in to be put late in the order. Any number gives the same pairs.
+OFTEN = 8
+#: Rows of these up to which they are broadcast; more are joined as Spark sees fit.
+LISTED = 1_000_000
 PARTS = ("forms", "prefixes", "members", "labels", "merges")
 
 
@@ -51,13 +58,30 @@ def _resolved(labels: DataFrame, merges: DataFrame) -> DataFrame:
     return labels.join(ends, F.col("label") == F.col("m_id"), "left").select("id", F.coalesce("m_end", "label").alias("label"))
 
 
+def _keys(forms: DataFrame, by: list[str]) -> DataFrame:
+    """(id, sh): a row a shingle of each form, as `dedup.keyed` names it."""
+    each = forms.select(*by, "id", F.explode_outer("s").alias("sh")).where("sh IS NOT NULL")
+    return each.select("id", keyed(by, F.col("sh")).alias("sh"))
+
+
 def _prefixes(forms: DataFrame, often: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """(by..., sh, id, size, n): the shingles of each form that it is found by, rarest of the first batch first."""
-    each = forms.select(*by, "id", "size", F.size("s").alias("n"), F.explode_outer("s").alias("sh"))
-    counted = each.alias("e").join(often.alias("o"), _same("e", "o", [*by, "sh"]), "left").select("e.*", F.coalesce("o.df", F.lit(0)).alias("df"))
-    ordered = counted.groupBy(*by, "id", "size", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("r"))
-    first = F.slice("r", 1, F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
-    return ordered.select(*by, "id", "size", "n", F.explode_outer(first).alias("x")).where("x IS NOT NULL").select(*by, "x.sh", "id", "size", "n")
+    """(sh, id): the shingles of each form that it is found by, rarest of the first batch first. Only those that the first batch had often are joined on."""
+    listed = _keys(forms, by).join(dim(often, LISTED), "sh").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("r"))
+    own = F.transform("s", lambda x: keyed(by, x))
+    late = F.coalesce(F.transform("r", lambda x: x["sh"]), F.array().cast("array<bigint>"))
+    first = F.slice(F.concat(F.array_sort(F.array_except(own, late)), late), F.lit(1), F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1)
+    return forms.join(listed.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select(F.explode_outer(first).alias("sh"), "id").where("sh IS NOT NULL")
+
+
+def _shared(new: DataFrame, old: DataFrame | None, forms: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., sh, id, size, n, fresh) of the prefixes that a new text and any other share; no other row can make a pair."""
+    every = new.withColumn("fresh", F.lit(True))
+    if old is not None:
+        every = every.union(old.select("sh", "id", F.lit(False)))
+    key = W.partitionBy("sh")
+    live = every.withColumns({"texts": F.count(F.lit(1)).over(key), "any": F.max("fresh").over(key)}).where("texts > 1 AND any")
+    live = live.select("sh", F.col("id").alias("of"), "fresh")
+    return live.join(forms.select(*by, "id", "size", F.size("s").alias("n")), F.col("of") == F.col("id")).select(*by, "sh", "id", "size", "n", "fresh")
 
 
 def _pairs(new: DataFrame, every: DataFrame, by: list[str], threshold: float, tolerance: float, *also: Column) -> DataFrame:
@@ -83,13 +107,15 @@ def add(sections: DataFrame, path: str, name: str, by: list[str], k: int = 10, t
     forms = forms.select(*by, "norm_hash", "id", size.alias("size"), F.when(size >= 3 * k, shingles_of(F.col("norm"), k)).otherwise(F.array().cast("array<bigint>")).alias("s"))
     write(forms, "forms")
     forms = spark.read.parquet(f"{here}/forms")
+    shingled = forms.where(F.size("s") > 0)
     if not _exists(spark, f"{path}/often/_SUCCESS"):
-        each = forms.select(*by, F.explode_outer("s").alias("sh")).where("sh IS NOT NULL")
-        each.groupBy(*by, "sh").agg(F.count(F.lit(1)).alias("df")).where("df > 1").write.mode("overwrite").parquet(f"{path}/often")
-    write(_prefixes(forms.where(F.size("s") > 0), spark.read.parquet(f"{path}/often"), by, threshold), "prefixes")
-    new = spark.read.parquet(f"{here}/prefixes")
+        _keys(shingled, by).groupBy("sh").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= OFTEN).write.mode("overwrite").parquet(f"{path}/often")
+    write(_prefixes(shingled, spark.read.parquet(f"{path}/often"), by, threshold), "prefixes")
     both = lambda part, own: own if old[part] is None else old[part].select(*own.columns).union(own)
-    every, sets = both("prefixes", new), both("forms", forms).select("id", "s").withColumnRenamed("id", "seq")
+    every_form = both("forms", forms)
+    sets = every_form.select("id", "s").withColumnRenamed("id", "seq")
+    every = settle(_shared(spark.read.parquet(f"{here}/prefixes"), old["prefixes"], every_form, by))
+    new = every.where("fresh")
     # what is new stands for itself, what is old for its component
     labels = forms.select("id", F.col("id").alias("label"))
     if old["labels"] is not None:

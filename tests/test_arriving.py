@@ -59,3 +59,16 @@ def test_replays_and_failed_batches(spark, tmp_path, monkeypatch):
         arriving.add(spark.createDataFrame(rows[20:], SCHEMA), path, "b", BY)
     want = found(dedup.clusters(spark.createDataFrame(rows, SCHEMA), BY))
     assert found(arriving.clusters(spark, path, BY)) == want
+
+
+def test_only_shared_prefixes_go_on(spark, tmp_path, monkeypatch):
+    rows, path, sent = texts(1), str(tmp_path), []
+    pairs = arriving._pairs
+    monkeypatch.setattr(arriving, "_pairs", lambda new, every, *a: sent.append(every) or pairs(new, every, *a))
+    monkeypatch.setattr(arriving, "OFTEN", 3)
+    arriving.add(spark.createDataFrame(rows[:20], SCHEMA), path, "a", BY)
+    arriving.add(spark.createDataFrame(rows[20:], SCHEMA), path, "b", BY)
+    # before, every prefix of every batch was joined
+    last = sent[-1].groupBy("mode", "sh").count().collect()
+    assert last and all(r["count"] > 1 for r in last)
+    assert found(arriving.clusters(spark, path, BY)) == found(dedup.clusters(spark.createDataFrame(rows, SCHEMA), BY))
