@@ -4,6 +4,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,65 @@ def test_only_shingles_of_several_texts_are_put_in_order(spark):
     # 41 shingles are shared; 10 and 1 of one text alone stand before them in the order: prefixes are 21 and 17 of 51 and 42
     assert {r.seq: r["count"] for r in index.groupBy("seq").count().collect()} == {0: 21 - 10, 1: 17 - 1}
     assert [(r.a, r.b, round(r.similarity, 6)) for r in dedup.near_pairs(df, ["mode"]).collect()] == [(0, 1, round(41 / 52, 6))]
+
+
+def test_blocks_of_a_search_are_wide(spark, monkeypatch):
+    class Met(Exception):
+        pass
+
+    def met(questions, rows, by, blocks):
+        raise Met(*blocks)
+
+    monkeypatch.setattr(search, "grid", met)
+    none = {c: F.lit(None).cast("string") for c in ("author_key", "scope", "chapter", "qvec", "page_content", "embedding", *search.CHUNK_KEY)}
+    none |= {c: F.array().cast("array<string>") for c in ("work_titles", "only_works", "entity_terms", "topic_groups", "variants")}
+    many = lambda n: spark.range(n).withColumns({**none, "embedding": F.lit(1)}).withColumns({"qid": F.col("id"), "top_k": F.lit(5)})
+    with pytest.raises(Met) as blocks:
+        search._channels(many(134_000), many(1_000_000))
+    # before, 67 and 250: each chunk and its text was sent 67 times
+    asked, held = blocks.value.args
+    assert asked <= 5 and held <= 16
+    # few are still enough for all cores
+    assert search.wide_blocks_of(spark.range(5000), spark.range(40_000))[1] >= min(10, spark.sparkContext.defaultParallelism)
+
+
+def test_a_block_lists_what_pairs_would(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, m = 400, 90
+    x = rng.random((n, 6)).astype(np.float32)
+    x[50:90] = x[50]  # equally far
+    keys = [("a", "literature", f"w{i % 4}", None if i % 7 == 0 else f"c{i % 3}", 1 + i % 2, i) for i in range(n)]
+    texts = ["".join(rng.choice(list("abc"), 4)) if i % 9 else None for i in range(n)]
+    asked = [
+        {
+            "qid": j, "scope": ["oeuvre", "specific_work"][j % 2], "work_titles": [f"w{j % 4}", f"w{j // 2 % 4}"][: 1 + j % 3 // 2] if j % 2 else None, "only_works": ["w1", "w2"] if j % 5 == 0 else None,
+            "chapters": ["c1", "c2"] if j % 7 == 0 else None, "top_k": 5 + j % 4, "entity_terms": ["ab", "ca"] if j % 3 else None, "topic_groups": [["bc"], ["aa", "cc"]] if j % 6 == 1 else None, "variants": ["cb", "zz", ""] if j % 4 else [],
+        }
+        for j in range(m)
+    ]
+    q = np.concatenate([rng.random((m - 1, 6)), [x[50]]])
+
+    def pairs():
+        for r, v in zip(asked, q.astype(np.float32), strict=True):
+            titles, named = r["work_titles"] or [], r["scope"] == "specific_work"
+            fit = [i for i, k in enumerate(keys) if (not named or k[2] in titles) and (r["only_works"] is None or k[2] in r["only_works"]) and (r["chapters"] is None or k[3] in r["chapters"])]
+            d = np.round(((x.astype(float) - v) ** 2).sum(1), 12)
+            has = lambda terms, i: any(t and t in (texts[i] or "") for t in terms or [])
+            tiers = [0 if not r["topic_groups"] or not has(r["topic_groups"][0], i) else -1 if not has(r["topic_groups"][1], i) else -2 for i in range(n)]
+            lists = [(4, 0, fit, r["top_k"], False)]
+            if named and len(titles) > 1:
+                lists = [(4, p + 1, [i for i in fit if keys[i][2] == t], max(2, -(-r["top_k"] // 2)), False) for p, t in enumerate(titles) if t not in titles[:p]]
+            lists += [(1, 0, [i for i in fit if has(r["entity_terms"], i)], 8, True), (2, 0, [i for i in fit if has(r["variants"], i)], 6, False)]
+            for channel, pos, some, k, tiered in lists:
+                for i in sorted(some, key=lambda i: (tiers[i] if tiered else 0, d[i], keys[i][2], keys[i][3] or "", keys[i][4:]))[:k]:  # noqa: B023
+                    yield r["qid"], channel, pos, tiers[i] if tiered else 0, d[i], keys[i][5]
+
+    texts_of = pa.list_(pa.string())
+    kinds = {"qid": pa.int64(), "scope": pa.string(), "top_k": pa.int32(), "topic_groups": pa.list_(texts_of)}
+    questions = pa.table({c: pa.array([r[c] for r in asked], kinds.get(c, texts_of)) for c in asked[0]} | {"qvec": pa.array(q.astype(np.float32).tolist(), pa.list_(pa.float32()))})
+    rows = pa.table({c: pa.array([k[i] for k in keys]) for i, c in enumerate(search.CHUNK_KEY)} | {"page_content": pa.array(texts), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})
+    want = sorted(pairs())
+    for tile, head, some in ((256, 8192, 1 << 14), (32, 50, 64)):
+        monkeypatch.setattr(search, "TILE", tile), monkeypatch.setattr(search, "HEAD", head), monkeypatch.setattr(search, "PAIRS", some)
+        got = search._block_channels(questions, rows)
+        assert sorted(zip(*(got.column(c).to_pylist() for c in ("qid", "channel", "title_pos", "tier", "distance", "chunk_index")), strict=True)) == want
