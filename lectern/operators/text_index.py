@@ -31,6 +31,10 @@ from lectern.sources.catalog import dim
 PAGE, BUCKETS, FEW = 1024, 64, 4
 #: Bytes of text whose grams are listed together.
 BATCH_BYTES = 4 << 20
+#: Bytes of text of which a bucket's rows are dealt to four files, and of which a task sorts the rows.
+SLICE_BYTES, SORT_BYTES = 1 << 30, 2 << 20
+#: Batches whose pages a task compares with the terms.
+BATCHES_AT_ONCE = 4
 #: The row of a batch that names its texts has this instead of a gram.
 NAMES = -1
 ROW = "gram int, batch long, pages array<int>, ids array<long>"
@@ -81,7 +85,10 @@ def build(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Writes an index of the texts below path."""
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     listed = texts.mapInArrow(_listed, ROW).withColumn("bucket", F.pmod(F.hash("gram"), F.lit(BUCKETS)))
-    listed = listed.repartition("bucket", F.pmod("batch", F.lit(4))).sortWithinPartitions("bucket", "gram", "batch")
+    # a partition is sorted in memory: their number grows with the texts
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices, parts = 4 * max(1, -(-size // SLICE_BYTES)), max(1, -(-size // SORT_BYTES))
+    listed = listed.repartition(min(parts, BUCKETS * slices), "bucket", F.pmod("batch", F.lit(slices))).sortWithinPartitions("bucket", "gram", "batch")
     listed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/grams")
     # a row a gram, of at most 2^24
     kept = _grams(rows.sparkSession, path).where(F.col("gram") >= 0)
@@ -119,14 +126,19 @@ def candidates(spark: SparkSession, path: str, terms: DataFrame, few: int = FEW)
     # at most BUCKETS numbers
     buckets = [r[0] for r in picked.select(F.pmod(F.hash("gram"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
     grams = _grams(spark, path)
-    lists = grams.where(F.col("bucket").isin(buckets)).select("gram", "batch", "pages").join(dim(picked), "gram")
-    back = F.floor(F.col("at") / PAGE).cast("int")
-    starts = F.flatten(F.transform("pages", lambda p: F.when(F.col("at") % PAGE == 0, F.array(p - back)).otherwise(F.array(p - back, p - back - 1))))
-    each = lists.select("term", "needed", "batch", "at", F.explode_outer(F.array_distinct(starts)).alias("page")).where("page >= 0")
-    # read twice below: the places that are left are few, those of all grams many
-    pages = settle(each.groupBy("term", "batch", "page").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed").select("term", "batch", "page"))
     # the first page of each text of a batch
     names = grams.where((F.col("bucket") == F.pmod(F.hash(F.lit(NAMES)), F.lit(BUCKETS))) & (F.col("gram") == NAMES))
+    parts = max(1, -(-names.count() // BATCHES_AT_ONCE))
+    # a gram's pages are sent once, to their batch, and meet the terms there: what a task holds does not grow with the texts
+    lists = grams.where(F.col("bucket").isin(buckets)).select("gram", "batch", "pages").join(dim(picked.select("gram").distinct()), "gram", "left_semi").repartition(parts, "batch")
+    back = F.floor(F.col("at") / PAGE).cast("int")
+    starts = F.when(F.col("at") % PAGE == 0, F.transform("pages", lambda p: p - back)).otherwise(F.array_union(F.transform("pages", lambda p: p - back), F.transform("pages", lambda p: p - back - 1)))
+    each = lists.join(dim(picked), "gram").select("term", "needed", "batch", starts.alias("starts"))
+    # lists of one batch are short; exploded, the places of all grams would be counted one by one
+    both = each.groupBy("term", "batch").agg(F.collect_list("starts").alias("all"), F.first("needed").alias("needed")).where(F.size("all") == F.col("needed"))
+    left = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), lambda s, x: F.array_intersect(s, x))
+    # read twice below: the places that are left are few
+    pages = settle(both.select("term", "batch", F.explode_outer(left).alias("page")).where("page >= 0"))
     of = names.select("batch", F.explode_outer(F.arrays_zip("ids", "pages")).alias("s")).select("batch", F.col("s.ids").alias("id"), F.col("s.pages").alias("page"))
     met = pages.select("batch", "page").distinct()
     # a text's pages follow one another: the last first page up to one is its text's

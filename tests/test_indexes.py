@@ -144,3 +144,19 @@ def test_index_of_no_texts(spark, tmp_path):
     text_index.build(none, str(tmp_path / "i"))
     asked = spark.createDataFrame([("needle",), ("x",)], "term string")
     assert text_index.search(spark, str(tmp_path / "i"), none, asked).count() == 0
+
+
+def test_a_search_of_texts_holds_a_few_batches_at_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choices("abc", k=rng.choice((2, 900, 4000))))) for i in range(200)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(30)
+    text_index.build(rows, str(tmp_path))
+    seen, keep = [], text_index.settle
+    monkeypatch.setattr(text_index, "settle", lambda df: seen.append(df) or keep(df))
+    terms = ["abcabcab", "aaaabbbb", "cabbac", *("".join(rng.choices("abc", k=9)) for _ in range(40))]
+    found = text_index.search(spark, str(tmp_path), rows, spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {(r.term, r.id) for r in found.collect()} == {(t, i) for t in terms for i, x in texts if t in x}
+    plan = seen[1]._jdf.queryExecution().optimizedPlan().toString()
+    # before, every page of every gram was a row of an aggregate in the tasks that read the index
+    assert plan.index("Generate") < plan.index("Aggregate") < plan.index("RepartitionByExpression")
+    assert 7 <= int(re.search(r"RepartitionByExpression \[batch#\d+L\], (\d+)", plan)[1]) <= 8
