@@ -147,6 +147,32 @@ def test_packed_ids_are_the_librarys(texts):
         packed.bytes = packing.CACHE_BYTES + 1
 
 
+def test_pairs_are_found_by_one_look():
+    packed = packing.PackedIds(packing.bpe.load(PATH))
+    coder, rng = packed.coder, np.random.default_rng(3)
+    left = np.concatenate([coder.pair >> 20, rng.integers(-1, 49_408, 200_000), [-1, 0, -1]])
+    right = np.concatenate([coder.pair & 0xFFFFF, rng.integers(-1, 49_408, 200_000), [0, -1, -1]])
+    assert (packed.ranks(left, right) == coder.ranks(left, right)).all()
+    # before, each look at a pair searched the sorted list of all
+    looks, keep = [], coder.ranks
+    coder.ranks = lambda a, b: looks.append(len(a)) or keep(a, b)
+    try:
+        packed.ranks(left, right)
+    finally:
+        del coder.ranks
+    assert sum(looks) < len(left) // 10
+
+
+def test_a_failed_batch_leaves_no_number_without_ids(monkeypatch):
+    packed = packing.PackedIds(packing.bpe.load(PATH))
+    want = packed(["a few words"])
+    monkeypatch.setattr(packed, "merged", lambda words: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        packed(["and some more words"])
+    monkeypatch.undo()
+    assert packed(["a few words"]) == want and packed(["and some more words"]) == packing.PackedIds(packed.coder)(["and some more words"])
+
+
 def exact_bins(lengths: list[int], size: int) -> int:
     """Fewest bins, by trying all ways."""
     lengths = sorted(lengths, reverse=True)
