@@ -5,10 +5,11 @@ one left, i). The root names the lowest rank, leftmost among equals; that pair i
 are updated along their paths to the root, until the root holds no rank. Many pre-tokens are encoded at once: the
 trees of a batch are the rows of one array, and each step merges one pair in every row that has one.
 
-Texts are cut at white space, where neither the normaliser nor the pre-tokenizer of a supported file joins anything,
-and each distinct chunk is encoded once and kept in a cache of a bounded number of bytes. Chunks with characters from
-U+0300 on are normalised and split by the tokenizers library's own normaliser and pre-tokenizer, since Python's tables
-are of another Unicode version; below that both agree. Merges are made here for every chunk.
+Texts are split into pre-tokens, and each distinct one is encoded once, numbered, and kept for two generations of a bounded
+number of bytes; the ids of a block of texts are gathered by those numbers. Chunks between white space that have characters
+from U+0300 on are kept whole instead, and normalised and split by the tokenizers library's own normaliser and
+pre-tokenizer, since Python's tables are of another Unicode version; below that both agree. So are all chunks for a file
+with another pattern than SPLIT. Merges are made here for every pre-token.
 
 Supported files: type BPE with end_of_word_suffix, normalisers NFC, Replace of white-space runs and Lowercase,
 pre-tokenizers Split (inverted, removed) and ByteLevel; others are refused. Tests compare with the tokenizers library.
@@ -21,10 +22,11 @@ gives an empty result; other columns are not read but for those that `keep` name
 from __future__ import annotations
 
 import json
+import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,130 @@ from lectern.llm.common import small_batches
 from lectern.llm.textblocks import blocks
 
 NONE = np.int64(2**62)
-#: White space of Unicode, at which texts are cut. Fixed values.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Bytes of chunks and ids that a worker remembers, with ENTRY bytes for each chunk's place.
-CACHE_BYTES, ENTRY = 96 << 20, 220
+#: White space of Unicode, where neither the normaliser nor the pre-tokenizer joins anything. Fixed values.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of units and ids that a worker remembers in two generations, with ENTRY bytes for each one's place.
+CACHE_BYTES, ENTRY = 96 << 20, 200
 BATCH = 4096
+#: Units whose ids are gathered at once.
+GATHER = 1 << 18
 #: From here on characters are left to the library's tables.
 LATIN_END = "\u0300"
+#: Bits of a place in a table of pairs.
+SLOT_BITS = 19
+#: The pattern that PLAIN stands for; files with another are split by the library.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _pattern() -> re.Pattern:
+    """SPLIT for characters below U+0300, in the terms of `re`, which is faster."""
+    of = lambda kind: "".join(re.escape(c) for c in map(chr, range(ord(LATIN_END))) if regex.match(kind, c))
+    letters, digits, white = of(r"\p{L}"), of(r"\p{N}"), of(r"\s") + SPACE
+    # letters first, as most are; no other alternative begins with one
+    return re.compile(rf"[{letters}]+|[{digits}]|'(?:s|t|re|ve|m|ll|d)|[^{white}{letters}{digits}]+")
+
+
+PLAIN = _pattern()
+#: Characters whose class the libraries' tables may see otherwise, and those whose lower case is of them.
+_far = f"\x1c-\x1f\u0130\u023a\u023e{LATIN_END}-\U0010ffff"
+FAR = re.compile(f"[{_far}]")
+#: Those of them that are ASCII.
+ODD = "\x1c\x1d\x1e\x1f"
+#: Chunks between white space; and runs of chunks without such characters, or a chunk with them.
+CHUNK = re.compile(f"[^{SPACE}]++")
+PARTS = re.compile(f"((?:[^{SPACE}{_far}]++(?:[{SPACE}]++|\\Z))++)|([^{SPACE}]++)")
+
+
+def _slots(pair: np.ndarray) -> np.ndarray:
+    return (pair * 0x9E3779B97F4A7C1 >> 20) & ((1 << SLOT_BITS) - 1)
+
+
+class _Places(dict):
+    """Numbers of units; one that is not known yet gets the next number and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Generation:
+    """Units by number, and the ids of all of them one after another."""
+
+    def __init__(self):
+        self.places, self.flat = _Places(), np.zeros(0, "<u4")
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, made: list[bytes]) -> None:
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
+
+    def ids(self, word: str) -> bytes:
+        n = self.places[word]
+        return self.flat[self.start[n] : self.start[n] + self.size[n]].tobytes()
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the units of these numbers, one after another."""
+        size = self.size[at]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - end + size, size) + np.arange(size.sum())]
+
+
+class Remembering:
+    """Ids of texts as little-endian 32-bit numbers; each unit is encoded once and kept until two generations of them have passed.
+
+    Units are pre-tokens, special tokens, and chunks kept whole. Subclasses have fixed, the packed ids of special tokens; split, a
+    text's units; whole, the pre-tokens of each chunk among some units; merged, the packed ids of pre-tokens; and most, the bytes of
+    a generation.
+    """
+
+    def __init__(self):
+        self.bytes, self.young, self.old = 0, _Generation(), _Generation()
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of each text's."""
+        units = [self.split(t) for t in texts]
+        if self.bytes > self.most():
+            self.old, self.young, self.bytes = self.young, _Generation(), 0
+        known, n = self.young, np.fromiter(map(len, units), np.int64, len(units))
+        try:
+            # one look a unit, which numbers the new ones
+            at = np.fromiter(map(known.places.__getitem__, chain.from_iterable(units)), np.int64, n.sum())
+            self._learn()
+        except BaseException:
+            # no number without ids
+            self.young, self.bytes = _Generation(), 0
+            raise
+        upto = np.concatenate([[0], np.cumsum(known.size[at])])
+        parts = [known.gather(at[lo : lo + GATHER]) for lo in range(0, len(at), GATHER)]
+        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.diff(upto[np.concatenate([[0], np.cumsum(n)])])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        flat, n = self.flat(texts)
+        data, bounds = flat.tobytes(), 4 * np.concatenate([[0], np.cumsum(n)])
+        return [data[lo:hi] for lo, hi in pairwise(bounds.tolist())]
+
+    def _learn(self) -> None:
+        """Ids of the units numbered since the last call, in that order."""
+        new, self.young.places.new = self.young.places.new, []
+        held = self.old.places.keys()
+        made = {w: self.fixed[w] if w in self.fixed else self.old.ids(w) for w in new if w in self.fixed or w in held}
+        rest = [w for w in new if w not in made]
+        for lo in range(0, len(rest), 4 * BATCH):
+            part = rest[lo : lo + 4 * BATCH]
+            whole = self.whole(part)
+            words = list(dict.fromkeys([w for w in part if w not in whole] + [w for ws in whole.values() for w in ws]))
+            ids = dict(zip(words, self.merged([w.encode() for w in words]), strict=True))
+            made.update(ids)
+            made.update((c, b"".join([ids[w] for w in ws])) for c, ws in whole.items())
+        ids = [made[w] for w in new]
+        self.young.add(ids)
+        self.bytes += sum(len(w) if w.isascii() else 4 * len(w) for w in new) + sum(map(len, ids)) + ENTRY * len(new)
 
 
 def byte_letters() -> list[str]:
@@ -60,8 +179,9 @@ def token_names(spec: dict) -> dict[int, str]:
     return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
-class Bpe:
+class Bpe(Remembering):
     def __init__(self, spec: dict):
+        super().__init__()
         model, steps = spec["model"], [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or steps != ["NFC", "Replace", "Lowercase"] or (split["type"], split["behavior"], split["invert"], level["type"]) != ("Split", "Removed", True, "ByteLevel") or spec["decoder"]:
@@ -69,7 +189,6 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.suffix = model["end_of_word_suffix"]
-        self.words = regex.compile(split["pattern"]["Regex"])
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.names = token_names(spec)
         letters = byte_letters()
@@ -79,14 +198,25 @@ class Bpe:
         key = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.pair, self.rank, self.made = key[order], order.astype(np.int64), np.array([self.vocab[a + b] for a, b in pairs], np.int64)
+        self.plain = split["pattern"]["Regex"] == SPLIT
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True)
-        self.empty_cache()
+        self.pieces = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), behavior="removed", invert=True)
+        self.fixed = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        # pairs by the low bits of a product; of those that fall together the first is looked at, the others are searched for
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slot[_slots(self.pair[::-1])] = np.arange(len(self.pair), dtype=np.int32)[::-1]
+        self.many = np.bincount(_slots(self.pair), minlength=1 << SLOT_BITS) > 1
 
-    def empty_cache(self) -> None:
-        # chunk: its ids joined by blanks
-        self.cache: dict[str, str] = {t: str(i) for t, i in self.special.items()}
-        self.cached_bytes = 0
+    @property
+    def cache(self) -> dict[str, int]:
+        return self.young.places
+
+    @property
+    def cached_bytes(self) -> int:
+        return self.bytes
+
+    def most(self) -> int:
+        return CACHE_BYTES // 2
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; NONE where it is no merge or an id is -1."""
@@ -94,9 +224,24 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NONE)
 
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`ranks` by one look for most pairs."""
+        key = left << 20 | right
+        slot = _slots(key)
+        at = self.slot[slot]
+        hit = (self.pair[at] == key) & (at >= 0) & (left >= 0) & (right >= 0)
+        out = np.where(hit, self.rank[at], NONE)
+        if (unsure := ~hit & self.many[slot]).any():
+            out[unsure] = self.ranks(left[unsure], right[unsure])
+        return out
+
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each of these pre-tokens (not empty), by segment trees over the ranks of adjacent pairs."""
-        out: list[list[int]] = [[]] * len(pieces)
+        """Ids of each of these pre-tokens (not empty)."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.merged(pieces)]
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each of these pre-tokens (not empty), by segment trees over the ranks of adjacent pairs."""
+        out = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
@@ -111,8 +256,8 @@ class Bpe:
                     start = end
         return out
 
-    def _trees(self, pieces: list[bytes], width: int) -> tuple[list[int], list[int]]:
-        """Ids of pre-tokens of at most `width` bytes, one after another, and where each ends."""
+    def _trees(self, pieces: list[bytes], width: int) -> tuple[bytes, list[int]]:
+        """Packed ids of pre-tokens of at most `width` bytes, one after another, and where each ends."""
         n = len(pieces)
         size = np.array([len(p) for p in pieces])
         ids = np.full((n, width + 1), -1, np.int64)
@@ -124,7 +269,7 @@ class Bpe:
         before[:, 0] = width
         # node k of a row has the children 2k and 2k + 1; leaves start at `width` and hold rank * width + place
         tree = np.full((n, 2 * width), NONE, np.int64)
-        rank = self.ranks(ids[:, :width], ids[:, 1:])
+        rank = self.look(ids[:, :width], ids[:, 1:])
         tree[:, width:] = np.where(rank < NONE, rank * width + np.arange(width), NONE)
         level = width // 2
         while level:
@@ -144,15 +289,15 @@ class Bpe:
             left = before[row, at]
             has_left = left < width
             self._update(tree, row, right, np.full(len(row), NONE), width)
-            fresh = self.ranks(ids[row, at], np.where(some, ids[row, far], -1))
+            fresh = self.look(ids[row, at], np.where(some, ids[row, far], -1))
             self._update(tree, row, at, np.where(fresh < NONE, fresh * width + at, NONE), width)
             lrow, lat = row[has_left], left[has_left]
-            fresh = self.ranks(ids[lrow, lat], ids[lrow, at[has_left]])
+            fresh = self.look(ids[lrow, lat], ids[lrow, at[has_left]])
             self._update(tree, lrow, lat, np.where(fresh < NONE, fresh * width + lat, NONE), width)
             row = row[tree[row, 1] < NONE]
         flat = ids[:, :width]
         kept = flat >= 0
-        return flat[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        return flat[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
 
     @staticmethod
     def _update(tree: np.ndarray, row: np.ndarray, place: np.ndarray, value: np.ndarray, width: int) -> None:
@@ -163,34 +308,24 @@ class Bpe:
             tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
             node >>= 1
 
-    def pre_tokens(self, chunk: str) -> list[bytes]:
-        if chunk.isascii():
-            return [m.encode() for m in self.words.findall(chunk.lower())]
-        if max(chunk) >= LATIN_END:
-            return [w.encode() for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(chunk))]
-        return [w.encode() for w in self.words.findall(unicodedata.normalize("NFC", chunk).lower())]
-
-    def encode_chunks(self, chunks: list[str]) -> list[str]:
-        """Ids joined by blanks, of each chunk without white space or special tokens."""
-        index: dict[bytes, int] = {}
-        words = [[index.setdefault(w, len(index)) for w in self.pre_tokens(c)] for c in chunks]
-        texts = [" ".join(map(str, x)) for x in self.merge(list(index))]
-        return [" ".join([texts[w] for w in ws]) for ws in words]
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens, special tokens as they are, and the chunks that are kept whole."""
+        if any(s in text for s in self.special):
+            return [x for p in self.cuts.split(text) for x in ([p] if p in self.special else self.split(p))]
+        if not self.plain:
+            return CHUNK.findall(text)
+        if not (any(c in text for c in ODD) if text.isascii() else FAR.search(text)):
+            # the characters that are left are as NFC has them
+            return PLAIN.findall(text.lower())
+        return [x for near, far in PARTS.findall(text) for x in (PLAIN.findall(near.lower()) if near else [far])]
+
+    def whole(self, units: list[str]) -> dict[str, list[str]]:
+        """The pre-tokens of each chunk among these units, as the library splits it."""
+        return {u: [w for w, _ in self.pieces.pre_tokenize_str(self.normal.normalize_str(u))] for u in units if not self.plain or FAR.search(u)}
 
     def ids(self, texts: list[str]) -> list[str]:
         """Ids of each text, joined by blanks."""
-        parts = [self.cuts.split(text) if self.cuts and any(s in text for s in self.special) else (text,) for text in texts]
-        chunks = [[c for p in ps for c in ([p] if p in self.special else split_white(p))] for ps in parts]
-        if self.cached_bytes > CACHE_BYTES:
-            self.empty_cache()
-        new = list({c for cs in chunks for c in cs} - self.cache.keys())
-        for lo in range(0, len(new), BATCH):
-            part = new[lo : lo + BATCH]
-            made = self.encode_chunks(part)
-            self.cache.update(zip(part, made, strict=True))
-            self.cached_bytes += sum(map(len, made)) + sum(len(c) if c.isascii() else 4 * len(c) for c in part) + ENTRY * len(part)
-        # a chunk has at least one token, as the pre-tokenizer leaves nothing but white space out
-        return [" ".join(map(self.cache.__getitem__, cs)) for cs in chunks]
+        return [" ".join(map(str, np.frombuffer(x, "<u4").tolist())) for x in self(texts)]
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """(ids joined by blanks, number of ids, decoded text) of each text."""
@@ -202,15 +337,6 @@ class Bpe:
         return " ".join([t for i in ids if (t := self.names.get(i)) is not None])
 
 
-_white = str.maketrans(dict.fromkeys(SPACE, " "))
-_odd = regex.compile("[\x1c-\x1f]")
-
-
-def split_white(text: str) -> list[str]:
-    """Chunks between white space as Unicode defines it (str.split also cuts at 1C to 1F)."""
-    return text.split() if not _odd.search(text) else [c for c in text.translate(_white).split(" ") if c]
-
-
 @lru_cache(2)
 def _loaded(spec: str) -> Bpe:
     return Bpe(json.loads(spec))
@@ -225,7 +351,7 @@ def _decoder(path: str) -> pa.Array:
 
 
 def forget() -> None:
-    """Frees the tokenizers and chunks that this worker remembers."""
+    """Frees the tokenizers and units that this worker remembers."""
     _loaded.cache_clear()
     _decoder.cache_clear()
 
@@ -244,10 +370,8 @@ def _coder(name: str, decoding: bool):
             width = batch.num_columns - 1
             for lo, hi, _, _ in blocks(batch.column(width), rows=1024):
                 part = batch.slice(lo, hi - lo)
-                made = bpe.ids([t or "" for t in part.column(width).to_pylist()])
-                n = np.array([x.count(" ") + 1 if x else 0 for x in made], np.int64)
-                flat = np.fromstring(" ".join(filter(None, made)), np.int32, sep=" ") if n.any() else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(_offsets(n), pa.array(flat, pa.int32()))
+                flat, n = bpe.flat([t or "" for t in part.column(width).to_pylist()])
+                lists = pa.ListArray.from_arrays(_offsets(n), pa.array(flat.astype(np.int32)))
                 # decoding reads nothing but the ids
                 more = [decode_lists(lists, names)] if decoding else []
                 yield pa.record_batch([*part.columns[:width], pa.array(n), lists, *more], names=[*batch.schema.names[:width], "n_tokens", "ids", *(["decoded"] if decoding else [])])

@@ -22,17 +22,14 @@ an empty table gives an empty result; columns other than id and text are not rea
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,132 +48,19 @@ WELL, FREED = 0.99, 16
 MEMBERS = 8
 #: Bytes of pre-tokens that are merged together.
 WIDTHS = (6, 12, 24)
-#: Bytes of a generation of pre-tokens and ids that a worker remembers, with ENTRY bytes for each one's place.
-CACHE_BYTES, ENTRY = 64 << 20, 200
+#: Bytes of a generation of pre-tokens and ids that a worker remembers.
+CACHE_BYTES = 64 << 20
 
 
-def _pattern() -> re.Pattern:
-    """The tokenizer's pattern for characters below U+0300, in the terms of `re`, which is faster."""
-    of = lambda kind: "".join(re.escape(c) for c in map(chr, range(ord(bpe.LATIN_END))) if regex.match(kind, c))
-    letters, digits, white = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
-    # letters first, as most are; no other alternative begins with one
-    return re.compile(rf"[{letters}]+|[{digits}]|'(?:s|t|re|ve|m|ll|d)|[^{white}{letters}{digits}]+")
-
-
-PLAIN = _pattern()
-#: Characters whose class the libraries' tables may see otherwise.
-FAR = re.compile(f"[\x1c-\x1f{bpe.LATIN_END}-\U0010ffff]")
-
-
-#: Those of them that are ASCII.
-ODD = "\x1c\x1d\x1e\x1f"
-
-
-#: Bits of a place in a table of pairs.
-SLOT_BITS = 19
-
-
-def _slots(pair: np.ndarray) -> np.ndarray:
-    return (pair * 0x9E3779B97F4A7C1 >> 20) & ((1 << SLOT_BITS) - 1)
-
-
-class _Places(dict):
-    """Numbers of pre-tokens; one that is not known yet gets the next number and is noted."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
-class _Generation:
-    """Pre-tokens by number, and the ids of all of them one after another."""
-
-    def __init__(self):
-        self.places, self.flat = _Places(), np.zeros(0, "<u4")
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, made: list[bytes]) -> None:
-        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
-
-    def ids(self, word: str) -> bytes:
-        n = self.places[word]
-        return self.flat[self.start[n] : self.start[n] + self.size[n]].tobytes()
-
-
-class PackedIds:
-    """Ids of texts as little-endian 32-bit numbers; each pre-token is encoded once and kept until two generations of them have passed."""
+class PackedIds(bpe.Remembering):
+    """Ids by the pre-tokens and pairs of a coder of `bpe`, with short pre-tokens merged as rows of a matrix."""
 
     def __init__(self, coder: bpe.Bpe):
-        self.coder, self.bytes, self.young, self.old = coder, 0, _Generation(), _Generation()
-        self.fixed = {t: np.array([i], "<u4").tobytes() for t, i in coder.special.items()}
-        # pairs by the low bits of a product; of those that fall together the first is looked at here, the others by `bpe`
-        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.slot[_slots(coder.pair[::-1])] = np.arange(len(coder.pair), dtype=np.int32)[::-1]
-        self.many = np.zeros(1 << SLOT_BITS, bool)
-        self.many[np.flatnonzero(np.bincount(_slots(coder.pair), minlength=1 << SLOT_BITS) > 1)] = True
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """`Bpe.ranks` by one look for most pairs."""
-        coder, key = self.coder, left << 20 | right
-        slot = _slots(key)
-        at = self.slot[slot]
-        hit = (coder.pair[at] == key) & (at >= 0) & (left >= 0) & (right >= 0)
-        out = np.where(hit, coder.rank[at], bpe.NONE)
-        if (unsure := ~hit & self.many[slot]).any():
-            out[unsure] = coder.ranks(left[unsure], right[unsure])
-        return out
+        super().__init__()
+        self.coder, self.fixed, self.split, self.whole, self.ranks = coder, coder.fixed, coder.split, coder.whole, coder.look
 
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens, and special tokens as they are."""
-        coder = self.coder
-        if any(s in text for s in coder.special):
-            parts = coder.cuts.split(text)
-            return [x for p in parts for x in ([p] if p in coder.special else self.split(p))]
-        if text.isascii():
-            if not any(c in text for c in ODD):
-                return PLAIN.findall(text.lower())
-        elif not FAR.search(text) and not FAR.search(low := unicodedata.normalize("NFC", text).lower()):
-            return PLAIN.findall(low)
-        return [x.decode() for c in bpe.split_white(text) for x in coder.pre_tokens(c)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [self.split(t) for t in texts]
-        if self.bytes > CACHE_BYTES:
-            self.old, self.young, self.bytes = self.young, _Generation(), 0
-        known, n = self.young, np.fromiter(map(len, words), np.int64, len(words))
-        try:
-            # one look a pre-token, which numbers the new ones
-            at = np.fromiter(map(known.places.__getitem__, chain.from_iterable(words)), np.int64, n.sum())
-            self._learn()
-        except BaseException:
-            # no number without ids
-            self.young, self.bytes = _Generation(), 0
-            raise
-        size = known.size[at]
-        end = np.cumsum(size)
-        flat = known.flat[np.repeat(known.start[at] - end + size, size) + np.arange(size.sum())].tobytes()
-        bounds = 4 * np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n)])]
-        return [flat[lo:hi] for lo, hi in pairwise(bounds.tolist())]
-
-    def _learn(self) -> None:
-        """Ids of the pre-tokens numbered since the last call, in that order."""
-        new, self.young.places.new = self.young.places.new, []
-        held = self.old.places.keys()
-        made = {w: self.fixed[w] if w in self.fixed else self.old.ids(w) for w in new if w in self.fixed or w in held}
-        rest = [w for w in new if w not in made]
-        for lo in range(0, len(rest), 4 * bpe.BATCH):
-            part = rest[lo : lo + 4 * bpe.BATCH]
-            made.update(zip(part, self.merged([w.encode() for w in part]), strict=True))
-        ids = [made[w] for w in new]
-        self.young.add(ids)
-        self.bytes += sum(map(len, new)) + sum(map(len, ids)) + ENTRY * len(new)
+    def most(self) -> int:
+        return CACHE_BYTES
 
     def merged(self, words: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens: of many short ones at once, each row of a matrix merges its lowest-ranked pair until it has none; long ones go by `bpe`'s trees."""
@@ -184,8 +68,8 @@ class PackedIds:
         size = np.fromiter(map(len, words), np.int64, len(words))
         group = np.searchsorted(WIDTHS, size)
         by_width = {width: np.flatnonzero(group == i).tolist() for i, width in enumerate([*WIDTHS, 0])}
-        for i, ids in zip(by_width.get(0, []), self.coder.merge([words[i] for i in by_width.get(0, [])]), strict=True):
-            out[i] = np.array(ids, "<u4").tobytes()
+        for i, ids in zip(by_width[0], self.coder.merged([words[i] for i in by_width[0]]), strict=True):
+            out[i] = ids
         for width in WIDTHS:
             which = by_width.get(width, [])
             for lo in range(0, len(which), 4096):

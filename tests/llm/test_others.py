@@ -290,6 +290,50 @@ def test_segment_trees_merge_like_a_plain_loop():
         assert own.merge([piece]) == [ids]
 
 
+def test_bpe_merges_a_word_once_whatever_stands_beside_it(monkeypatch):
+    own, merged = bpe.Bpe(json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())), Counter()
+    trees = own._trees
+    monkeypatch.setattr(own, "_trees", lambda pieces, width: merged.update(pieces) or trees(pieces, width))
+    library = _library(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("a harbour", "(Harbour, HARBOUR. harbour's", "\"harbour\"; harbour-harbour", "é/harbour", "harbour\u00a0"):
+        assert own.ids([text]) == [" ".join(map(str, library.encode(text, add_special_tokens=False).ids))]
+    assert merged[b"harbour"] == 1 and max(merged.values()) == 1
+
+
+@given(st.lists(st.text(alphabet="aB's1.\u0130\u023a\u00dfé\u0301’“\u03a3я中 \t\n\x1c\x85\xa0\u1680\u2003\u2028\u3000<|endoftx>", max_size=60), min_size=1, max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_bpe_of_near_and_far_characters(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.load(path)
+    want = [e.ids for e in _library(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):  # new, from the older generation, and remembered
+        flat, n = own.flat(texts)
+        assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+        own.bytes = bpe.CACHE_BYTES
+
+
+def test_bpe_forgets_words_by_generations(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = bpe.Bpe(json.loads(open(path).read())), _library(path)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "GATHER", 7)
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i * 7919 % 100000:05d}")
+    kept = []
+    for i in range(300):
+        text = f"{word(i)} {word(i + 1)} ’{word(i)} always"
+        assert own.ids([text, "", text]) == [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in (text, "", text)]
+        kept.append((own.cached_bytes, len(own.young.places) + len(own.old.places)))
+    assert max(b for b, _ in kept) < 11_500 and max(n for _, n in kept) < 110
+
+
+def test_bpe_with_another_pattern():
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}']+|[\p{N}]+|[^\s\p{L}\p{N}']+"
+    own, library = bpe.Bpe(spec), Tokenizer.from_str(json.dumps(spec))
+    texts = [*ODD, "Don't 1234 it's", "a’b 12,345"]
+    assert [[int(i) for i in x.split()] for x in own.ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_no_language_is_left_out(spark):
     word = lambda i: "".join(chr(97 + int(d)) * 2 for d in f"{i * 7919 % 100000:05d}")
     many = spark.createDataFrame([(i, f"{word(i)} {word(i + 1000)} {word(i)}", f"l{i:03d}") for i in range(270)], "doc_id long, text string, lang string")
