@@ -1,4 +1,4 @@
-"""What lies on disk while duplicates are found."""
+"""What lies on disk while duplicates are found and questions searched."""
 
 import random
 import time
@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import dedup
+from lectern.operators import dedup, search
 
 BY, SCHEMA = ["mode"], "seq long, mode string, work_title string, section_title string, text string, priority int"
 
@@ -58,3 +58,19 @@ def test_a_report_keeps_no_texts(spark, copies, monkeypatch):
         a, b = texts[r.dropped_seq], texts[r.kept_seq]
         assert (a.work_title, a.section_title, b.work_title, b.section_title) == (r.dropped_work_title, r.dropped_section_title, r.kept_work_title, r.kept_section_title)
         assert r.similarity == round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 3) and (r.match_type == "exact") == (a.text == b.text)
+
+
+def test_questions_are_searched_block_by_block(spark, monkeypatch):
+    rnd = random.Random(5)
+    text = lambda: " ".join(f"w{rnd.randrange(60)}" for _ in range(12))
+    rows = [("ada", ["literature", "life_process"][i % 2], f"work {i % 3}", "part", 1, i, text(), [float(rnd.randrange(9)) for _ in range(4)], f"ref{i}") for i in range(80)]
+    held = spark.createDataFrame(rows, "author_key string, mode string, work_title string, section_title string, section_index int, chunk_index int, page_content string, embedding array<float>, source_ref string").repartition(3)
+    asked = [(i, "ada", ["oeuvre", "life_process"][i % 2], None, None, 5, [float(rnd.randrange(9)) for _ in range(4)], None, None, ["w7", "w8"] if i % 3 else None, None) for i in range(20)]
+    asked = spark.createDataFrame(asked, "qid long, author_key string, scope string, work_titles array<string>, only_works array<string>, top_k int, qvec array<float>, entity_terms array<string>, topic_groups array<array<string>>, variants array<string>, chapter string")
+    found = lambda: sorted(tuple(r) for r in search._channels(asked, held).select("qid", "channel", "pos", "distance", *search.CHUNK_KEY, "page_content").collect())
+    whole, met, keep = found(), [], search.grid
+    monkeypatch.setattr(search, "WIDE_QUESTIONS", 7)
+    monkeypatch.setattr(search, "grid", lambda q, v, by, blocks: met.append((blocks[0], v.columns)) or keep(q, v, by, blocks))
+    assert found() == whole and len(whole) >= 20 * 5
+    # before, one grid sent all chunks as they are, as often as there were blocks of questions
+    assert met == [(1, ["author_key", "mode", "packed"])] * 3
